@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, map_columns, mix, table, windows
 
-GATHER = 4_000_000
+GATHER = 2_000_000
 #: Rows that may be broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: 64-bit words in a set's sketch.
+SKETCH = 8
 
 
 def shingles(text, n, hashes):
@@ -60,7 +62,10 @@ def keys_of(made, frequent, percent, light):
 
 def hash_run(values, salt):
     """One hash of a sorted run of hashes."""
-    return int(mix(np.bitwise_xor.reduce(mix(values + np.uint64(7))) + values.sum(dtype=np.uint64) * np.uint64(3) + np.uint64(salt))) if len(values) else 0
+    if not len(values):
+        return 0
+    both = np.array([np.bitwise_xor.reduce(mix(values + np.uint64(7))), values.sum(dtype=np.uint64)]) * np.array([1, 3], np.uint64)
+    return int(mix(both[:1] + both[1:] + np.uint64(salt))[0])
 
 
 def frequent_shingles(docs, text, n, rows=1_000_000):
@@ -99,7 +104,7 @@ def frequent_shingles(docs, text, n, rows=1_000_000):
 
 
 def described(docs, n, percent, frequent, light, doc_id, text):
-    """Per row: id, size, print (128 bits of the set) and keys."""
+    """Per row: id, size, print (128 bits of the set), keys and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
@@ -109,12 +114,18 @@ def described(docs, n, percent, frequent, light, doc_id, text):
             out = []
             for t in texts:
                 made = shingles(t, n, hashes)
-                out.append((len(made), f"{hash_run(made, 1):016x}{hash_run(mix(made), 2):016x}", keys_of(made, shared.value, percent, light)))
-            return [ids, *map(list, zip(*out, strict=True))] if out else [[]] * 4
+                out.append((len(made), f"{hash_run(made, 1):016x}{hash_run(mix(made), 2):016x}", keys_of(made, shared.value, percent, light), parity(made)))
+            return [ids, *map(list, zip(*out, strict=True))] if out else [[]] * 5
 
         return step
 
-    return map_columns(docs, [doc_id, text], make, "id bigint, n bigint, print string, keys array<bigint>")
+    return map_columns(docs, [doc_id, text], make, "id bigint, n bigint, print string, keys array<bigint>, sketch array<bigint>")
+
+
+def parity(made):
+    """SKETCH words whose bits are the parities of a set's elements: each element that differs flips one bit at most."""
+    bits = np.bincount((mix(made) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def sized(df):
@@ -163,26 +174,34 @@ def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", roun
     hashes, counts, length = frequent_shingles(docs, text, n)
     light = boundary(percent, length)
     rows = cut(described(docs, n, percent, (hashes, counts), light, doc_id, text))
-    classes = rows.where("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"))
+    classes = rows.where("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
     classes = cut(classes)
     members = classes.select(F.explode("keys").alias("key"), "rep", "n")
     shared = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    members = cut(members.join(shared, "key"))
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    members = members.join(shared, "key")
+    members = cut(members.join(classes.select("rep", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "rep"))
+    words = [f"s{k}" for k in range(SKETCH)]
+
+    def fits(other):
+        """Whether sizes and sketches allow a link; a link allows few elements that differ."""
+        n, m = F.col("n"), F.col("m")
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(other(w))) for w in words), F.lit(0))
+        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
     edges = labels = None
     for k in range(rounds + 1):
         if labels is None:
             now = members.withColumn("comp", F.col("rep"))
         else:
             now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        lists = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("comp", F.lit(k))).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+        lists = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", *words), F.xxhash64("comp", F.lit(k))).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
         if k < rounds:
-            lists = lists.select("key", F.col("p.rep").alias("q"), F.col("p.n").alias("m"), F.col("p.comp").alias("other"))
-            pairs = now.join(lists, "key").where(F.col("comp") != F.col("other")).where(fits("n", "m"))
+            lists = lists.select("key", F.col("p.rep").alias("q"), F.col("p.n").alias("m"), F.col("p.comp").alias("other"), *(F.col(f"p.{w}").alias(f"o{w}") for w in words))
+            pairs = now.join(lists, "key").where(F.col("comp") != F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
         else:
             open_ = cut(now.join(lists.select("key"), "key"))
-            other = open_.select("key", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = open_.join(other, "key").where(F.col("comp") < F.col("other")).where(fits("n", "m"))
+            other = open_.select("key", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"), *(F.col(w).alias(f"o{w}") for w in words))
+            pairs = open_.join(other, "key").where(F.col("comp") < F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
         found = verified(docs, pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct(), n, percent, doc_id, text)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
