@@ -1,0 +1,32 @@
+"""Choice of extraction paths for requested facts: cheapest cover, greedily."""
+
+LEVELS = ("header", "metadata", "deep")
+CONFIDENCES = ("none", "low", "medium", "high", "exact")
+
+
+class UnsupportedTarget(ValueError):
+    """No path gives any requested target."""
+
+
+def choose_paths(paths, targets, level="metadata", confidence="high", overrides=None, optional=()):
+    """{paths, unresolved, piggyback, cost} for the targets.
+
+    paths: dicts with id, targets, level, confidence and cost. The path with the
+    least cost for each target it adds (whole numbers) comes first; then the higher
+    confidence, then the id. Optional targets come along only with chosen paths.
+    """
+    needed = {t: CONFIDENCES.index((overrides or {}).get(t, confidence)) for t in targets}
+    usable = [p for p in paths if LEVELS.index(p["level"]) <= LEVELS.index(level)]
+    rank = {p["id"]: CONFIDENCES.index(p["confidence"]) for p in usable}
+    gives = {p["id"]: {t for t in p["targets"] if rank[p["id"]] >= needed.get(t, 9)} for p in usable}
+    cost = {p["id"]: p["cost"] for p in usable}
+    left, chosen = set(needed), []
+    while useful := [i for i in gives if gives[i] & left]:
+        best = min(useful, key=lambda i: (cost[i] // len(gives[i] & left), -rank[i], i))
+        chosen.append(best)
+        left -= gives[best]
+    if needed and not chosen:
+        raise UnsupportedTarget(",".join(sorted(left)))
+    floor = CONFIDENCES.index(confidence)
+    along = {t for p in usable if p["id"] in chosen and rank[p["id"]] >= floor for t in p["targets"]} & set(optional) - set(needed)
+    return {"paths": chosen, "unresolved": sorted(left), "piggyback": sorted(along), "cost": sum(cost[i] for i in chosen)}

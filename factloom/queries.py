@@ -1,4 +1,38 @@
 """The queries of the library and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import functions as F
+
+from factloom.operators.routing import route
+
+
+def routing(spark, sf_dir):
+    """Events read as inputs whose suffix and signature follow from the row, routed."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pick = lambda by, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % by + 1).cast("int"))
+    inputs = events.select(
+        "event_id",
+        F.concat(F.lit("in/"), "event_type", pick(6, ".PDF", ".docx", ".doc", ".key", ".txt", "")).alias("display_name"),
+        F.unhex(pick(4, "255044462D312E37", "504B030414000000", "D0CF11E0A1B11AE1", "00")).alias("content"),
+    )
+    return route(inputs).groupBy("extension", "container", "family", "error_code").agg(F.count("*").alias("n"))
+
+
+def text_stats(spark, sf_dir):
+    """Characters, words and non-blank lines of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    full = lambda by: F.size(F.filter(F.split("text", by), lambda x: F.trim(x) != "")).cast("long")
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_characters"), full(r"\s+").alias("n_words"), full("\n").alias("n_lines"))
+
+
+QUERIES = {"routing": routing, "text_stats": text_stats}
+ORACLE_SQL = {
+    "routing": """
+with i as (select ['pdf', 'docx', 'doc', 'key', 'txt', ''][event_id % 6 + 1] as extension, ['pdf', 'zip', 'cfb', 'other'][event_id % 4 + 1] as container from events),
+f as (select *, case when extension = 'pdf' and container = 'pdf' then 'pdf' when extension = 'doc' and container = 'cfb' then 'legacy'
+  when extension = 'docx' and container = 'cfb' then 'encrypted-ooxml' when extension = 'docx' and container = 'zip' then 'ooxml'
+  when extension = 'key' and container = 'zip' then 'iwork' end as family from i)
+select extension, container, family, case when extension in ('txt', '') then 'UNSUPPORTED_FORMAT' when family is null then 'MALFORMED_INPUT' end as error_code, count(*) as n
+from f group by all""",
+    "text_stats": """select doc_id, length(text) as n_characters, len(list_filter(string_split_regex(text, '\\s+'), lambda x: trim(x) <> '')) as n_words,
+len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_lines from documents""",
+}
