@@ -24,6 +24,8 @@ def test_route_of_nulls(spark):
 
 def test_planner():
     paths = [{"id": i, "targets": t, "level": "metadata", "confidence": c, "cost": k} for i, t, c, k in (("a", ["x"], "high", 3), ("b", ["x", "y"], "exact", 7), ("c", ["y", "z"], "high", 3))]
-    assert choose_paths(paths, ["x", "y"], optional=["z"]) == {"paths": ["c", "a"], "unresolved": [], "piggyback": ["z"], "cost": 6}
+    # costs for each added target are 3, 7 // 2 and 3: equal, so the higher confidence comes first
+    assert choose_paths(paths, ["x", "y"]) == {"paths": ["b"], "unresolved": [], "piggyback": [], "cost": 7}
+    assert choose_paths(paths, ["y", "w"], optional=["z"]) == {"paths": ["c"], "unresolved": ["w"], "piggyback": ["z"], "cost": 3}
     with pytest.raises(UnsupportedTarget):
         choose_paths(paths, ["q"])
