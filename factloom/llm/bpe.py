@@ -8,6 +8,8 @@ import codecs
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
+from itertools import pairwise
 
 import regex
 
@@ -16,6 +18,9 @@ from .common import map_columns, sha, table
 #: White space of the Unicode standard; it separates words and is dropped. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+#: The rank of pairs that no rule merges.
+NEVER = 1 << 60
+
 
 def byte_letters():
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -49,9 +54,14 @@ class Merges:
         self.reach = reaches([tuple(m) for m in merges], self.size)
         self.lookahead = max(self.reach.values(), default=0)
 
+    #: Up to this many symbols a scan for the first rule costs less than a heap.
+    SHORT = 40
+
     def merge(self, symbols):
         """The tokens of the whole list of symbols."""
         n = len(symbols)
+        if n <= self.SHORT:
+            return self.scan(list(symbols))
         token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.rank.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -68,9 +78,26 @@ class Merges:
                     heapq.heappush(heap, (r, x, token[x], token[y]))
         return [t for t in token if t is not None]
 
+    def scan(self, token):
+        """The same for few symbols: the best rule's leftmost place is merged until no rule applies."""
+        ranks = [self.rank.get(pair, NEVER) for pair in pairwise(token)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            token[i : i + 2] = [token[i] + token[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.rank.get((token[i - 1], token[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = self.rank.get((token[i], token[i + 1]), NEVER)
+        return token
+
     def stream(self, symbols):
         """Tokens of an iterable of symbols, each as soon as it is stable; memory is bounded by the lookahead."""
-        block, held, source = 4 * self.lookahead + 64, [], iter(symbols)
+        block = 4 * self.lookahead + 64
+        if isinstance(symbols, list) and len(symbols) < block:
+            yield from self.merge(symbols)
+            return
+        held, source = [], iter(symbols)
         while True:
             held += [s for _, s in zip(range(block - len(held)), source, strict=False)]
             last = len(held) < block
@@ -85,11 +112,25 @@ class Merges:
             held = held[done:]
 
 
+class Remembered(dict):
+    """Results of a function of short texts, remembered while there is room; long texts are computed anew."""
+
+    def __init__(self, make, room=300_000, longest=64):
+        super().__init__()
+        self.make, self.room, self.longest = make, room, longest
+
+    def __missing__(self, text):
+        made = self.make(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[text] = made
+        return made
+
+
 class WordBpe:
     """A lower-casing word BPE as its vocabulary file describes it."""
 
-    ROOM = 300_000
-
     def __init__(self, path):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -103,38 +144,32 @@ class WordBpe:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", SPACES))
         self.gaps = regex.compile(f"[{SPACES}]+")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.known = {}
-
-    def word(self, chunk):
-        """(ids as text, tokens as text, their number) of a text without white space."""
-        if (found := self.known.get(chunk)) is None:
-            tokens = []
-            # lower-casing goes letter by letter, so a final sigma has no form of its own
-            for w in self.split.findall("".join(c.lower() for c in unicodedata.normalize("NFC", chunk))):
-                data = w.encode()
-                tokens += self.merges.stream(self.letters[b] + (self.ends if k == len(data) - 1 else "") for k, b in enumerate(data))
-            found = " ".join(str(self.ids[t]) for t in tokens), " ".join(tokens), len(tokens)
-            if len(chunk) <= 64:
-                if len(self.known) >= self.ROOM:
-                    self.known.clear()
-                self.known[chunk] = found
-        return found
+        self.words, self.chunks = Remembered(self.word), Remembered(self.chunk)
+
+    def word(self, word):
+        """Ids as text of one word of the split."""
+        symbols = [self.letters[b] for b in word.encode()]
+        symbols[-1] += self.ends
+        return " ".join([str(self.ids[t]) for t in self.merges.stream(symbols)])
+
+    def chunk(self, chunk):
+        """Ids as text of a text without white space."""
+        # lower-casing goes letter by letter, so a final sigma has no form of its own
+        low = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+        return " ".join(map(self.words.__getitem__, self.split.findall(low)))
 
     def encode(self, text):
         """The ids' decimal text joined by spaces, and their number."""
         parts = self.parts.split(text) if "<|" in text else [text]
-        said, n = [], 0
+        said = []
         for part in parts:
             if part in self.special:
                 said.append(str(self.special[part]))
-                n += 1
                 continue
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
-            for ids, _, k in map(self.word, self.gaps.split(part) if odd else part.split()):
-                if k:
-                    said.append(ids)
-                    n += k
-        return " ".join(said), n
+            said += filter(None, map(self.chunks.__getitem__, self.gaps.split(part) if odd else part.split()))
+        coded = " ".join(said)
+        return coded, coded.count(" ") + 1 if coded else 0
 
     def token_text(self, ids):
         """What a decoder without rules of its own gives: the tokens joined by spaces."""
@@ -155,6 +190,12 @@ class WordBpe:
         yield state.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def loaded(path):
+    """The tokenizer of a vocabulary file, loaded once in a worker."""
+    return WordBpe(path)
+
+
 class Names(dict):
     """Token of each id given as text."""
 
@@ -166,7 +207,7 @@ def encode_decode(docs, path, doc_id="doc_id", text="text"):
     """Per row: the id, n_tokens, ids (decimal, joined by a space), decoded."""
 
     def make():
-        bpe = WordBpe(path)
+        bpe = loaded(path)
         name = Names(bpe).__getitem__
 
         def step(ids, texts):
@@ -182,7 +223,7 @@ def digests(docs, path):
     """The digests of `encode_decode`, made in the same task so that ids are never moved."""
 
     def make():
-        bpe = WordBpe(path)
+        bpe = loaded(path)
         name = Names(bpe).__getitem__
 
         def step(ids, texts):
