@@ -18,6 +18,8 @@ GATHER = 2_000_000
 BROADCAST_ROWS = 2_000_000
 #: 64-bit words in a set's sketch.
 SKETCH = 8
+#: Keys of a set by which a pair's first common list is found; pairs without a common one there come from every list.
+FIRST = 16
 
 
 def shingles(text, n, hashes):
@@ -178,9 +180,10 @@ def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", roun
     classes = cut(classes)
     members = classes.select(F.explode("keys").alias("key"), "rep", "n")
     shared = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    members = members.join(shared, "key")
-    members = cut(members.join(classes.select("rep", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "rep"))
+    held = members.join(shared, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list("key")).alias("held"))
     words = [f"s{k}" for k in range(SKETCH)]
+    held = held.join(classes.select("rep", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words))), "rep")
+    members = cut(held.select(F.explode("held").alias("key"), "rep", "n", F.slice("held", 1, FIRST).alias("first"), *words))
 
     def fits(other):
         """Whether sizes and sketches allow a link; a link allows few elements that differ."""
@@ -200,8 +203,11 @@ def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", roun
             pairs = now.join(lists, "key").where(F.col("comp") != F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
         else:
             open_ = cut(now.join(lists.select("key"), "key"))
-            other = open_.select("key", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"), *(F.col(w).alias(f"o{w}") for w in words))
+            other = open_.select("key", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("first").alias("others"), *(F.col(w).alias(f"o{w}") for w in words))
             pairs = open_.join(other, "key").where(F.col("comp") < F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
+            # a pair comes from the first list that both are in, where their first keys tell which that is
+            both = F.array_min(F.array_intersect("first", "others"))
+            pairs = pairs.where(F.coalesce(both == F.col("key"), F.lit(True)))
         found = verified(docs, pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct(), n, percent, doc_id, text)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
