@@ -45,7 +45,12 @@ def test_stream_equals_whole_merge():
     made = np.random.default_rng(1)
     for _ in range(200):
         symbols = list(made.choice(["a", "b"], made.integers(0, 400)))
-        assert list(merges.stream(symbols)) == merges.merge(symbols)
+        assert list(merges.stream(iter(symbols))) == list(merges.stream(symbols)) == merges.merge(symbols)
+        few = symbols[: merges.SHORT]
+        merges.SHORT = 0
+        by_heap = merges.merge(few)
+        del merges.SHORT
+        assert merges.scan(list(few)) == by_heap
 
 
 def test_tiff_round_trip_and_packings(docs):
