@@ -156,3 +156,17 @@ def test_main_text(spark):
 def test_digests_of_null_and_empty(docs):
     rows = {r["doc_id"]: r for r in bpe.digests(docs, P.path("word_bpe_49k.json")).collect()}
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == rows[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("segment", [10**6, 300])
+def test_filter_grows_beyond_the_broadcast(docs, monkeypatch, segment):
+    monkeypatch.setattr(bloom_lm, "SEGMENT", segment, raising=False)
+    monkeypatch.setattr(bloom_lm, "ROUTED", 100, raising=False)
+    whole, apart = bloom_lm.train(docs), bloom_lm.train(docs, filter_bytes=700)
+    wanted = {r["doc_id"]: r for r in bloom_lm.score(docs, whole).collect()}
+    got = bloom_lm.score(docs, apart).collect()
+    assert len(got) == len(wanted)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"]) == (wanted[r["doc_id"]]["n_tokens"], wanted[r["doc_id"]]["n_known"])
+        assert abs(r["score"] - wanted[r["doc_id"]]["score"]) < 1e-9 * abs(r["score"])
+    assert whole[0].found is not None and apart[0].found is None and (apart[4] > 1) == (segment == 300)
