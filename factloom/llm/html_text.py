@@ -24,21 +24,35 @@ RAW = frozenset("script style noscript template textarea title iframe svg math".
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul summary".split())
 CONTAINER = frozenset("article main section div td body".split())
 CLOSES_P = BLOCK | {"form", "nav", "aside", "footer"}
-LEFT_OUT = frozenset("nav header footer aside form button select option dialog menu head object audio video canvas".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
+HARD = frozenset("button select option head object audio video canvas".split())
+TAGS = frozenset("nav header footer aside dialog menu".split())
+LEFT_OUT = HARD | TAGS | {"form"}
+WORDS = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget"
+BOILERPLATE = re.compile(rf"(?:^|[\s_-]){WORDS})(?:$|[\s_-])", re.I)
+#: A name that is one of the words, or begins with one.
+WHOLE = re.compile(rf"(?:^|\s){WORDS})(?:$|\s)", re.I)
+STARTS = re.compile(rf"(?:^|\s){WORDS})(?:$|[\s_-])", re.I)
+#: An element that would be left out stays if it holds more than this share of the page's text and no article stands elsewhere.
+SHARE = {"part": 0.5, "whole": 0.9, "tag": 1.0}
 
 
 class Page:
-    """Blocks of text of a page: (path of open elements, text), boilerplate and markup left out."""
+    """Blocks of text of a page: (path of open elements, text), boilerplate and markup left out.
+
+    Elements named like boilerplate, forms and the TAGS are judged once the whole page
+    is read, since a template's outer element can be named after what surrounds it.
+    """
 
     def __init__(self, source):
-        self.blocks, self.stack, self.held = [], [], []
+        self.raw, self.stack, self.held = [], [], []
+        #: Kinds of the elements to judge, those open now, and how many were open before the outermost article.
+        self.kinds, self.outs, self.article = [], (), None
         self.dropped = 0
         at, size = 0, len(source)
         while at < size:
             m = TOKEN.search(source, at)
             if not self.dropped:
-                self.held.append(source[at : m.start() if m else size])
+                self.hold(source[at : m.start() if m else size])
             if not m:
                 break
             at = m.end()
@@ -46,16 +60,47 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if name in ("svg", "math") and not close and about.rstrip().endswith("/"):
+                continue
             if name in RAW and not close:
                 end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
                 at = end.end() if end else size
             elif name == "br":
-                self.held.append(" ")
+                self.hold(" ")
             elif close:
                 self.close(name)
             else:
                 self.open(name, about)
         self.end_block()
+        lost = self.left_out()
+        self.blocks = []
+        for path, pieces in self.raw:
+            text = SPACE.sub(" ", entities.unescape("".join(s for s, outs, _ in pieces if lost.isdisjoint(outs)))).strip()
+            if text:
+                self.blocks.append((path, text))
+
+    def hold(self, text):
+        if text:
+            self.held.append((text, self.outs, self.article))
+
+    def left_out(self):
+        """The judged elements to leave out: all but those that hold the page's article or most of its text."""
+        if not self.kinds:
+            return set()
+        each = [(len(s.strip()), outs, article) for _, pieces in self.raw for s, outs, article in pieces]
+        texts, articles, free = ([0] * (len(self.kinds) + 1) for _ in range(3))
+        for n, outs, article in each:
+            tagged = any(self.kinds[o] == "tag" for o in outs)
+            for o in (*outs, -1):  # the last counts the page
+                texts[o] += n
+                free[o] += 0 if tagged else n
+            if article is not None:
+                for o in (*outs[:article], -1):
+                    articles[o] += n
+        kept = {o for o in range(len(self.kinds)) if articles[o] > articles[-1] / 2 and texts[o] > texts[-1] / 4}
+        if not any(n and article is not None and kept.issuperset(outs[:article]) for n, outs, article in each):
+            kept |= {o for o, kind in enumerate(self.kinds) if free[o] > SHARE[kind] * free[-1]}
+        return set(range(len(self.kinds))) - kept
 
     def open(self, name, about):
         if name in CLOSES_P and any(s[0] == "p" for s in self.stack):
@@ -69,10 +114,20 @@ class Page:
         marks = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(about)} if about else {}
         words = " ".join(marks.values())
         inside = any(s[0] in ("article", "main") for s in self.stack)
-        out = name in LEFT_OUT and not (name == "header" and inside) or bool(words and name not in ("body", "html", "article", "main") and BOILERPLATE.search(words))
+        core = name in ("article", "main")
+        kind = "tag" if name in TAGS and not (name == "header" and inside) else "part" if name == "form" else None
+        if words and not core and name not in ("body", "html") and BOILERPLATE.search(words):
+            kind = kind or ("whole" if WHOLE.search(words) else "part")
+        first = self.article is None and (core or marks.get("role") in ("article", "main")) and not STARTS.search(words)
         style = ".".join(re.sub(r"\d+", "#", w) for w in sorted(marks.get("class", "").split())[:2])
-        self.stack.append((name, f"{name}.{style}" if style else name, out))
-        self.dropped += out
+        hard = name in HARD
+        self.stack.append((name, f"{name}.{style}" if style else name, hard, bool(kind) and not self.dropped and not hard, first))
+        self.dropped += hard
+        if first:
+            self.article = len(self.outs)
+        if self.stack[-1][3]:
+            self.outs += (len(self.kinds),)
+            self.kinds.append(kind)
 
     def close(self, name):
         for k in range(len(self.stack) - 1, -1, -1):
@@ -80,6 +135,9 @@ class Page:
                 if name in BLOCK or name in LEFT_OUT:
                     self.end_block()
                 self.dropped -= sum(s[2] for s in self.stack[k:])
+                self.outs = self.outs[: len(self.outs) - sum(s[3] for s in self.stack[k:])]
+                if any(s[4] for s in self.stack[k:]):
+                    self.article = None
                 # inline elements left open stay open: only the block between is closed
                 del self.stack[k:]
                 return
@@ -88,10 +146,9 @@ class Page:
 
     def end_block(self):
         if self.held:
-            text = SPACE.sub(" ", entities.unescape("".join(self.held))).strip()
+            if not all(text.isspace() for text, _, _ in self.held):
+                self.raw.append((tuple(s[1] for s in self.stack if s[0] in CONTAINER), self.held))
             self.held = []
-            if text:
-                self.blocks.append((tuple(s[1] for s in self.stack if s[0] in CONTAINER), text))
 
     def containers(self):
         """{path: score}: text of a container's own blocks, half for blocks one container below, more for sentences."""

@@ -170,3 +170,29 @@ def test_filter_grows_beyond_the_broadcast(docs, monkeypatch, segment):
         assert (r["n_tokens"], r["n_known"]) == (wanted[r["doc_id"]]["n_tokens"], wanted[r["doc_id"]]["n_known"])
         assert abs(r["score"] - wanted[r["doc_id"]]["score"]) < 1e-9 * abs(r["score"])
     assert whole[0].found is not None and apart[0].found is None and (apart[4] > 1) == (segment == 300)
+
+
+BODY = "<h1>T</h1><p>One sentence of it. And another one.</p><p>The last of them.</p>"
+WANTED = "T\n\nOne sentence of it. And another one.\n\nThe last of them."
+AROUND = "<nav><p>Menu</p></nav><div class='comments'><article class='comment-body'><p>Me too. " + "So much. " * 40 + "</p></article></div><footer>(c)</footer>"
+
+
+@pytest.mark.parametrize("outer", ["div class='content has-sidebar'", "div class=no-comments", "div class='header-fixed'", "div id='page-header-wrap'", "form", "div class=share", "nav"])
+def test_a_template_named_like_boilerplate_keeps_its_article(outer):
+    name = outer.split()[0]
+    for inner in ("article", "main"):
+        page = html_text.Page(f"<body><{outer}><{inner}>{BODY}<div class=comments><p>{'Me too. ' * 40}</p></div></{inner}></{name}>{AROUND}</body>")
+        assert page.text([]) == WANTED
+    if name != "nav":
+        assert html_text.Page(f"<body><{outer}>{BODY}</{name}><footer>(c)</footer></body>").text([]) == WANTED
+
+
+def test_boilerplate_is_still_left_out():
+    assert html_text.Page(f"<body><article>{BODY}</article>{AROUND}</body>").text([]) == WANTED
+    assert html_text.Page(f"<body><main><article>{BODY}</article>{AROUND}</main></body>").text([]) == WANTED
+    assert html_text.Page("<body><nav>Menu</nav></body>").text([]) == ""
+    assert html_text.Page("<p>One <span class=share>Tweet</span>two.</p>").text([]) == "One two."
+
+
+def test_a_self_closed_svg_is_empty():
+    assert html_text.Page("<body><article><p>A <svg class='x' /> b.</p><p>C <math/>d.</p><svg><path/>no</svg></article></body>").text([]) == "A b.\n\nC d."
