@@ -3,7 +3,8 @@
 Each page scores its containers; votes for generalised paths are summed per host
 in Spark; every page is read again with its host's winning paths. A null html
 gives an empty text; a null or broken URL shares the host ''. A page that has no
-container on a winning path falls back to its own best one. Repeated rows repeat.
+container on a winning path falls back to its own best one. The winner is lifted
+to the container of the whole article. Repeated rows repeat.
 """
 
 import html as entities
@@ -23,6 +24,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul summary".split())
 CONTAINER = frozenset("article main section div td body".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+ENDS = tuple(".!?…:。！？।؟")
 CLOSES_P = BLOCK | {"form", "nav", "aside", "footer"}
 HARD = frozenset("button select option head object audio video canvas".split())
 TAGS = frozenset("nav header footer aside dialog menu".split())
@@ -37,7 +40,7 @@ SHARE = {"part": 0.5, "whole": 0.9, "tag": 1.0}
 
 
 class Page:
-    """Blocks of text of a page: (path of open elements, text), boilerplate and markup left out.
+    """Blocks of text of a page: (path of open elements, text, whether a heading), boilerplate and markup left out.
 
     Elements named like boilerplate, forms and the TAGS are judged once the whole page
     is read, since a template's outer element can be named after what surrounds it.
@@ -74,10 +77,10 @@ class Page:
         self.end_block()
         lost = self.left_out()
         self.blocks = []
-        for path, pieces in self.raw:
+        for path, pieces, heading in self.raw:
             text = SPACE.sub(" ", entities.unescape("".join(s for s, outs, _ in pieces if lost.isdisjoint(outs)))).strip()
             if text:
-                self.blocks.append((path, text))
+                self.blocks.append((path, text, heading))
 
     def hold(self, text):
         if text:
@@ -87,7 +90,7 @@ class Page:
         """The judged elements to leave out: all but those that hold the page's article or most of its text."""
         if not self.kinds:
             return set()
-        each = [(len(s.strip()), outs, article) for _, pieces in self.raw for s, outs, article in pieces]
+        each = [(len(s.strip()), outs, article) for _, pieces, _ in self.raw for s, outs, article in pieces]
         texts, articles, free = ([0] * (len(self.kinds) + 1) for _ in range(3))
         for n, outs, article in each:
             tagged = any(self.kinds[o] == "tag" for o in outs)
@@ -147,24 +150,43 @@ class Page:
     def end_block(self):
         if self.held:
             if not all(text.isspace() for text, _, _ in self.held):
-                self.raw.append((tuple(s[1] for s in self.stack if s[0] in CONTAINER), self.held))
+                self.raw.append((tuple(s[1] for s in self.stack if s[0] in CONTAINER), self.held, any(s[0] in HEADING for s in self.stack)))
             self.held = []
 
     def containers(self):
         """{path: score}: text of a container's own blocks, half for blocks one container below, more for sentences."""
         scores = {}
-        for path, text in self.blocks:
+        for path, text, _ in self.blocks:
             value = len(text) + 20 * (text.count(". ") + text.endswith((".", "!", "?")))
             for up in range(min(3, len(path))):
                 here = path[: len(path) - up]
                 scores[here] = scores.get(here, 0) + value / 2**up
         return {p: s * (2 if p and p[-1].split(".")[0] in ("article", "main") else 1) for p, s in scores.items()}
 
+    def whole(self, best):
+        """The container of the whole article that `best` is part of.
+
+        That is the outermost article around it, else the main. From there, up to the
+        main or, without article and main, to the page, a container takes over if what
+        it adds is mostly headings and sentences.
+        """
+        names = [p.split(".")[0] for p in best]
+        top = names.index("main") + 1 if "main" in names else 0
+        if "article" in names:
+            best = best[: names.index("article") + 1]
+            top = top or len(best)
+        best = best if "article" in names else best[: top or len(best)]
+        for up in range(len(best) - 1, top - 1, -1):
+            added = [(len(t), heading or ". " in t or t.endswith(ENDS)) for p, t, heading in self.blocks if p[:up] == best[:up] and p[: len(best)] != best]
+            if sum(n for n, prose in added if prose) > 0.75 * sum(n for n, _ in added):
+                best = best[:up]
+        return best
+
     def text(self, paths):
-        """The blocks in the best of the given paths that the page has, else in its own best container."""
+        """The blocks of the article around the best of the given paths that the page has, else around its own best container."""
         scores = self.containers()
-        best = next((p for p in paths if p in scores), max(scores, key=scores.get, default=()))
-        return "\n\n".join(t for p, t in self.blocks if p[: len(best)] == best)
+        best = self.whole(next((p for p in paths if p in scores), max(scores, key=scores.get, default=())))
+        return "\n\n".join(t for p, t, _ in self.blocks if p[: len(best)] == best)
 
 
 def host(url):

@@ -196,3 +196,16 @@ def test_boilerplate_is_still_left_out():
 
 def test_a_self_closed_svg_is_empty():
     assert html_text.Page("<body><article><p>A <svg class='x' /> b.</p><p>C <math/>d.</p><svg><path/>no</svg></article></body>").text([]) == "A b.\n\nC d."
+
+
+PARTS = ["<article><h1>T</h1><div class=wrap><p>Lead.</p><div class=content>{0}</div></div></article>", "<article><div class=entry><h1>T</h1><p>Lead.</p><section class=a>{0}</section><section class=b><p>End.</p></section></div></article>", "<main><h1>T</h1><p>Lead.</p><section class=a>{0}</section><section class=b><p>End.</p></section></main>", "<main><h1>T</h1><article><p>Lead.</p>{0}</article></main>", "<div class=entry><h1>T</h1><div class=wrap><p>Lead.</p><div class=content>{0}</div></div></div><div class=links><ul><li>Some link<li>Another link</ul></div>", "<h1>T</h1><p>Lead.</p><section class=a>{0}</section><section class=b><p>End.</p></section>"]
+
+
+def test_nested_templates_give_the_whole_article(spark):
+    long = [f"Sentence {i} of it. " * 9 for i in range(8)]
+    rows = [(10 * k + i, f"https://h{k}.example/{i}", "<html><body><nav>Menu</nav>" + part.format("".join(f"<p>{t}</p>" for t in long)) + "<footer>(c)</footer></body></html>") for k, part in enumerate(PARTS) for i in range(3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        end = ["End."] if "End." in PARTS[r["page_id"] // 10] else []
+        assert r["text"].split("\n\n") == ["T", "Lead.", *(t.strip() for t in long), *end]
