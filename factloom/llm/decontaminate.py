@@ -1,14 +1,17 @@
 """Benchmark decontamination: n-gram windows of test items looked up in training texts.
 
-Nulls and texts without words hit nothing. Items with the same id count once;
-repeated documents give repeated rows. Only hash tables of test windows are
-broadcast: above `max_windows` they go in blocks, whose hits are merged.
+Null texts and texts without words hit nothing. Items with the same id count once;
+items with a null id are searched, but cannot be listed. Repeated documents give
+repeated rows. Only hash tables of test windows are broadcast: above `max_windows`
+they go in blocks, whose hits are merged row by row.
 """
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_columns, table, windows
+from .common import WordHashes, cut, map_columns, table, windows
 
 #: Bytes that belong to words stay, capitals become small, all others become spaces.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -64,7 +67,7 @@ class Windows:
 def item_blocks(benchmark, n, item_id, text, max_windows):
     """Lists of (id, words), each list of at most `max_windows` windows or one item."""
     block, total = [], 0
-    for row in benchmark.select(item_id, text).where(F.col(item_id).isNotNull()).distinct().toLocalIterator():
+    for row in benchmark.select(item_id, text).distinct().toLocalIterator():
         if words := words_of(row[1]):
             more = max(1, len(words) - n + 1)
             if block and total + more > max_windows:
@@ -77,28 +80,33 @@ def item_blocks(benchmark, n, item_id, text, max_windows):
 
 def decontaminate(docs, benchmark, n=10, doc_id="doc_id", text="text", item_id="item_id", item_text="text", max_windows=2_000_000):
     """Per document: the id, n_words, hit_words (positions), items (ids, sorted)."""
-    out, schema = None, f"{doc_id} bigint, n_words bigint, hit_words array<int>, items array<bigint>"
-    for block in item_blocks(benchmark, n, item_id, item_text, max_windows):
+    blocks = item_blocks(benchmark, n, item_id, item_text, max_windows)
+    first, second = next(blocks), next(blocks, None)
+    out, columns, schema = None, [doc_id, text], f"{doc_id} bigint, n_words bigint, hit_words array<int>, items array<bigint>"
+    if second is not None:  # rows are known by a key, which must not change between the blocks
+        docs = cut(docs.select(*columns).withColumn("_row", F.monotonically_increasing_id()))
+        columns, schema = ["_row", *columns], f"_row bigint, {schema}"
+    for block in [first] if second is None else chain([first, second], blocks):
         shared = docs.sparkSession.sparkContext.broadcast(Windows(block, n))
 
         def make(shared=shared):
             found = shared.value
 
-            def step(ids, texts):
+            def step(*given):
+                *keys, texts = given
                 rows = []
                 for t in texts:
                     words = words_of(t)
                     hit, items = found.hits(words)
-                    rows.append((len(words), hit.astype(np.int32), sorted(items)))
-                return [ids, *map(list, zip(*rows, strict=True))] if rows else [[]] * 4
+                    rows.append((len(words), hit.astype(np.int32), sorted(items - {None})))
+                return [*keys, *map(list, zip(*rows, strict=True))] if rows else [[]] * (len(keys) + 3)
 
             return step
 
-        part = map_columns(docs, [doc_id, text], make, schema)
-        single = out is None
-        out = part if single else out.unionByName(part)
-    if not single:
-        out = out.groupBy(doc_id, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        part = map_columns(docs, columns, make, schema)
+        out = part if out is None else out.unionByName(part)
+    if second is not None:
+        out = out.groupBy("_row", doc_id, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.select(doc_id, "n_words", "hit_words", "items")
 
 

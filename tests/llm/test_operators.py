@@ -209,3 +209,18 @@ def test_nested_templates_give_the_whole_article(spark):
     for r in got:
         end = ["End."] if "End." in PARTS[r["page_id"] // 10] else []
         assert r["text"].split("\n\n") == ["T", "Lead.", *(t.strip() for t in long), *end]
+
+
+def test_blocks_of_windows_keep_rows_apart(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (1, "gamma delta"), (None, "alpha x"), (None, "y delta")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "alpha"), (8, "delta"), (9, "beta")], "item_id bigint, text string")
+    order = lambda df: sorted(map(str, df.collect()))
+    plain = order(decontaminate.decontaminate(docs, items))
+    assert len(plain) == 5 and plain == order(decontaminate.decontaminate(docs, items, max_windows=1))
+
+
+def test_items_without_an_id_are_searched(spark, docs):
+    items = spark.createDataFrame([(None, "été"), (8, "One"), (None, "two")], "item_id bigint, text string")
+    for how in ({}, {"max_windows": 1}):
+        by = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items, **how).collect()}
+        assert by[5]["hit_words"] == [0, 1] and by[5]["items"] == [8] and by[len(texts()) - 1]["hit_words"] == [0]
