@@ -204,7 +204,7 @@ class Names(dict):
 
 
 def encode_decode(docs, path, doc_id="doc_id", text="text"):
-    """Per row: the id, n_tokens, ids (decimal, joined by a space), decoded."""
+    """Per row: the id, n_tokens, ids (decimal, joined by a space), decoded (token names, joined by a space), and the text of the ids."""
 
     def make():
         bpe = loaded(path)
@@ -212,11 +212,11 @@ def encode_decode(docs, path, doc_id="doc_id", text="text"):
 
         def step(ids, texts):
             coded = [bpe.encode(t or "") for t in texts]
-            return ids, [n for _, n in coded], [c for c, _ in coded], [" ".join(map(name, c.split())) for c, _ in coded]
+            return ids, [n for _, n in coded], [c for c, _ in coded], [" ".join(map(name, c.split())) for c, _ in coded], ["".join(bpe.text(c.split())) for c, _ in coded]
 
         return step
 
-    return map_columns(docs, [doc_id, text], make, f"{doc_id} bigint, n_tokens bigint, ids string, decoded string")
+    return map_columns(docs, [doc_id, text], make, f"{doc_id} bigint, n_tokens bigint, ids string, decoded string, decoded_text string")
 
 
 def digests(docs, path):

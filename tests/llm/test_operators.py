@@ -224,3 +224,8 @@ def test_items_without_an_id_are_searched(spark, docs):
     for how in ({}, {"max_windows": 1}):
         by = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items, **how).collect()}
         assert by[5]["hit_words"] == [0, 1] and by[5]["items"] == [8] and by[len(texts()) - 1]["hit_words"] == [0]
+
+
+def test_encode_decode_gives_the_text(docs):
+    rows = {r["doc_id"]: r for r in bpe.encode_decode(docs, P.path("word_bpe_49k.json")).collect()}
+    assert rows[5]["decoded_text"] == "one two " and rows[0]["decoded_text"] == "" and "漢字" in rows[len(texts()) - 1]["decoded_text"]
