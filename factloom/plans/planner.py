@@ -8,12 +8,13 @@ class UnsupportedTarget(ValueError):
     """No path gives any requested target."""
 
 
-def choose_paths(paths, targets, level="metadata", confidence="high", overrides=None, optional=()):
+def choose_paths(paths, targets, level="metadata", confidence="high", overrides=None, optional=(), piggyback=True):
     """{paths, unresolved, piggyback, cost} for the targets.
 
     paths: dicts with id, targets, level, confidence and cost. The path with the
     least cost for each target it adds (whole numbers) comes first; then the higher
-    confidence, then the id. Optional targets come along only with chosen paths.
+    confidence, then the id. Optional targets come along only with chosen paths,
+    held to their own overrides, and not at all without `piggyback`.
     """
     needed = {t: CONFIDENCES.index((overrides or {}).get(t, confidence)) for t in targets}
     usable = [p for p in paths if LEVELS.index(p["level"]) <= LEVELS.index(level)]
@@ -27,6 +28,6 @@ def choose_paths(paths, targets, level="metadata", confidence="high", overrides=
         left -= gives[best]
     if needed and not chosen:
         raise UnsupportedTarget(",".join(sorted(left)))
-    floor = CONFIDENCES.index(confidence)
-    along = {t for p in usable if p["id"] in chosen and rank[p["id"]] >= floor for t in p["targets"]} & set(optional) - set(needed)
+    floor = {t: CONFIDENCES.index((overrides or {}).get(t, confidence)) for t in set(optional) - set(needed)} if piggyback else {}
+    along = {t for p in usable if p["id"] in chosen for t in p["targets"] if t in floor and rank[p["id"]] >= floor[t]}
     return {"paths": chosen, "unresolved": sorted(left), "piggyback": sorted(along), "cost": sum(cost[i] for i in chosen)}

@@ -29,3 +29,10 @@ def test_planner():
     assert choose_paths(paths, ["y", "w"], optional=["z"]) == {"paths": ["c"], "unresolved": ["w"], "piggyback": ["z"], "cost": 3}
     with pytest.raises(UnsupportedTarget):
         choose_paths(paths, ["q"])
+
+
+def test_planner_holds_optional_targets_to_their_overrides():
+    paths = [{"id": "a", "targets": ["x", "y", "z"], "level": "metadata", "confidence": "high", "cost": 3}]
+    assert choose_paths(paths, ["x"], optional=["y", "z"], overrides={"y": "exact"})["piggyback"] == ["z"]
+    assert choose_paths(paths, ["x"], confidence="exact", optional=["y", "z"], overrides={"x": "high", "y": "low"})["piggyback"] == ["y"]
+    assert choose_paths(paths, ["x"], optional=["y"], piggyback=False)["piggyback"] == []
