@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -9,16 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch: whole texts are long, so batches stay small.
-BATCH_ROWS = 512
+#: Bytes of texts that a step in a task works on at once; a longer text is a step of its own.
+STEP_BYTES = 2 << 20
 
 
 def table(spark, sf_dir, name):
     """The Parquet table `name` below `sf_dir`, read by Spark."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def steps(batches):
+    """Arrow batches cut into pieces of about STEP_BYTES, a row at least."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * STEP_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(df, columns, make, schema):
     """Apply `make()` once a task; its result maps lists of column values to lists of output columns."""
     fields = StructType.fromDDL(schema)
@@ -27,26 +35,45 @@ def map_columns(df, columns, make, schema):
     def run(batches):
         step = make()
         arrow = to_arrow_schema(fields)
-        for batch in batches:
+        for batch in steps(batches):
             made = step(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_pydict(dict(zip(names, made, strict=True)), schema=arrow)
 
     return df.select(*columns).mapInArrow(run, fields)
 
 
+def shared_folder(spark):
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
+    if (path := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", path := "file://" + tempfile.mkdtemp(prefix="shared-"))
+    return path.rstrip("/")
+
+
 def cut(df):
-    """Cut lineage with a checkpoint in the folder that the cluster shares."""
+    """Cut lineage with a checkpoint in the shared folder; Spark removes it with its DataFrame if it cleans checkpoints."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def shared_folder(spark):
-    """The folder for written tables that driver and executors share."""
-    if (path := spark.sparkContext.getConf().get("spark.checkpoint.dir")) is None:
-        path = "file://" + tempfile.mkdtemp(prefix="tables-")
-    return path.rstrip("/")
+def stored(df, name="table"):
+    """`df` written to the shared folder as Parquet and read again: computed once, read by column."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(*tables):
+    """Delete what `stored` wrote; nothing may read these tables any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sha(data):

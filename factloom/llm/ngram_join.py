@@ -1,23 +1,31 @@
 """Jaccard join on word shingles, size-aware: subsets for small sets, inverted lists for large ones.
 
 A null or empty text has an empty set and no links; a text shorter than a shingle
-is one shingle. Equal sets are one class and are compared once. Rows with a null
-id are left out of links and get a null component. Sets are held as 64-bit hashes.
+is one shingle. Equal sets are one class, known by 128 bits of its set and its size,
+and are compared once, whatever ids their rows have: rows that share an id but not a
+text are documents of their own. Rows with a null id are left out of links and get a
+null component; repeated rows repeat. Very long texts are whole. Sets are held as
+64-bit hashes. Only the id and the text are read, so other columns cannot clash.
+An empty table gives no rows.
 """
 
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_columns, mix, table, windows
+from .common import WordHashes, cut, map_columns, mix, remove, steps, stored, table, windows
 
-GATHER = 2_000_000
-#: Rows that may be broadcast; larger sides are joined by shuffle.
+#: Shingles are counted in 2 ** BUCKET_BITS buckets, in blocks of BLOCK, by groups of GROUP tasks first.
+BUCKET_BITS, BLOCK, GROUP = 20, 4096, 1024
+#: Rows of ids that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: 64-bit words in a set's sketch.
 SKETCH = 8
+WORDS = [f"s{k}" for k in range(SKETCH)]
 #: Keys of a set by which a pair's first common list is found; pairs without a common one there come from every list.
 FIRST = 16
 
@@ -46,19 +54,15 @@ def boundary(percent, list_length, most=20):
     return n
 
 
-def keys_of(made, frequent, percent, light):
-    """Hash keys of a set: its subsets if small, its rarest shingles if it may meet a large set."""
+def keys_of(made, counts, percent, light):
+    """Hash keys of a set: its subsets if small, the shingles of its emptiest buckets if it may meet a large set."""
     n, keys = len(made), []
     if n <= light:
         for c in range(least(percent, n), n + 1):
             keys += [hash_run(np.array(s, np.uint64), c) for s in combinations(made.tolist(), c)]
     if n and n * 100 >= percent * (light + 1):
-        hashes, counts = frequent
-        common = np.zeros(n, np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, made), len(hashes) - 1)
-            common = np.where(hashes[at] == made, counts[at], 0)
-        keys += made[np.lexsort((made, common))][: n - least(percent, n) + 1].tolist()
+        common = counts[made >> np.uint64(64 - BUCKET_BITS)]
+        keys += made[np.argsort(common, kind="stable")[: n - least(percent, n) + 1]].tolist()
     return np.array(keys, np.uint64).view(np.int64)
 
 
@@ -70,64 +74,69 @@ def hash_run(values, salt):
     return int(mix(both[:1] + both[1:] + np.uint64(salt))[0])
 
 
-def frequent_shingles(docs, text, n, rows=1_000_000):
-    """(sorted hashes, counts, mean list length): shingles of many documents, by counts that each task sums first."""
-    import pandas as pd
-
-    def run(frames):
-        hashes, held, size = WordHashes(), [], 0
-
-        def flush():
-            values, k = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"hash": values[k > 1].view(np.int64), "n": k[k > 1]})
-
-        for frame in frames:
-            for t in frame[text]:
-                held.append(shingles(t, n, hashes))
-                size += len(held[-1])
-                if size >= GATHER:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    counts = docs.select(text).mapInPandas(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 4")
-    counts = cut(counts)
-    bounds = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).orderBy(F.desc("level")).collect()
-    low, room = 1 << 62, rows
-    for r in bounds:
-        if (room := room - r["v"]) < 0:
-            break
-        low = 1 << r["level"]
-    top = counts.where(F.col("n") >= low).toPandas()
-    hashes, k = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], k[order], sum(r["nn"] for r in bounds) / max(1, sum(r["n"] for r in bounds)) if bounds else 1.0
-
-
-def described(docs, n, percent, frequent, light, doc_id, text):
-    """Per row: id, size, print (128 bits of the set), keys and sketch."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def about(made):
+    """(two 64-bit prints, SKETCH words) of a set; the sketch's bits are parities, so an element that differs flips one bit at most."""
+    mixed = mix(made)
+    prints = np.array([mixed.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed) if len(made) else 0], np.uint64).view(np.int64)
+    bits = np.bincount((mixed >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    return *prints.tolist(), np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def shingle_counts(docs, text, n):
+    """Counts of all sets' shingles by the leading bits of their hashes, and the mean length of a shingle's list.
+
+    With N shingles in w buckets a shingle seems too frequent by N / w on average and
+    stands out from the others from about sqrt(N / w) on. Only the order of keys and
+    the boundary follow from the counts, so links do not depend on them. Tasks sum
+    their vectors first, then groups of tasks, then all: 4 MB reach the driver.
+    """
+
+    def count(batches):
+        hashes, sums = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in steps(batches):
+            held = [shingles(t, n, hashes) for t in batch[0].to_pylist()]
+            sums += np.bincount((np.concatenate(held) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(sums))
+        blocks = sums.astype(np.uint32).reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        group = TaskContext.get().partitionId() // GROUP
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "grp": pa.array([group] * len(some), pa.int32()), "counts": [blocks[k].tobytes() for k in some]})
+
+    def added(got):
+        first = got.slice(0, 1)
+        total = sum(np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64) for c in got["counts"])
+        return first.set_column(first.schema.get_field_index("counts"), "counts", [[np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]])
+
+    schema = "part int, grp int, counts binary"
+    sums = docs.select(text).mapInArrow(count, schema).groupBy("part", "grp").applyInArrow(added, schema).groupBy("part").applyInArrow(added, schema)
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    for r in sums.collect():
+        counts[r["part"] * BLOCK : (r["part"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
+    # the second moment of the lists' lengths, from that of the buckets
+    total, squares = float(counts.sum(dtype=np.uint64)), float((counts.astype(np.float64) ** 2).sum())
+    return counts, max(1.0, (squares - total**2 / len(counts)) / max(1.0, total))
+
+
+def described(docs, n, percent, counts, light, doc_id, text):
+    """Per row: a key of its own, id, hash of the text, size, prints of the set, keys and sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
-        hashes = WordHashes()
+        hashes, at = WordHashes(), TaskContext.get().partitionId() << 33
 
-        def step(ids, texts):
+        def step(ids, texts, hashed):
+            nonlocal at
             out = []
             for t in texts:
                 made = shingles(t, n, hashes)
-                out.append((len(made), f"{hash_run(made, 1):016x}{hash_run(mix(made), 2):016x}", keys_of(made, shared.value, percent, light), parity(made)))
-            return [ids, *map(list, zip(*out, strict=True))] if out else [[]] * 5
+                p, q, sketch = about(made)
+                out.append((at, len(made), p, q, keys_of(made, shared.value, percent, light), sketch))
+                at += 1
+            rows, *rest = map(list, zip(*out, strict=True))
+            return [rows, ids, hashed, *rest]
 
         return step
 
-    return map_columns(docs, [doc_id, text], make, "id bigint, n bigint, print string, keys array<bigint>, sketch array<bigint>")
-
-
-def parity(made):
-    """SKETCH words whose bits are the parities of a set's elements: each element that differs flips one bit at most."""
-    bits = np.bincount((mix(made) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return map_columns(docs, [F.col(doc_id).cast("bigint"), text, F.xxhash64(text)], make, "row bigint, id bigint, hashed bigint, n bigint, p bigint, q bigint, keys array<bigint>, sketch array<bigint>")
 
 
 def sized(df):
@@ -135,21 +144,88 @@ def sized(df):
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(docs, pairs, n, percent, doc_id, text):
-    """The pairs (a, b) that link, by exact comparison of whole sets."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sized(ids), "id").dropDuplicates(["id"])
+class Sets:
+    """The classes of equal sets, the lists of keys that several classes share, and exact tests of pairs of classes.
 
-    def make():
-        hashes = WordHashes()
-        return lambda ids, texts: (ids, [shingles(t, n, hashes).view(np.int64) for t in texts])
+    A class is known by `c`, the least key of its rows. Lists hold only keys and
+    classes; sizes and sketches are fetched for distinct pairs, whole sets for the
+    pairs that these let pass.
+    """
 
-    sets = map_columns(texts, ["id", "text"], make, "id bigint, made array<bigint>")
-    left = sets.select(F.col("id").alias("a"), F.col("made").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("made").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
-    return cut(both.where(F.col("k") * 100 >= (F.size("x") + F.size("y") - F.col("k")) * percent).select("a", "b"))
+    def __init__(self, docs, n, percent, doc_id, text):
+        self.docs, self.n, self.percent, self.doc_id, self.text = docs, n, percent, doc_id, text
+        counts, length = shingle_counts(docs, text, n)
+        self.rows = stored(described(docs, n, percent, counts, boundary(percent, length), doc_id, text), "sets")
+        known = self.rows.where("n > 0 and id is not null")
+        self.classes = stored(known.groupBy("p", "q", "n").agg(F.min("row").alias("c"), F.min("id").alias("rep")), "classes")
+        chosen = known.join(sized(self.classes.select(F.col("c").alias("row"))), "row", "left_semi")
+        members = chosen.select(F.explode("keys").alias("key"), F.col("row").alias("c"))
+        lists = members.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub")
+        self.held = stored(members.join(lists, "key"), "lists")
+        some = self.held.select(F.col("c").alias("row")).distinct()
+        self.facts = stored(chosen.join(some, "row", "left_semi").select(F.col("row").alias("c"), "id", "n", "p", "q", *(F.col("sketch")[k].alias(w) for k, w in enumerate(WORDS))), "facts")
+
+    def side(self, name):
+        """Facts with the class as `name` and other columns marked by it."""
+        return self.facts.select(F.col("c").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in ["n", *WORDS]))
+
+    def fits(self):
+        """Whether sizes and sketches of a and b allow a link; a link allows few elements that differ."""
+        n, m = F.col("a_n"), F.col("b_n")
+        differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
+        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent) & (differ * (100 + self.percent) <= (n + m) * (100 - self.percent))
+
+    def fitting(self, pairs):
+        """Those of the pairs (a, b) that sizes and sketches let pass."""
+        return pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.fits()).select("a", "b")
+
+    def verified(self, pairs):
+        """(a, b, overlap) of the pairs that link, by exact comparison of whole sets.
+
+        Each set is made once from its class's text; a pair meets the set of b, and
+        then that of a, its hub, which is loaded once for all its partners.
+        """
+        ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        wanted = self.facts.join(ids, "c", "left_semi").select("c", F.col("id").alias("_id"), "p", "q")
+        texts = self.docs.select(F.col(self.doc_id).alias("_id"), F.col(self.text).alias("_text")).join(sized(wanted), "_id")
+        n = self.n
+
+        def make():
+            hashes = WordHashes()
+
+            def step(classes, ps, qs, texts):
+                out = [(c, made.view(np.int64)) for c, p, q, t in zip(classes, ps, qs, texts, strict=True) for made in [shingles(t, n, hashes)] if about(made)[:2] == (p, q)]
+                return list(zip(*out, strict=True)) or [[], []]
+
+            return step
+
+        sets = map_columns(texts, ["c", "p", "q", "_text"], make, "c bigint, made array<bigint>").dropDuplicates(["c"])
+        left = sets.select(F.col("c").alias("a"), F.col("made").alias("x"))
+        right = sets.select(F.col("c").alias("b"), F.col("made").alias("y"))
+        both = pairs.join(right, "b").join(left, "a").withColumn("overlap", F.size(F.array_intersect("x", "y")))
+        return both.where(F.col("overlap") * 100 >= (F.size("x") + F.size("y") - F.col("overlap")) * self.percent).select("a", "b", "overlap")
+
+    def crossed(self, members, apart):
+        """Distinct fitting pairs of the members (key, c, ...) of each list for which `apart` holds of the columns l_ and r_.
+
+        A list is joined with itself by cells of size: sets that link lie in the same
+        or in neighbouring cells, so a list of many sizes is cut. A pair comes from
+        the first list that both are in, where their first keys tell which that is.
+        """
+        first = self.held.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("first"))
+        cell = F.floor(F.log(F.col("n").cast("double")) / log(100 / min(self.percent, 99)) * 0.999)
+        whole = stored(members.join(self.facts, "c").join(first, "c").withColumn("cell", cell), "open")
+        kept = [c for c in whole.columns if c not in ("key", "cell")]
+        mark = lambda side: {"c": side, "n": f"{side}_n"} | {w: f"{side}_{w}" for w in WORDS}
+        left = whole.select("key", "cell", *(F.col(c).alias(mark("a").get(c, f"l_{c}")) for c in kept))
+        right = whole.select("key", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"), *(F.col(c).alias(mark("b").get(c, f"r_{c}")) for c in kept))
+        smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+        both = F.array_min(F.array_intersect("l_first", "r_first"))
+        found = left.join(right, ["key", "cell"]).where(smaller & self.fits() & apart & F.coalesce(both == F.col("key"), F.lit(True)))
+        return found.select("a", "b").distinct(), whole
+
+    def forget(self):
+        remove(self.held, self.facts)
 
 
 def components(edges):
@@ -166,61 +242,69 @@ def components(edges):
             return labels
 
 
-def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", rounds=2):
-    """Per row: doc_id, n_shingles, component_id.
+def placed(docs, n, percent, doc_id, text, rounds=2):
+    """Per row: id, hashed, n, component.
 
-    In `rounds` rounds each list's members are compared with one member of it. Then
-    all pairs of a list whose members are not yet connected are compared, so no
-    component is missed while a list of copies gives few pairs.
+    In `rounds` rounds each list's classes are compared with one class of it. Then
+    all pairs of a list whose classes are not yet connected are compared, so no
+    component is missed while a list of copies gives few pairs. A pair is tested once.
     """
-    hashes, counts, length = frequent_shingles(docs, text, n)
-    light = boundary(percent, length)
-    rows = cut(described(docs, n, percent, (hashes, counts), light, doc_id, text))
-    classes = rows.where("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
-    classes = cut(classes)
-    members = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    held = members.join(shared, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list("key")).alias("held"))
-    words = [f"s{k}" for k in range(SKETCH)]
-    held = held.join(classes.select("rep", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words))), "rep")
-    members = cut(held.select(F.explode("held").alias("key"), "rep", "n", F.slice("held", 1, FIRST).alias("first"), *words))
-
-    def fits(other):
-        """Whether sizes and sketches allow a link; a link allows few elements that differ."""
-        n, m = F.col("n"), F.col("m")
-        differ = sum((F.bit_count(F.col(w).bitwiseXOR(other(w))) for w in words), F.lit(0))
-        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
-
-    edges = labels = None
+    sets = Sets(docs, n, percent, doc_id, text)
+    edges = labels = tested = None
     for k in range(rounds + 1):
         if labels is None:
-            now = members.withColumn("comp", F.col("rep"))
+            pairs, extra = sets.held.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct(), []
         else:
-            now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        lists = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", *words), F.xxhash64("comp", F.lit(k))).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-        if k < rounds:
-            lists = lists.select("key", F.col("p.rep").alias("q"), F.col("p.n").alias("m"), F.col("p.comp").alias("other"), *(F.col(f"p.{w}").alias(f"o{w}") for w in words))
-            pairs = now.join(lists, "key").where(F.col("comp") != F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
-        else:
-            open_ = cut(now.join(lists.select("key"), "key"))
-            other = open_.select("key", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("first").alias("others"), *(F.col(w).alias(f"o{w}") for w in words))
-            pairs = open_.join(other, "key").where(F.col("comp") < F.col("other")).where(fits(lambda w: F.col(f"o{w}")))
-            # a pair comes from the first list that both are in, where their first keys tell which that is
-            both = F.array_min(F.array_intersect("first", "others"))
-            pairs = pairs.where(F.coalesce(both == F.col("key"), F.lit(True)))
-        found = verified(docs, pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct(), n, percent, doc_id, text)
-        edges = found if edges is None else edges.union(found)
+            now = sets.held.select("key", "c").join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+            lists = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("comp", F.lit(k))).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+            if k < rounds:
+                met = now.join(lists.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key").where("comp != other")
+                pairs, extra = met.select("a", F.col("c").alias("b")).distinct(), []
+            else:
+                pairs, *extra = sets.crossed(now.join(lists.select("key"), "key"), F.col("l_comp") != F.col("r_comp"))
+        pairs = sets.fitting(pairs) if not extra else pairs
+        if tested is not None:
+            done = [t.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")) for t in tested]
+            for t in done:
+                pairs = pairs.join(t, (F.least("a", "b") == t["x"]) & (F.greatest("a", "b") == t["y"]), "left_anti")
+        pairs = stored(pairs, "pairs")
+        tested = [*(tested or []), pairs]
+        found = sets.verified(pairs).select("a", "b")
+        edges = cut(found if edges is None else edges.union(found))
         labels = components(edges)
-    place = classes.select("print", F.col("n").alias("n_shingles"), "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    place = place.select("print", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.select("id", "print", F.col("n").alias("n_shingles")).join(place, ["print", "n_shingles"], "left")
-    return out.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        remove(*extra)
+    remove(*tested)
+    sets.forget()
+    classes = sets.classes.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    lowest = classes.join(classes.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("p", "q", "n", "component")
+    out = sets.rows.select("id", "hashed", "p", "q", "n").join(lowest, ["p", "q", "n"], "left")
+    return out.select("id", "hashed", "n", F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component"))
+
+
+def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", rounds=2):
+    """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    return placed(docs, n, percent, doc_id, text, rounds).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
 
+def jaccard_pairs(docs, n=4, percent=85, doc_id="doc_id", text="text"):
+    """(pairs, members): all linked pairs (a, b, overlap) of classes of equal sets, and each row's id, n_shingles and class c.
 
-def one_of_each(docs, **how):
-    """The documents of which none with a smaller id is in the same component; all columns, null ids kept."""
-    found = jaccard_components(docs, **how).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    No pair is left out because its classes are connected otherwise, so a group of
+    near copies gives as many pairs as it has links.
+    """
+    sets = Sets(docs, n, percent, doc_id, text)
+    pairs, _ = sets.crossed(sets.held.select("key", "c"), F.lit(True))
+    members = sets.rows.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "p", "q", "n").join(sets.classes.select("p", "q", "n", "c"), ["p", "q", "n"], "left")
+    return sets.verified(stored(pairs, "pairs")), members.select(doc_id, "n_shingles", F.when(F.col(doc_id).isNotNull(), F.col("c")).alias("c"))
+
+
+def one_of_each(docs, n=4, percent=85, doc_id="doc_id", text="text"):
+    """The documents of which none with a smaller id is in the same component; all columns, null ids kept.
+
+    Repeated rows of one id and text stay together.
+    """
+    gone = placed(docs, n, percent, doc_id, text).where("id != component").select(F.col("id").alias("_gone"), F.col("hashed").alias("_hashed")).distinct()
+    return docs.join(gone, (docs[doc_id] == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_hashed"]), "left_anti")
 
 
 def op6_ngram_join(spark, sf_dir):
