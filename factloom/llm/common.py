@@ -15,7 +15,9 @@ STEP_BYTES = 2 << 20
 
 
 def table(spark, sf_dir, name):
-    """The Parquet table `name` below `sf_dir`, read by Spark."""
+    """The Parquet table `name` below `sf_dir`, read by Spark; for its long texts, Arrow batches of a session that has Spark's default of 64 MB become 8 MB."""
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set(key, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,10 +22,9 @@ from .common import WordHashes, cut, map_columns, mix, remove, steps, stored, ta
 #: Shingles are counted in 2 ** BUCKET_BITS buckets, in blocks of BLOCK, by groups of GROUP tasks first.
 BUCKET_BITS, BLOCK, GROUP = 20, 4096, 1024
 #: Rows of ids that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-#: 64-bit words in a set's sketch.
+BROADCAST_ROWS = 500_000
+#: 64-bit words in a set's sketch, at least; large sets have a bit for two elements.
 SKETCH = 8
-WORDS = [f"s{k}" for k in range(SKETCH)]
 #: Keys of a set by which a pair's first common list is found; pairs without a common one there come from every list.
 FIRST = 16
 
@@ -75,13 +74,22 @@ def hash_run(values, salt):
 
 
 def about(made):
-    """(two 64-bit prints, SKETCH words) of a set; the sketch's bits are parities, so an element that differs flips one bit at most."""
-    mixed = mix(made)
+    """(two 64-bit prints, sketch) of a set; the sketch's bits are parities, so an element that differs flips one bit at most."""
+    mixed, size = mix(made), 64 * SKETCH
     prints = np.array([mixed.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed) if len(made) else 0], np.uint64).view(np.int64)
-    bits = np.bincount((mixed >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    while size < len(made) / 2:
+        size *= 2
+    bits = np.bincount((mixed >> np.uint64(36)).astype(np.int64) % size, minlength=size) % 2
     return *prints.tolist(), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def differing(x, y):
+    """How many elements differ at least, by two sketches; a longer one is folded to half. Null if that is not enough."""
+    fold = lambda s: F.zip_with(F.slice(s, F.lit(1), F.floor(F.size(s) / 2).cast("int")), F.slice(s, F.floor(F.size(s) / 2).cast("int") + 1, F.size(s)), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+
+
 def shingle_counts(docs, text, n):
     """Counts of all sets' shingles by the leading bits of their hashes, and the mean length of a shingle's list.
 
@@ -160,20 +168,20 @@ class Sets:
         self.classes = stored(known.groupBy("p", "q", "n").agg(F.min("row").alias("c"), F.min("id").alias("rep")), "classes")
         chosen = known.join(sized(self.classes.select(F.col("c").alias("row"))), "row", "left_semi")
         members = chosen.select(F.explode("keys").alias("key"), F.col("row").alias("c"))
-        lists = members.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub")
+        lists = members.groupBy("key").agg(F.min("c").alias("hub"), F.count("*").alias("k")).where("k > 1")
         self.held = stored(members.join(lists, "key"), "lists")
         some = self.held.select(F.col("c").alias("row")).distinct()
-        self.facts = stored(chosen.join(some, "row", "left_semi").select(F.col("row").alias("c"), "id", "n", "p", "q", *(F.col("sketch")[k].alias(w) for k, w in enumerate(WORDS))), "facts")
+        self.facts = stored(chosen.join(some, "row", "left_semi").select(F.col("row").alias("c"), "id", "n", "p", "q", "sketch"), "facts")
 
     def side(self, name):
         """Facts with the class as `name` and other columns marked by it."""
-        return self.facts.select(F.col("c").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in ["n", *WORDS]))
+        return self.facts.select(F.col("c").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
 
     def fits(self):
         """Whether sizes and sketches of a and b allow a link; a link allows few elements that differ."""
         n, m = F.col("a_n"), F.col("b_n")
-        differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
-        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent) & (differ * (100 + self.percent) <= (n + m) * (100 - self.percent))
+        few = differing(F.col("a_sketch"), F.col("b_sketch")) * (100 + self.percent) <= (n + m) * (100 - self.percent)
+        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent) & F.coalesce(few, F.lit(True))
 
     def fitting(self, pairs):
         """Those of the pairs (a, b) that sizes and sketches let pass."""
@@ -216,7 +224,7 @@ class Sets:
         cell = F.floor(F.log(F.col("n").cast("double")) / log(100 / min(self.percent, 99)) * 0.999)
         whole = stored(members.join(self.facts, "c").join(first, "c").withColumn("cell", cell), "open")
         kept = [c for c in whole.columns if c not in ("key", "cell")]
-        mark = lambda side: {"c": side, "n": f"{side}_n"} | {w: f"{side}_{w}" for w in WORDS}
+        mark = lambda side: {"c": side, "n": f"{side}_n", "sketch": f"{side}_sketch"}
         left = whole.select("key", "cell", *(F.col(c).alias(mark("a").get(c, f"l_{c}")) for c in kept))
         right = whole.select("key", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"), *(F.col(c).alias(mark("b").get(c, f"r_{c}")) for c in kept))
         smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
@@ -242,38 +250,41 @@ def components(edges):
             return labels
 
 
-def placed(docs, n, percent, doc_id, text, rounds=2):
+def placed(docs, n, percent, doc_id, text):
     """Per row: id, hashed, n, component.
 
-    In `rounds` rounds each list's classes are compared with one class of it. Then
-    all pairs of a list whose classes are not yet connected are compared, so no
-    component is missed while a list of copies gives few pairs. A pair is tested once.
+    Each list's classes are compared with one of them, those of an unconnected list
+    with a second one; a list of three is done then. All pairs of the others that are
+    still unconnected are compared, so no component is missed while a list of copies
+    gives few pairs. A pair is tested once.
     """
     sets = Sets(docs, n, percent, doc_id, text)
-    edges = labels = tested = None
-    for k in range(rounds + 1):
-        if labels is None:
-            pairs, extra = sets.held.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct(), []
-        else:
-            now = sets.held.select("key", "c").join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-            lists = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("comp", F.lit(k))).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-            if k < rounds:
-                met = now.join(lists.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key").where("comp != other")
-                pairs, extra = met.select("a", F.col("c").alias("b")).distinct(), []
-            else:
-                pairs, *extra = sets.crossed(now.join(lists.select("key"), "key"), F.col("l_comp") != F.col("r_comp"))
-        pairs = sets.fitting(pairs) if not extra else pairs
-        if tested is not None:
-            done = [t.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")) for t in tested]
-            for t in done:
-                pairs = pairs.join(t, (F.least("a", "b") == t["x"]) & (F.greatest("a", "b") == t["y"]), "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = [*(tested or []), pairs]
-        found = sets.verified(pairs).select("a", "b")
+    edges, tested = None, []
+
+    def labelled(members, labels):
+        return members.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+    def linked(pairs):
+        """Labels of all links found so far and by these fitting pairs."""
+        nonlocal edges
+        for t in tested:
+            t = t.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+            pairs = pairs.join(t, (F.least("a", "b") == t["x"]) & (F.greatest("a", "b") == t["y"]), "left_anti")
+        tested.append(stored(pairs, "pairs"))
+        found = sets.verified(tested[-1]).select("a", "b")
         edges = cut(found if edges is None else edges.union(found))
-        labels = components(edges)
-        remove(*extra)
-    remove(*tested)
+        return components(edges)
+
+    labels = linked(sets.fitting(sets.held.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()))
+    now = labelled(sets.held.where("c != hub and k > 2").select("key", "c", "k"), labels)
+    second = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("comp")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    open_ = stored(now.join(second.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key"), "open")
+    labels = linked(sets.fitting(open_.where("comp != other").select("a", F.col("c").alias("b")).distinct()))
+    now = labelled(open_.where("c != a and k > 3").select("key", "c"), labels)
+    apart = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+    pairs, whole = sets.crossed(now.join(apart, "key"), F.col("l_comp") != F.col("r_comp"))
+    labels = linked(pairs)
+    remove(open_, whole, *tested)
     sets.forget()
     classes = sets.classes.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lowest = classes.join(classes.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("p", "q", "n", "component")
@@ -281,9 +292,9 @@ def placed(docs, n, percent, doc_id, text, rounds=2):
     return out.select("id", "hashed", "n", F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component"))
 
 
-def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text", rounds=2):
+def jaccard_components(docs, n=4, percent=85, doc_id="doc_id", text="text"):
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    return placed(docs, n, percent, doc_id, text, rounds).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return placed(docs, n, percent, doc_id, text).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def jaccard_pairs(docs, n=4, percent=85, doc_id="doc_id", text="text"):
@@ -293,9 +304,11 @@ def jaccard_pairs(docs, n=4, percent=85, doc_id="doc_id", text="text"):
     near copies gives as many pairs as it has links.
     """
     sets = Sets(docs, n, percent, doc_id, text)
-    pairs, _ = sets.crossed(sets.held.select("key", "c"), F.lit(True))
+    pairs, whole = sets.crossed(sets.held.select("key", "c"), F.lit(True))
+    pairs = stored(pairs, "pairs")
+    remove(whole)
     members = sets.rows.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "p", "q", "n").join(sets.classes.select("p", "q", "n", "c"), ["p", "q", "n"], "left")
-    return sets.verified(stored(pairs, "pairs")), members.select(doc_id, "n_shingles", F.when(F.col(doc_id).isNotNull(), F.col("c")).alias("c"))
+    return sets.verified(pairs), members.select(doc_id, "n_shingles", F.when(F.col(doc_id).isNotNull(), F.col("c")).alias("c"))
 
 
 def one_of_each(docs, n=4, percent=85, doc_id="doc_id", text="text"):
