@@ -1,7 +1,11 @@
 """TIFF media columns: write samples as strips, walk directories, decode every page.
 
-A page is a row. Null texts are stored as the empty text; a null or damaged file
-gives one row with `error` and no page. Repeated rows give repeated results.
+A page is a row. Null texts are stored as the empty text, which has one page of zero
+bytes. A null file or one that is no TIFF gives one row with `error` and no page; a
+damaged page, or one of a kind that is not read here (planar, fill order 2, predictor
+3, other depths than 8 and 16 bits), gives a row with its number and `error`, after
+the pages before it. Repeated rows give repeated results, an empty table no rows.
+Very long texts are whole: a file holds up to 4 GB. Only the columns named are read.
 """
 
 import struct
@@ -13,6 +17,7 @@ from .common import map_columns, sha, table
 
 # Tags, compression numbers and the sizes of field types. Fixed values of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+FILL_ORDER, PLANAR = 266, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -86,6 +91,8 @@ def directories(data):
     if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    if not at:
+        raise ValueError("no image directory")
     while at and at not in seen:
         seen.add(at)
         count = struct.unpack_from(order + "H", data, at)[0]
@@ -105,12 +112,20 @@ def page_samples(data, order, fields):
     """Samples of a page: height x width x samples, of 8 or 16 bits, interleaved."""
     one = lambda tag, other=None: fields.get(tag, (other,))[0]
     width, height, per, bits, packed = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1)
-    if packed not in UNPACK or bits not in (8, 16):
+    if packed not in UNPACK or any(b not in (8, 16) or b != bits for b in fields.get(BITS, (bits,))):
         raise ValueError(f"compression {packed} with {bits} bits is not supported")
+    if one(PREDICTOR, 1) not in (1, 2) or one(FILL_ORDER, 1) != 1 or one(PLANAR, 1) != 1 and per > 1:
+        raise ValueError("predictor, fill order or planes are not supported")
+    if not (width and height and per):
+        raise ValueError("a page without samples")
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
     tiled = TILE_OFFSETS in fields
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    places = zip(fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True)
+    if not (across and down):
+        raise ValueError("tiles or strips without samples")
+    places = list(zip(fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+    if len(places) != -(-width // across) * -(-height // down) or width * height * per > 1500 * len(data):  # no packing here is denser
+        raise ValueError("strips or tiles do not make up the page")
     page, columns = np.zeros((height, width, per), kind.newbyteorder("=")), max(1, -(-width // across))
     for k, (offset, size) in enumerate(places):
         y, x = k // columns * down, k % columns * across
@@ -155,12 +170,13 @@ def pages(media, keep=(), column="media"):
         out = []
         for *kept, data in zip(*columns, strict=True):
             about = [len(data), sha(data)] if data is not None else [None, None]
+            k = None
             try:
                 for k, (order, fields) in enumerate(directories(data or b"")):
                     page = page_samples(data, order, fields)
                     out.append([*kept, k, page.shape[1], page.shape[0], page.tobytes(), *about, feature_of(page), None])
-            except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
-                out.append([*kept, None, None, None, None, *about, None, str(e)])
+            except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+                out.append([*kept, k, None, None, None, *about, None, str(e) or type(e).__name__])
         return list(map(list, zip(*out, strict=True))) if out else [[]] * (len(columns) + 7)
 
     schema = "".join(f"{n} {t}, " for n, t in keep) + "page_no int, width int, height int, samples binary, media_bytes bigint, media_sha256 string, feature string, error string"
