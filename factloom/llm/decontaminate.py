@@ -3,7 +3,9 @@
 Null texts and texts without words hit nothing. Items with the same id count once;
 items with a null id are searched, but cannot be listed. Repeated documents give
 repeated rows. Only hash tables of test windows are broadcast: above `max_windows`
-they go in blocks, whose hits are merged row by row.
+they go in blocks, whose hits are merged row by row. A window takes some 30 bytes.
+Very long texts are whole; an empty table gives no rows, an empty benchmark no hits.
+Only ids and texts are read, so other columns cannot clash.
 """
 
 from itertools import chain
@@ -23,29 +25,31 @@ def words_of(text):
 
 
 class Windows:
-    """Hash tables of windows by length: sorted hashes, and what words and items each stands for."""
+    """Hash tables of windows by length: sorted hashes, and the item and place that each stands for."""
 
     def __init__(self, items, n):
-        self.by_length = {}
-        for item, words in items:
-            k = min(n, len(words))
-            for i in range(len(words) - k + 1):
-                self.by_length.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(item)
-        self.vocabulary = {w: h for lengths in self.by_length.values() for window in lengths for w in window for h in [WordHashes().__missing__(w) or 1]}
+        hashes = WordHashes()
+        self.vocabulary = {w: hashes.__missing__(w) or 1 for w in {w for _, words in items for w in words}}
+        shared = {w: w for w in self.vocabulary}  # one object a word
+        self.items = [(item, [shared[w] for w in words]) for item, words in items]
+        lengths = {}
+        for k, (_, words) in enumerate(self.items):
+            lengths.setdefault(min(n, len(words)), []).append(k)
         self.tables = {}
-        for k, found in self.by_length.items():
-            seen = {}
-            for window, ids in found.items():
-                h = int(windows(np.array([self.vocabulary[w] for w in window], np.uint64), k)[0])
-                seen.setdefault(h, []).append((window, ids))
-            self.tables[k] = np.array(sorted(seen), np.uint64), seen
+        for k, some in lengths.items():
+            made = [windows(np.array([self.vocabulary[w] for w in self.items[i][1]], np.uint64), k) for i in some]
+            flat = np.concatenate(made)
+            order = np.argsort(flat, kind="stable")
+            item = np.repeat(np.array(some, np.int32), list(map(len, made)))
+            place = np.concatenate([np.arange(len(m), dtype=np.int32) for m in made])
+            self.tables[k] = flat[order], item[order], place[order]
 
     def hits(self, words):
         """(positions of hit words, items with a window in it). Every hash hit is verified by its words."""
         known = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.uint64, len(words))
         hit, items = np.zeros(len(words) + 1, np.int64), set()
         if known.any():
-            for k, (hashes, seen) in self.tables.items():
+            for k, (hashes, item, place) in self.tables.items():
                 if len(words) < k:
                     continue
                 full = np.cumsum(np.concatenate([[0], known != 0]))
@@ -53,14 +57,14 @@ class Windows:
                 if not len(starts):
                     continue
                 made = windows(known, k)[starts]
-                at = np.minimum(np.searchsorted(hashes, made), len(hashes) - 1)
-                for i in starts[hashes[at] == made].tolist():
-                    window = tuple(words[i : i + k])
-                    for own, ids in seen[int(windows(known[i : i + k], k)[0])]:
-                        if own == window:
-                            hit[i] += 1
-                            hit[i + k] -= 1
-                            items |= ids
+                low, high = np.searchsorted(hashes, made), np.searchsorted(hashes, made, "right")
+                for j in np.flatnonzero(high > low).tolist():
+                    i, window = int(starts[j]), words[starts[j] : starts[j] + k]
+                    same = [m for m in range(low[j], high[j]) if self.items[item[m]][1][place[m] : place[m] + k] == window]
+                    if same:
+                        hit[i] += 1
+                        hit[i + k] -= 1
+                        items.update(self.items[item[m]][0] for m in same)
         return np.flatnonzero(np.cumsum(hit)[:-1] > 0), items
 
 
