@@ -3,7 +3,10 @@
 A null text counts as empty and gets a score; rows with labels that are null are
 not learned from; of repeated labels the lowest counts. Without labels every
 document scores the prior, which keeps it. Ties in the bounded sample are broken
-by the id's hash, so a run repeats. Extra columns are passed through unread.
+by the id's hash, so a run repeats; of a repeated document one row is learned from,
+the one with the least text hash. Very long texts are whole. An empty table has no
+scores. Other columns are passed through unread; one that has the score's name is
+replaced.
 """
 
 import numpy as np
@@ -114,8 +117,9 @@ def fit_quality(docs, labels, training, max_rows=20_000, text="text"):
     def described(texts: pd.Series) -> pd.Series:
         return pd.Series(list(matrix(texts.tolist())))
 
-    known = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
-    rows = known.select("doc_id", "_label", described(text).alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    known = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("doc_id").agg(F.min("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = known.select("doc_id", "_label", described("_text").alias("x")).toArrow().to_pandas().sort_values("doc_id", kind="stable")
     y = rows["_label"].to_numpy(np.float64)
     share = (y.sum() + 1) / (len(y) + 1.01)
     trees = Trees(float(np.log(share / (1 - share))))
