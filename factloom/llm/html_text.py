@@ -4,11 +4,15 @@ Each page scores its containers; votes for generalised paths are summed per host
 in Spark; every page is read again with its host's winning paths. A null html
 gives an empty text; a null or broken URL shares the host ''. A page that has no
 container on a winning path falls back to its own best one. The winner is lifted
-to the container of the whole article. Repeated rows repeat.
+to the container of the whole article. Repeated rows repeat; an empty table gives
+no rows. Very long pages are whole and are read in linear time: elements below a
+depth of DEEPEST belong to the one there, and after BROKEN tags whose quotes never
+close, a tag ends at the next `>`. Only page_id, url and html are read.
 """
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Window
@@ -16,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTE = re.compile("[>\"']")
+DEEPEST, BROKEN = 512, 8
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"[\s\xa0]+")
 # Element names by their part in a page. Fixed values of HTML.
@@ -39,6 +45,42 @@ STARTS = re.compile(rf"(?:^|\s){WORDS})(?:$|[\s_-])", re.I)
 SHARE = {"part": 0.5, "whole": 0.9, "tag": 1.0}
 
 
+def tags(source):
+    """(start, end, close, name, attributes) of each tag or markup in the page; name is None for comments and declarations."""
+    at, broken = source.find("<"), 0
+    last = source.rfind(">")
+    last_cdata = source.rfind("]]>")
+    while 0 <= at:
+        end, close, name, about = -1, "", None, ""
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+        elif source.startswith("<![CDATA[", at) and at < last_cdata:
+            end = source.find("]]>", at) + 3
+        elif at > last:
+            pass  # nothing closes a tag any more
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+        elif m := NAME.match(source, at + 1):
+            close, name = m.group(1), m.group(2).lower()
+            k = m.end()
+            while broken < BROKEN and (q := QUOTE.search(source, k)) and q.group() != ">":
+                k = source.find(q.group(), q.end()) + 1
+                if not k:
+                    broken += 1
+                    break
+            closing = source.find(">", max(k, m.end()))
+            closing = source.find(">", m.end()) if closing < 0 else closing
+            about, end = source[m.end() : closing], closing + 1
+        if end > 0:
+            to = yield at, end, close, name, about
+            if to is not None:  # the reader says where it goes on
+                yield
+            at = source.find("<", max(end, to or 0))
+        else:
+            at = source.find("<", at + 1)
+
+
 class Page:
     """Blocks of text of a page: (path of open elements, text, whether a heading), boilerplate and markup left out.
 
@@ -48,32 +90,30 @@ class Page:
 
     def __init__(self, source):
         self.raw, self.stack, self.held = [], [], []
+        #: Numbers of open elements by name, and of those too deep to be kept.
+        self.count, self.deep = Counter(), Counter()
         #: Kinds of the elements to judge, those open now, and how many were open before the outermost article.
         self.kinds, self.outs, self.article = [], (), None
         self.dropped = 0
-        at, size = 0, len(source)
-        while at < size:
-            m = TOKEN.search(source, at)
+        at, found = 0, tags(source)
+        for start, end, close, name, about in found:
             if not self.dropped:
-                self.hold(source[at : m.start() if m else size])
-            if not m:
-                break
-            at = m.end()
-            close, name, about = m.groups()
-            if name is None:
-                continue
-            name = name.lower()
-            if name in ("svg", "math") and not close and about.rstrip().endswith("/"):
-                continue
-            if name in RAW and not close:
-                end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-                at = end.end() if end else size
+                self.hold(source[at:start])
+            at = end
+            if name is None or name in ("svg", "math") and not close and about.rstrip().endswith("/"):
+                pass
+            elif name in RAW and not close:
+                m = re.compile(f"</{name}\\s*>", re.I).search(source, at)
+                at = m.end() if m else len(source)
             elif name == "br":
-                self.hold(" ")
+                self.hold("" if self.dropped else " ")
             elif close:
                 self.close(name)
             else:
                 self.open(name, about)
+            found.send(at)
+        if not self.dropped:
+            self.hold(source[at:])
         self.end_block()
         lost = self.left_out()
         self.blocks = []
@@ -106,7 +146,7 @@ class Page:
         return set(range(len(self.kinds))) - kept
 
     def open(self, name, about):
-        if name in CLOSES_P and any(s[0] == "p" for s in self.stack):
+        if name in CLOSES_P and self.count["p"]:
             self.close("p")
         if name in ("li", "td", "tr", "dd", "dt") and self.stack and self.stack[-1][0] == name:
             self.close(name)
@@ -114,9 +154,13 @@ class Page:
             self.end_block()
         if name in VOID:
             return
+        if len(self.stack) >= DEEPEST:
+            self.deep[name] += 1
+            return
+        self.count[name] += 1
         marks = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(about)} if about else {}
         words = " ".join(marks.values())
-        inside = any(s[0] in ("article", "main") for s in self.stack)
+        inside = self.count["article"] + self.count["main"] > (name in ("article", "main"))
         core = name in ("article", "main")
         kind = "tag" if name in TAGS and not (name == "header" and inside) else "part" if name == "form" else None
         if words and not core and name not in ("body", "html") and BOILERPLATE.search(words):
@@ -133,6 +177,13 @@ class Page:
             self.kinds.append(kind)
 
     def close(self, name):
+        if self.deep[name]:
+            self.deep[name] -= 1
+            if name in BLOCK or name in LEFT_OUT:
+                self.end_block()
+            return
+        if not self.count[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
                 if name in BLOCK or name in LEFT_OUT:
@@ -142,6 +193,7 @@ class Page:
                 if any(s[4] for s in self.stack[k:]):
                     self.article = None
                 # inline elements left open stay open: only the block between is closed
+                self.count.subtract(s[0] for s in self.stack[k:])
                 del self.stack[k:]
                 return
             if name not in BLOCK and name not in LEFT_OUT and self.stack[k][0] in BLOCK:
@@ -204,11 +256,11 @@ def host_paths(pages, top=3):
                 best = max(scores.values(), default=0)
                 for p, s in scores.items():
                     if s > best / 2:
-                        key = h, "/".join(p)
+                        key = h, p
                         sums[key] = sums.get(key, 0) + round(1000 * s / best)
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["host", "path", "votes"])
+            yield pd.DataFrame([(h, list(p), v) for (h, p), v in sums.items()], columns=["host", "path", "votes"])
 
-    summed = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(votes, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    summed = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(votes, "host string, path array<string>, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     ranked = summed.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("k") <= top)
     return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("paths"))
 
@@ -222,7 +274,7 @@ def extract(pages, broadcast_hosts=200_000):
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(paths, "host", "left")
 
     def step(ids, urls, sources, chosen):
-        texts = [Page(s or "").text([tuple(p.split("/")) for p in c or []]) for s, c in zip(sources, chosen, strict=True)]
+        texts = [Page(s or "").text(list(map(tuple, c or []))) for s, c in zip(sources, chosen, strict=True)]
         return ids, urls, texts, list(map(len, texts))
 
     return map_columns(joined, ["page_id", "url", "html", "paths"], lambda: step, "page_id bigint, url string, text string, n_chars bigint")
