@@ -5,11 +5,13 @@ import re
 import struct
 import zlib
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pytest
 
-from factloom.llm import bloom_lm, bpe, decontaminate, html_text, kd_shards, ngram_join, quality, tiff
+from factloom.llm import bloom_lm, bpe, chat, decontaminate, html_text, kd_shards, ngram_join, quality, tiff, token_scan
+from factloom.llm.common import remainder, shared_folder
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
@@ -229,3 +231,154 @@ def test_items_without_an_id_are_searched(spark, docs):
 def test_encode_decode_gives_the_text(docs):
     rows = {r["doc_id"]: r for r in bpe.encode_decode(docs, P.path("word_bpe_49k.json")).collect()}
     assert rows[5]["decoded_text"] == "one two " and rows[0]["decoded_text"] == "" and "漢字" in rows[len(texts()) - 1]["decoded_text"]
+
+
+def test_equal_rows_are_divided(spark):
+    rows = spark.createDataFrame([(7, 50, 5)] * 2000, "doc_id bigint, size bigint, d bigint")
+    got = kd_shards.with_slots(kd_shards.shard(rows, ["d"], 8)).toPandas()
+    assert got.groupby("shard").size().between(240, 260).all() and got["shard"].nunique() == 8
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
+def tiff_file(fields, data=b""):
+    """A little-endian file of one page with the given fields of one number each."""
+    entries = b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in fields)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(data)) + data + struct.pack("<H", len(fields)) + entries + bytes(4)
+
+
+PLAIN = {256: 4, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 2, 279: 8}
+
+
+@pytest.mark.parametrize("change", [{256: 0}, {257: 1 << 30}, {256: 1 << 31, 257: 1 << 31}, {259: 99}, {258: 7}, {266: 2}, {284: 2, 277: 3}, {317: 3}, {322: 0, 323: 16, 324: 8, 325: 8}, {273: 1 << 20}, {279: 3}, {259: 8}, {278: 0}])
+def test_damaged_pages_are_error_rows(spark, change):
+    file = tiff_file(sorted((PLAIN | change).items()), bytes(range(8)))
+    rows = tiff.pages(spark.createDataFrame([(file,), (tiff_file(sorted(PLAIN.items()), bytes(range(8))),)], "media binary")).collect()
+    assert rows[0]["error"] and rows[0]["samples"] is None and rows[0]["page_no"] == 0
+    assert rows[1]["error"] is None and bytes(rows[1]["samples"]) == bytes(range(8))
+
+
+def test_broken_directories_are_error_rows(spark):
+    whole = tiff_file(sorted(PLAIN.items()), bytes(range(8)))
+    files = [whole[:k] for k in (0, 3, 8, 20, 40)] + [struct.pack("<2sHI", b"II", 42, 0), struct.pack("<2sHI", b"II", 42, 1 << 30)]
+    assert all(r["error"] for r in tiff.pages(spark.createDataFrame([(f,) for f in files], "media binary")).collect())
+
+
+def test_pages_of_a_file_are_rows(spark):
+    one = tiff_file(sorted(PLAIN.items()), bytes(range(8)))
+    second = sorted((PLAIN | {258: 16, 279: 16, 273: len(one)}).items())
+    at = len(one) + 16
+    file = one[:-4] + struct.pack("<I", at) + np.arange(8, dtype="<u2").tobytes() + struct.pack("<H", len(second)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in second) + bytes(4)
+    rows = tiff.pages(spark.createDataFrame([(file,)], "media binary")).collect()
+    assert [(r["page_no"], r["width"], r["height"], r["error"]) for r in rows] == [(0, 4, 2, None), (1, 4, 2, None)]
+    assert np.frombuffer(bytes(rows[1]["samples"]), "<u2").tolist() == list(range(8))
+
+
+def test_hosts_can_disagree(spark):
+    """A page of a host follows its host's vote, even if another container of it is larger."""
+    story, aside = "<p>" + "One sentence of it. " * 12 + "</p>", "<p>" + "Another list stands here, " * 40 + "</p>"
+    plain = "<body><div class=story>{0}</div><div class=extra><p>Short one.</p></div></body>"
+    rows = [(i, "https://a.example/x", plain.format(story)) for i in range(6)] + [(10 + i, "https://b.example/x", plain.replace("story", "post").format(story)) for i in range(3)]
+    rows += [(6, "https://a.example/y", f"<body><div class=story>{story}</div><div class=extra>{aside}</div></body>"), (7, "https://c.example/y", f"<body><div class=story>{story}</div><div class=extra>{aside}</div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[6].startswith("One sentence") and "Another" not in got[6] and "Another" in got[7] and got[12].startswith("One sentence")
+
+
+def test_class_names_with_slashes_can_win(spark):
+    rows = [(i, "https://a.example/x", f"<body><div class='w-1/2'><p>{'One sentence of it. ' * 9}</p></div><div class=b><p>{'x ' * 10 * i}</p></div></body>") for i in range(4)]
+    votes = html_text.host_paths(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert ["body", "div.w-#/#"] in [list(p) for p in votes[0]["paths"]]
+
+
+def test_broken_quotes_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(html_text.Page('<a title="x ' * 90_000).text([])) > 1_000_000
+    assert html_text.Page("<div>" * 200_000 + "<p>x").text([]) == "x"
+    assert time.time() - began < 20
+
+
+EMPTY = {
+    "op1": lambda d: html_text.extract(d.selectExpr("doc_id as page_id", "text as url", "text as html")),
+    "op2": lambda d: token_scan.count_tokens(token_scan.write_flat(d, f"{shared_folder(d.sparkSession)}/empty-{uuid4().hex}").where("block is not null")),
+    "op3": lambda d: chat.perspectives(d.selectExpr("doc_id as conv_id", "doc_id as turn", "text as role", "text")),
+    "op4": lambda d: tiff.pages(tiff.store_texts(d)),
+    "op5": lambda d: bpe.digests(d, P.path("word_bpe_49k.json")),
+    "op6": ngram_join.jaccard_components,
+    "op7": lambda d: decontaminate.decontaminate(d, d.selectExpr("doc_id as item_id", "text")),
+    "op8": lambda d: kd_shards.with_slots(kd_shards.shard(d.selectExpr("doc_id", "doc_id as size", "doc_id as d"), ["d"], 5)),
+    "op9": lambda d: bloom_lm.score(d, bloom_lm.train(d)),
+    "op10": lambda d: quality.with_quality(d, quality.fit_quality(d, d.selectExpr("doc_id", "1 as quality"), remainder("doc_id", 4) != 2)),
+}
+
+
+@pytest.mark.parametrize("name", list(EMPTY))
+def test_empty_tables_give_no_rows(docs, name):
+    assert EMPTY[name](docs.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_is_two_documents(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, "other words stand here in this one"), (2, base + " more"), (3, base), (None, base), (2, base + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 57, 1), (1, 4, 1), (2, 58, 1), (2, 58, 1), (3, 57, 1), (None, 57, None)], key=str)
+    kept = sorted((str(r["doc_id"]), r["text"][:5]) for r in ngram_join.one_of_each(docs).collect())
+    assert kept == [("1", "other"), ("1", "w0 w1"), ("None", "w0 w1")]
+
+
+def test_hot_lists_and_copies_lose_no_link(spark):
+    """A chain of near copies, a common passage and many short texts, against brute force of pairs and components."""
+    made = np.random.default_rng(9)
+    passage = " ".join(made.choice(WORDS, 40))
+    chain = [[f"c{i}" for i in range(100)]]
+    for k in range(40):
+        chain.append([*chain[-1]])
+        chain[-1][(k * 3) % 100] = f"x{k}"
+    texts_ = [" ".join(c) for c in chain] + [passage + " " + " ".join(made.choice(WORDS, 12)) for _ in range(60)] + [" ".join(made.choice(WORDS[:3], made.integers(1, 9))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    sets = [shingles(t, 4) for t in texts_]
+    links = {(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    comp = list(range(len(sets)))
+    for a, b in sorted(links):
+        low, high = sorted((comp[a], comp[b]))
+        comp = [low if c == high else c for c in comp]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()} == dict(enumerate(comp))
+    pairs, members = ngram_join.jaccard_pairs(docs)
+    of = {r["doc_id"]: r["c"] for r in members.collect()}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in pairs.collect()} == {tuple(sorted((of[a], of[b]))) for a, b in links if of[a] != of[b]}
+
+
+def test_windows_equal_brute_force(spark):
+    made = np.random.default_rng(4)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    items = [(i, " ".join(made.choice(WORDS, made.integers(0, 25)))) for i in range(40)]
+    texts_ = [", ".join([*made.choice(WORDS, 9), *items[made.integers(40)][1].split(), *made.choice(WORDS, 9)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts_, None, ""])), "doc_id bigint, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    for r in got:
+        w, hit, found = words((texts_ + [None, ""])[r["doc_id"]]), set(), set()
+        for i, t in items:
+            own = words(t)
+            for k in range(max(1, len(own) - 9) if own else 0):
+                window = own[k : k + 10]
+                for at in range(len(w) - len(window) + 1):
+                    if w[at : at + len(window)] == window:
+                        hit |= set(range(at, at + len(window)))
+                        found.add(i)
+        assert (r["n_words"], r["hit_words"], r["items"]) == (len(w), sorted(hit), sorted(found))
+
+
+def test_held_out_scores_beat_the_base(spark):
+    made = np.random.default_rng(2)
+    following = {w: made.choice(WORDS, 3) for w in WORDS}
+
+    def text():
+        out = [made.choice(WORDS)]
+        while len(out) < 80:
+            out.append(made.choice(following[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id bigint, text string")
+    got = bloom_lm.score(docs.where("doc_id % 4 = 0"), bloom_lm.train(docs.where("doc_id % 4 <> 0"))).toPandas()
+    assert (got["score"] > got["base_score"] + 20).all()
