@@ -1,33 +1,51 @@
 """Chat formatting: every participant's view of a dialogue, as DataFrame operations.
 
-For each speaker of a conversation, each turn is rendered with that speaker as the
-assistant and the others as named users; the loss mask is 1 for the assistant's
-turns. Rows stay turns, so no conversation is gathered into one task. Null text is
-empty, a null role is the speaker `unknown`; repeated rows repeat.
+For each speaker of a conversation the whole dialogue is put together in turn order
+with that speaker as the assistant and the others as named users; `system` turns stay
+system turns in every view, and `system` has no view of its own. The mask is 1 for
+the assistant's turns. A marker `<|` within a text or a name is written `<\\|`, so
+that no text can open a turn. A conversation goes in parts of PART turn numbers, so
+that none is gathered whole; turns of a null number are part null. Null text is empty,
+a null role is the speaker `unknown`, a null conv_id is one conversation of its own;
+repeated rows repeat, ties in the turn number are ordered by speaker and text. A
+conversation of system turns alone, and an empty table, give no rows. Very long
+texts are whole. Only conv_id, turn, role and text are read.
 """
 
 from pyspark.sql import functions as F
 
 from .common import table
 
-ORACLE_SQL = """
-with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
-p as (select distinct conv_id, speaker as perspective from t)
-select t.conv_id, t.turn, p.perspective,
-  case when t.speaker = p.perspective then '<|assistant|>' || chr(10) || t.text || chr(10) else '<|user|>' || t.speaker || chr(10) || t.text || chr(10) end as rendered,
-  case when t.speaker = p.perspective then 1 else 0 end as mask,
-  case when t.speaker = p.perspective then length(t.text) + 1 else 0 end as n_masked_chars
-from t join p on t.conv_id is not distinct from p.conv_id
+PART = 1000
+ORACLE_SQL = f"""
+with t as (select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') as speaker, replace(coalesce(text, ''), '<|', '<\\|') as text from conversations),
+p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+r as (select t.conv_id, cast(floor(t.turn / {PART}) as bigint) as part, p.perspective, t.turn, t.speaker, t.text, t.speaker = p.perspective as own,
+  case when t.speaker = p.perspective then '<|assistant|>' when t.speaker = 'system' then '<|system|>' else '<|user|>' || t.speaker end || chr(10) || t.text || chr(10) as rendered
+  from t join p on t.conv_id is not distinct from p.conv_id)
+select conv_id, part, perspective, count(*) as n_turns, string_agg(rendered, '' order by turn, speaker, text) as rendered,
+  string_agg(case when own then '1' else '0' end, '' order by turn, speaker, text) as mask,
+  cast(sum(case when own then length(text) + 1 else 0 end) as bigint) as n_masked_chars
+from r group by all
 """
 
 
 def perspectives(turns):
-    """Per turn and participant: conv_id, turn, perspective, rendered, mask, n_masked_chars (the text and its line end)."""
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    p = t.select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    rendered = F.concat(F.when(own, F.lit("<|assistant|>")).otherwise(F.concat(F.lit("<|user|>"), "speaker")), F.lit("\n"), "text", F.lit("\n"))
-    return t.join(p, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "turn", "perspective", rendered.alias("rendered"), own.cast("int").alias("mask"), F.when(own, F.length("text") + 1).otherwise(0).alias("n_masked_chars"))
+    """Per conversation, part and participant: conv_id, part, perspective, n_turns, rendered, mask (a digit a turn), n_masked_chars (the assistant's texts and their line ends)."""
+    safe = lambda c: F.replace(c, F.lit("<|"), F.lit("<\\|"))
+    t = turns.select("conv_id", "turn", safe(F.coalesce("role", F.lit("unknown"))).alias("speaker"), safe(F.coalesce("text", F.lit(""))).alias("text"))
+    p = t.where("speaker <> 'system'").select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
+    part = F.floor(F.col("turn") / PART).cast("bigint").alias("part")
+    said = F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "text")
+    views = t.join(p, F.col("conv_id").eqNullSafe(F.col("c"))).groupBy("conv_id", part, "perspective").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    own = lambda x: x["speaker"] == F.col("perspective")
+    mark = lambda x: F.when(own(x), F.lit("<|assistant|>")).when(x["speaker"] == "system", "<|system|>").otherwise(F.concat(F.lit("<|user|>"), x["speaker"]))
+    return views.select(
+        "conv_id", "part", "perspective", F.size("said").cast("long").alias("n_turns"),
+        F.array_join(F.transform("said", lambda x: F.concat(mark(x), F.lit("\n"), x["text"], F.lit("\n"))), "").alias("rendered"),
+        F.array_join(F.transform("said", lambda x: F.when(own(x), "1").otherwise("0")), "").alias("mask"),
+        F.aggregate("said", F.lit(0).cast("long"), lambda n, x: n + F.when(own(x), F.length(x["text"]) + 1).otherwise(0)).alias("n_masked_chars"),
+    )
 
 
 def op3_perspectives(spark, sf_dir):
