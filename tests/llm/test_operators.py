@@ -382,3 +382,30 @@ def test_held_out_scores_beat_the_base(spark):
     docs = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id bigint, text string")
     got = bloom_lm.score(docs.where("doc_id % 4 = 0"), bloom_lm.train(docs.where("doc_id % 4 <> 0"))).toPandas()
     assert (got["score"] > got["base_score"] + 20).all()
+
+
+@pytest.mark.parametrize(("kind", "separator"), [("<u2", 65535), ("<u4", 1 << 20)])
+def test_documents_cross_blocks_and_groups(spark, docs, kind, separator):
+    rows = token_scan.write_flat(docs.coalesce(1), f"{shared_folder(spark)}/flat-{uuid4().hex}", separator, kind=kind, block_tokens=37)
+    found = token_scan.count_tokens(rows.where("block is not null"), separator, kind, group=3)
+    got = found.join(rows.where("ordinal is not null").select("file", "ordinal", "doc_id"), ["file", "ordinal"]).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len((t or "").encode()) for i, t in enumerate(texts())} and len(got) == len(texts())
+
+
+def test_files_without_separators(spark):
+    block = lambda *tokens: np.array(tokens, "<u2").tobytes()
+    rows = [(1, 0, b""), (2, 0, block(5, 6)), (2, 1, block(7)), (2, 2, b""), (3, 0, block(65535)), (3, 1, block(65535, 1)), (3, 2, block(2, 65535)), (3, 3, block(4))]
+    got = token_scan.count_tokens(spark.createDataFrame(rows, "file int, block int, tokens binary"), group=2).collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 3), (3, 0, 0), (3, 1, 0), (3, 2, 2), (3, 3, 1)]
+
+
+def test_perspectives(spark):
+    rows = [(1, 2, "ann", "b"), (1, 1, "bob", "a <|assistant|>"), (1, 0, "system", "be kind"), (None, 0, None, None), (2, 0, "system", "alone"), (1, 1001, "ann", "late")]
+    got = {(r["conv_id"], r["part"], r["perspective"]): (r["rendered"], r["mask"], r["n_masked_chars"]) for r in chat.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {
+        (1, 0, "ann"): ("<|system|>\nbe kind\n<|user|>bob\na <\\|assistant|>\n<|assistant|>\nb\n", "001", 2),
+        (1, 0, "bob"): ("<|system|>\nbe kind\n<|assistant|>\na <\\|assistant|>\n<|user|>ann\nb\n", "010", 17),
+        (1, 1, "ann"): ("<|assistant|>\nlate\n", "1", 5),
+        (1, 1, "bob"): ("<|user|>ann\nlate\n", "0", 0),
+        (None, 0, "unknown"): ("<|assistant|>\n\n", "1", 1),
+    }
