@@ -1,7 +1,8 @@
 """BPE encoding by a transducer with bounded lookahead, and incremental decoding.
 
 Nulls encode as the empty text; the empty text has no tokens. Repeated rows give
-repeated results. Columns other than the id and the text are not read.
+repeated results. Columns other than the id and the text are not read. Very long
+texts are whole; an empty table gives no rows.
 """
 
 import codecs
@@ -219,8 +220,8 @@ def encode_decode(docs, path, doc_id="doc_id", text="text"):
     return map_columns(docs, [doc_id, text], make, f"{doc_id} bigint, n_tokens bigint, ids string, decoded string, decoded_text string")
 
 
-def digests(docs, path):
-    """The digests of `encode_decode`, made in the same task so that ids are never moved."""
+def digests(docs, path, with_ids=False):
+    """The digests of `encode_decode`, made in the same task so that ids are only moved if asked for."""
 
     def make():
         bpe = loaded(path)
@@ -230,12 +231,12 @@ def digests(docs, path):
             out = []
             for t in texts:
                 coded, n = bpe.encode(t or "")
-                out.append((n, sha(coded), sha(" ".join(map(name, coded.split())))))
-            return [ids, *map(list, zip(*out, strict=True))] if out else [[], [], [], []]
+                out.append((n, sha(coded), sha(" ".join(map(name, coded.split()))), *[coded] * with_ids))
+            return [ids, *map(list, zip(*out, strict=True))] if out else [[] for _ in range(4 + with_ids)]
 
         return step
 
-    return map_columns(docs, ["doc_id", "text"], make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_columns(docs, ["doc_id", "text"], make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids)
 
 
 def op5_bpe(spark, sf_dir):
