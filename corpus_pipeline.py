@@ -12,7 +12,8 @@ from factloom.llm.common import remainder, shared_folder, table
 def keep_quality(spark, docs, sf_dir):
     """Documents that the classifier does not reject; labels are learned from rows that are not held out."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
-    return quality.with_quality(docs, model, name="_score").where(F.col("_score") >= quality.KEEP).drop("_score")
+    scored = quality.with_quality(docs, model, name=(name := f"_score_{uuid4().hex}"))
+    return scored.where(F.col(name) >= quality.KEEP).drop(name)
 
 
 def keep_one_of_each(spark, docs, sf_dir):
@@ -26,12 +27,12 @@ def keep_uncontaminated(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """Digests of each document's ids and decoded text."""
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Each document's ids, decimal and joined by a space, with digests of them and of the decoded text."""
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("quality", keep_quality), ("near_copies", keep_one_of_each), ("decontaminate", keep_uncontaminated), ("bpe", tokens)]
-#: SQL has no form of the classifier; the pipeline is tested against a brute-force version.
+#: SQL has no form of the classifier; tests/llm/test_pipeline.py holds the other stages against brute force.
 ORACLE_SQL = None
 
 
