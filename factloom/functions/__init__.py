@@ -1,0 +1 @@
+"""Functions of columns."""

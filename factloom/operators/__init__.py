@@ -1,0 +1 @@
+"""From inputs to facts and reports."""

@@ -1,0 +1 @@
+"""Sources of documents, and the containers they come in."""

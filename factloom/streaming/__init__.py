@@ -1,0 +1 @@
+"""Streams of records."""

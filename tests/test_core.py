@@ -1,38 +1,158 @@
+import base64
+import json
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from factloom import queries
+from factloom import catalog, queries, synth
+from factloom.operators import report
+from factloom.operators.probe import probe
 from factloom.operators.routing import route
-from factloom.plans.planner import UnsupportedTarget, choose_paths
+from factloom.sources import inputs, packages
+from factloom.streaming import jsonl
 
-DIR = "/root/testdata/sf0.01"
+DIR = "/root/testdata/sf0.001"
+TYPES = queries.TYPES
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
-    for t in ("events", "documents"):
+    for t in ("events", "documents", "customer", "supplier", "part", "orders"):
         duckdb.sql(f"create or replace view {t} as select * from '{DIR}/{t}.parquet'")
     got = queries.QUERIES[name](spark, DIR)
     wanted = duckdb.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
 
 
-def test_route_of_nulls(spark):
-    rows = spark.createDataFrame([(None, None), (".pdf", b"%PDF-1.7"), ("a/B.PDF", b"%PDF-1.7")], "display_name string, content binary")
-    assert [r["error_code"] for r in route(rows).collect()] == ["UNSUPPORTED_FORMAT", "UNSUPPORTED_FORMAT", None]
+def test_route_of_nulls_and_slashes(spark):
+    rows = spark.createDataFrame([(None, None), (".pdf", b"%PDF-1.7"), ("a/B.PDF", b"%PDF-1.7"), ("a.pdf/", b"%PDF-1.7")], "display_name string, content binary")
+    got = route(rows).collect()
+    assert [r["error_code"] for r in got] == ["UNSUPPORTED_FORMAT", "UNSUPPORTED_FORMAT", None, None]
+    assert [r["exit_code"] for r in got] == [3, 3, 0, 0] and got[0]["error_message"] == "unsupported format: input filename has no extension"
+    forced = route(rows, forced="word").collect()
+    assert forced[2]["error_code"] == "INVALID_REQUEST" and forced[2]["exit_code"] == 1 and forced[0]["error_code"] == "UNSUPPORTED_FORMAT"
+
+
+def test_text_stats_follow_unicode_white_space(spark, tmp_path):
+    spark.createDataFrame([(1, "a\n\t\nb\n\r\nc"), (2, "a\u00a0b \u3000 c\n\u2003"), (3, ""), (4, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_words"], r["n_lines"]) for r in queries.text_stats(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 3), 2: (3, 1), 3: (0, 0), 4: (None, None)}
+
+
+def word(*parts, body="<w:document xmlns:w='w'><w:p/></w:document>", types=TYPES.format(catalog.MIME["docx"])):
+    return synth.zip_bytes([("[Content_Types].xml", types), ("word/document.xml", body), *parts])
+
+
+def asked(spark, files, wanted, **how):
+    rows = spark.createDataFrame([(k, n, len(c), bytearray(c)) for k, (n, c) in enumerate(files)], "input_id int, display_name string, file_size bigint, content binary")
+    return [(r["status"], r["error_code"], {e["target"]: e["value"] for e in r["results"]}) for r in sorted(probe(rows, wanted, **how).collect(), key=lambda r: r["input_id"])]
+
+
+ASSETS = TYPES.format(catalog.MIME["docx"]).replace("</Types>", '<Override PartName="/word/media/Clip.BIN" ContentType="image/jpeg"/><Default Extension="PNG" ContentType="IMAGE/PNG"/></Types>')
+
+
+def test_word_packages(spark):
+    rels = lambda x: ("word/_rels/document.xml.rels", f"<Relationships>{x}</Relationships>")
+    files = [
+        ("a.docx", word(("docProps/core.xml", "<c xmlns:d='d'><d:title>A &amp; B</d:title><d:title> </d:title></c>"), ("word/media/a.png", "x"), ("word/media/A.PNG", "x"), ("word/media/clip.bin", "x"), ("word/media/c", "x"), types=ASSETS)),
+        ("b.docx", word(rels('<Relationship Type="http://a/OLEObject" TargetMode="External"/>'), body="<w:document xmlns:w='w'><w:p/><w:tbl/><w:p>")),
+        ("c.docx", word(rels("<broken"))),
+        ("d.docx", word(("x/VBAProject.bin", "m"), types=TYPES.format(catalog.MIME["xlsx"]))),
+        ("e.docx", synth.zip_bytes([("word/document.xml", "<a/>")])),
+        ("f.docx", word()[:60]),
+        ("g.docx", word(body=b"<a>\xff</a>")),
+        ("h.docx", word(body="<!DOCTYPE a [<!ENTITY x 'y'>]><a><p/></a>")),
+        ("i.docx", b"PK\x03\x04"),
+    ]
+    got = asked(spark, files, ["title", "unique_image_asset_count", "has_embedded_files", "has_external_relationships", "paragraph_count", "active_content_risk"], level="deep")
+    assert got[0][2] == {"document.title": '"A & B"', "security.active_content_risk": '"none"', "security.has_embedded_files": "false", "security.has_external_relationships": "false", "word.paragraph_count": "1", "word.unique_image_asset_count": "2"}
+    assert got[1][2]["word.paragraph_count"] == "2" and got[1][2]["security.has_embedded_files"] == "false" and got[1][2]["security.active_content_risk"] == '"low"'
+    assert [g[1] for g in got] == [None, None, *["MALFORMED_INPUT"] * 5, None, "MALFORMED_INPUT"]
+    assert got[7][2]["word.paragraph_count"] == "0" and got[1][0] == "partial"
+
+
+def test_bounds_are_errors(spark):
+    files = [("a.docx", word(body="<p>" + "x" * 100_000 + "</p>"))]
+    assert asked(spark, files, ["@header"], max_bytes=1000)[0][1] == "BUDGET_EXCEEDED" and asked(spark, files, ["@header"], max_entries=1)[0][1] == "BUDGET_EXCEEDED"
+
+
+def test_requests():
+    assert catalog.expand("docx", ["title, @security"]) >= {"document.title", "security.encrypted"}
+    assert catalog.expand("pptx", ["notes_count"]) == {"powerpoint.notes_slide_count"} and catalog.aliases("pdf")["mime"] == "document.mime_type"
+    for wanted, code in ((["nothing"], "UNSUPPORTED_TARGET"), ([" , "], "INVALID_REQUEST"), (["@format"], "INVALID_REQUEST")):
+        with pytest.raises(catalog.RequestError) as e:
+            catalog.expand("docx", wanted, "header")
+        assert e.value.code == code
+    made = catalog.request("pdf", ["version"], ["version", "title"], overrides={"version": "x"})
+    assert made["required"] == ["pdf.version"] and made["optional"] == ["document.title"] and made["floors"]["pdf.version"] == "exact"
+    assert catalog.value_schema("u64|null") == {"type": ["integer", "null"], "minimum": 0} and catalog.value_schema("other") == {}
+
+
+def test_reports(spark):
+    pdf, doc = b"%PDF-1.7x\n/Linearized", synth.cfb_bytes({"WordDocument": b"w", "Big": b"b" * 9000, "\x05SummaryInformation": synth.property_set({2: "Te\"st", 15: 42})})
+    rows = spark.createDataFrame([(1, "a.pdf", bytearray(pdf)), (2, "b.doc", bytearray(doc)), (3, "c.docx", bytearray(synth.cfb_bytes({"EncryptionInfo": b"", "EncryptedPackage": b"x"}))), (4, "d.xls", bytearray(doc)), (5, "e.txt", None), (6, "f.doc", bytearray(doc[:700]))], "k int, display_name string, content binary")
+    found = probe(rows.withColumn("file_size", F.octet_length("content").cast("bigint")), ["version", "title", "word_count", "linearized", "has_javascript", "encrypted"], overrides=None, level="metadata").collect()
+    assert {r["error_code"] for r in found if r["k"] < 4} == {"UNSUPPORTED_TARGET"}
+    out = probe(rows.withColumn("file_size", F.octet_length("content").cast("bigint")), ["title", "encrypted"], ["file_size"])
+    lines = {r["k"]: json.loads(r["value"]) for r in report.lines(out, "values", "k").collect()}
+    assert lines[2]["values"]["document.title"] == 'Te"st' and lines[2]["status"] == "partial" and lines[2]["unresolved_targets"] == ["security.encrypted"]
+    assert lines[3]["values"]["security.encrypted"] is True and lines[4]["error"]["code"] == lines[6]["error"]["code"] == "MALFORMED_INPUT" and lines[5]["error"]["exit_code"] == 3
+    full = {r["k"]: json.loads(r["value"]) for r in report.lines(out, "full", "k").collect()}
+    assert full[2]["results"]["document.file_size"]["value"] == len(doc) and [d["code"] for d in full[2]["diagnostics"]] == ["UNRESOLVED_TARGET"]
+    assert report.exit_status(out).collect()[0][0] == 4
+    exact = probe(rows.where("k = 1").withColumn("file_size", F.lit(9).cast("bigint")), ["linearized"], level="metadata", overrides={"linearized": "exact"})
+    wide = report.typed(exact, {"pdf.linearized": "bool"}, "k").collect()[0]
+    assert wide["pdf_linearized"] is True and exact.collect()[0]["diagnostics"][0]["message"] == "pdf.linearized resolved at high, below requested exact"
+    planned = probe(rows.where("k = 1").withColumn("file_size", F.lit(9).cast("bigint")), ["linearized"], plan_only=True).collect()[0]
+    assert planned["results"][0]["status"] == "planned" and planned["status"] == "ok"
+
+
+def test_iwork_packages(spark):
+    m, ref = synth.message, synth.reference
+    pages = [(1, 10000, m((4, ref(5)))), (5, 2001, m((3, "one\ntwo"), (3, "\U0001F600"))), (6, 10011, m((26, "a\x01")))]
+    files = [
+        ("a.pages", synth.iwork_bytes(pages)), ("b.key", synth.iwork_bytes(pages)), ("c.pages", synth.zip_bytes([("index.apxl", "x")])), ("d.pages", synth.zip_bytes([("x", "x")])),
+        ("e.pages", synth.zip_bytes([("Index/Document.iwa", b"\x09\x01\x00\x00x")])), ("f.pages", synth.zip_bytes([("Index/Document.iwa", synth.iwa(pages)[:-1])])), ("g.pages", synth.zip_bytes([("Index/Document.iwa", synth.iwa(pages, True))])),
+    ]
+    got = asked(spark, files, ["@all"], level="deep")
+    assert got[0][2]["pages.body_text_length"] == "9" and got[0][2]["pages.page_size"] == "null" and got[0][2]["pages.section_names"] == "[]" and got[0][0] == "ok"
+    assert [g[1] for g in got] == [None, "MALFORMED_INPUT", "UNSUPPORTED_FORMAT", *["MALFORMED_INPUT"] * 4]
+
+
+def test_decoders_alone():
+    assert packages.unpacked(b"\x01\x02\x00\x00ab" + b"\x01\x01\x00\x00c", 10) == b"abc"
+    for bad in (b"\x09\x01\x00\x00x", b"\x01\x05\x00\x00x", b"\x01"):
+        with pytest.raises(packages.Damaged):
+            packages.unpacked(bad, 10)
+    assert packages.archive(synth.iwa([(42, 2, synth.message((1, "Sheet 1")))], True)[4:], True)[0]["fields"][0]["s"] == "Sheet 1"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04xx\xff\xc0\x00\x0b\x08\x01\xe0\x02\x80\x03xxx"
+    assert packages.dimensions(jpeg) == (640, 480) and packages.dimensions(b"\xff\xd8\xff") == (None, None)
+    with pytest.raises(packages.Damaged):
+        packages.varint(b"\xff" * 11, 0)
+    assert packages.summary(synth.property_set({2: "Test", 15: 42})) == {2: "Test", 15: "42"} and packages.summary(b"") == {}
 
 
-def test_planner():
-    paths = [{"id": i, "targets": t, "level": "metadata", "confidence": c, "cost": k} for i, t, c, k in (("a", ["x"], "high", 3), ("b", ["x", "y"], "exact", 7), ("c", ["y", "z"], "high", 3))]
-    # costs for each added target are 3, 7 // 2 and 3: equal, so the higher confidence comes first
-    assert choose_paths(paths, ["x", "y"]) == {"paths": ["b"], "unresolved": [], "piggyback": [], "cost": 7}
-    assert choose_paths(paths, ["y", "w"], optional=["z"]) == {"paths": ["c"], "unresolved": ["w"], "piggyback": ["z"], "cost": 3}
-    with pytest.raises(UnsupportedTarget):
-        choose_paths(paths, ["q"])
+def test_files_and_records(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.4")
+    found = inputs.files(spark, str(tmp_path / "in"))
+    assert [(r["display_name"], r["file_size"]) for r in found.collect()] == [("a.pdf", 8)]
+    path = str(tmp_path / "in" / "a.pdf")
+    data = base64.b64encode(b"%PDF-1.5").decode()
+    lines = [json.dumps(path), json.dumps({"path": path, "name": "b.docx"}), json.dumps({"path": "/none.pdf"}), json.dumps({"name": "c.pdf", "data_base64": data}), json.dumps({"name": 5, "data_base64": data}), "[]", " ", json.dumps({"name": "c.pdf", "data_base64": data, "path": path})]
+    recs = inputs.records(spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, value string"))
+    got = {r["line_no"]: (r["display_name"], r["error_code"]) for r in inputs.with_files(recs, found).collect()}
+    assert got == {1: ("a.pdf", None), 2: ("b.docx", None), 3: ("none.pdf", "SOURCE_IO"), 4: ("c.pdf", None), 5: (None, "INVALID_REQUEST"), 6: (None, "INVALID_REQUEST"), 8: (None, "INVALID_REQUEST")}
+    assert inputs.within(found, 3).collect()[0]["error_code"] == "BUDGET_EXCEEDED"
+    made = {r["line_no"]: json.loads(r["value"]) for r in jsonl.reports(spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, value string"), known_files=found, wanted=["@header"]).collect()}
+    assert made[1]["results"]["pdf.version"]["value"] == "1.4" and made[2]["error"]["code"] == "MALFORMED_INPUT" and made[3]["error"]["exit_code"] == 2
 
 
-def test_planner_holds_optional_targets_to_their_overrides():
-    paths = [{"id": "a", "targets": ["x", "y", "z"], "level": "metadata", "confidence": "high", "cost": 3}]
-    assert choose_paths(paths, ["x"], optional=["y", "z"], overrides={"y": "exact"})["piggyback"] == ["z"]
-    assert choose_paths(paths, ["x"], confidence="exact", optional=["y", "z"], overrides={"x": "high", "y": "low"})["piggyback"] == ["y"]
-    assert choose_paths(paths, ["x"], optional=["y"], piggyback=False)["piggyback"] == []
+def test_jsonl_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = json.dumps({"name": "c.pdf", "base64": base64.b64encode(b"%PDF-1.5").decode()})
+    (tmp_path / "in" / "a.jsonl").write_text(f"{line}\n\n{{broken\n")
+    jsonl.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "values", wanted=["version"]).awaitTermination(120)
+    out = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(x["status"] for x in out) == ["error", "ok"] and {"pdf.version": "1.5"} in [x.get("values") for x in out]
