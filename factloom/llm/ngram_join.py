@@ -9,12 +9,14 @@ null component; repeated rows repeat. Very long texts are whole. Sets are held a
 An empty table gives no rows.
 """
 
+from functools import reduce
 from itertools import combinations
 from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, map_columns, mix, remove, steps, stored, table, windows
@@ -27,6 +29,8 @@ BROADCAST_ROWS = 500_000
 SKETCH = 8
 #: Keys of a set by which a pair's first common list is found; pairs without a common one there come from every list.
 FIRST = 16
+#: Turns in which unconnected lists are compared with one of their classes, at most; after one that finds less than a link for WORTH rows of lists, what is left is compared pair by pair.
+TURNS, WORTH = 8, 200
 
 
 def shingles(text, n, hashes):
@@ -253,38 +257,42 @@ def components(edges):
 def placed(docs, n, percent, doc_id, text):
     """Per row: id, hashed, n, component.
 
-    Each list's classes are compared with one of them, those of an unconnected list
-    with a second one; a list of three is done then. All pairs of the others that are
-    still unconnected are compared, so no component is missed while a list of copies
+    Each list's classes are compared with one of them, which then leaves the list, and
+    those of a list that stays unconnected with another one, drawn anew for each list,
+    for as long as such turns connect many. All pairs of the others that are still
+    unconnected are compared then, so no component is missed while a list of copies
     gives few pairs. A pair is tested once.
     """
     sets = Sets(docs, n, percent, doc_id, text)
-    edges, tested = None, []
+    edges, tested, opened = [], [], []
 
     def labelled(members, labels):
         return members.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
     def linked(pairs):
         """Labels of all links found so far and by these fitting pairs."""
-        nonlocal edges
         for t in tested:
             t = t.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             pairs = pairs.join(t, (F.least("a", "b") == t["x"]) & (F.greatest("a", "b") == t["y"]), "left_anti")
         tested.append(stored(pairs, "pairs"))
-        found = sets.verified(tested[-1]).select("a", "b")
-        edges = cut(found if edges is None else edges.union(found))
-        return components(edges)
+        edges.append(cut(sets.verified(tested[-1]).select("a", "b")))
+        return components(reduce(DataFrame.union, edges))
 
     labels = linked(sets.fitting(sets.held.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()))
-    now = labelled(sets.held.where("c != hub and k > 2").select("key", "c", "k"), labels)
-    second = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("comp")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-    open_ = stored(now.join(second.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key"), "open")
-    labels = linked(sets.fitting(open_.where("comp != other").select("a", F.col("c").alias("b")).distinct()))
-    now = labelled(open_.where("c != a and k > 3").select("key", "c"), labels)
+    members = sets.held.where("c != hub and k > 2").select("key", "c")
+    for _ in range(TURNS):
+        now = labelled(members, labels)
+        drawn = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("key", "c")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+        opened.append(stored(now.join(drawn.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key"), "open"))
+        labels = linked(sets.fitting(opened[-1].where("comp != other").select("a", F.col("c").alias("b")).distinct()))
+        members = opened[-1].where("c != a").select("key", "c")
+        if edges[-1].count() * WORTH < opened[-1].count():
+            break
+    now = labelled(members, labels)
     apart = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
     pairs, whole = sets.crossed(now.join(apart, "key"), F.col("l_comp") != F.col("r_comp"))
     labels = linked(pairs)
-    remove(open_, whole, *tested)
+    remove(whole, *opened, *tested)
     sets.forget()
     classes = sets.classes.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lowest = classes.join(classes.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("p", "q", "n", "component")
