@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bloom_lm, bpe, chat, decontaminate, html_text, kd_shards, ngram_join, quality, tiff, token_scan
+from . import bloom_lm, bpe, chat, decontaminate, html_text, kd_shards, line_dedup, ngram_join, quality, tiff, token_scan
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_kd_shards": kd_shards.op8_kd_shards,
     "op9_bloom_lm": bloom_lm.op9_bloom_lm,
     "op10_quality": quality.op10_quality,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
-ORACLE_SQL = {"op2_token_counts": token_scan.ORACLE_SQL, "op3_perspectives": chat.ORACLE_SQL}
+ORACLE_SQL = {"op2_token_counts": token_scan.ORACLE_SQL, "op3_perspectives": chat.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
