@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bloom_lm, bpe, chat, decontaminate, html_text, kd_shards, line_dedup, ngram_join, periodic_runs, quality, tiff, token_scan
+from . import bloom_lm, bpe, chat, decontaminate, html_text, kd_shards, line_dedup, ngram_join, periodic_runs, quality, spelling, tiff, token_scan
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_bloom_lm": bloom_lm.op9_bloom_lm,
     "op10_quality": quality.op10_quality,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_spelling": spelling.op12_spelling,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLE_SQL = {"op2_token_counts": token_scan.ORACLE_SQL, "op3_perspectives": chat.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
