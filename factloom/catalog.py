@@ -96,6 +96,52 @@ IWORK_OPT_IN = "security.password_protected iwork.preview_count iwork.preview_di
 FIXED_ALIASES = {"mime": "document.mime_type", "profile": "document.format_profile", "macros": "security.has_macros", "notes_count": "powerpoint.notes_slide_count"}
 
 
+#: Paths by which facts are found: level and confidence. Fixed values.
+PATHS = {
+    "ooxml.identity": ("header", "exact"),
+    "ooxml.core_properties": ("metadata", "high"),
+    "ooxml.app_properties": ("metadata", "high"),
+    "ooxml.package_inventory": ("metadata", "exact"),
+    "ooxml.readability_security": ("metadata", "exact"),
+    "ooxml.package_security": ("metadata", "exact"),
+    "ooxml.deep_security": ("deep", "exact"),
+    "word.profile": ("metadata", "exact"),
+    "word.asset_inventory": ("metadata", "exact"),
+    "word.app_statistics": ("metadata", "high"),
+    "word.document_structure": ("deep", "exact"),
+    "excel.profile": ("metadata", "exact"),
+    "excel.table_inventory": ("metadata", "exact"),
+    "excel.asset_inventory": ("metadata", "exact"),
+    "excel.workbook_xml": ("metadata", "exact"),
+    "excel.worksheet_inventory": ("metadata", "medium"),
+    "excel.shared_strings": ("deep", "exact"),
+    "powerpoint.profile": ("metadata", "exact"),
+    "powerpoint.part_inventory": ("metadata", "exact"),
+    "powerpoint.asset_inventory": ("metadata", "exact"),
+    "powerpoint.app_statistics": ("metadata", "high"),
+    "powerpoint.presentation_xml": ("metadata", "exact"),
+    "pdf.header": ("header", "exact"),
+    "pdf.document_structure": ("metadata", "exact"),
+    "office_legacy.cfb_inventory": ("header", "exact"),
+    "office_legacy.summary_information": ("metadata", "high"),
+    "office_legacy.content_statistics": ("metadata", "exact"),
+    "iwork.identity": ("header", "exact"),
+    "iwork.package_metadata": ("metadata", "high"),
+    "iwork.package_inventory": ("metadata", "exact"),
+    "iwork.preview_metadata": ("metadata", "exact"),
+    "iwork.iwa_integrity": ("deep", "exact"),
+    "iwork.iwa_objects": ("deep", "exact"),
+}
+#: Options by driver: the values each may have, with the path that a value rules out. Fixed values.
+OPTIONS = {
+    "word": {"word.statistics_path": {"auto": None, "app-properties": "word.document_structure", "document-xml": "word.app_statistics"}},
+    "excel": {"excel.workbook_path": {"auto": None, "xml": "excel.worksheet_inventory", "inventory": "excel.workbook_xml"}},
+    "powerpoint": {"powerpoint.slide_count_path": {"auto": None, "app-properties": "powerpoint.presentation_xml", "presentation-xml": "powerpoint.app_statistics"}},
+}
+#: Bytes read, bytes expanded and archive entries that a request of a level may cost. Fixed values.
+BOUNDS = {"header": (4 << 20, 4 << 20, 4096), "metadata": (16 << 20, 8 << 20, 10_000), "deep": (128 << 20, 256 << 20, 50_000)}
+
+
 class RequestError(ValueError):
     """A request that cannot be met: `code` and the message."""
 
@@ -206,6 +252,33 @@ def request(profile, wanted=("@default",), optional=(), level="metadata", confid
     return {"required": sorted(required), "optional": sorted(more), "floors": floors}
 
 
+def ruled_out(driver, options):
+    """The paths that format options rule out; a key may leave out its driver, the last setting of an option holds."""
+    known, chosen = OPTIONS.get(driver, {}), {}
+    for key, value in options.items() if isinstance(options, dict) else options:
+        if not key or not value:
+            raise RequestError("INVALID_REQUEST", f"invalid format option: {key}={value}")
+        named = [key] if "." in key else [o for o in known if o.rpartition(".")[2] == key]
+        if not named:
+            raise RequestError("INVALID_REQUEST", f"unknown {driver} option: {key}")
+        if named[0] not in known:
+            raise RequestError("INVALID_REQUEST", f"unknown {(driver or '').capitalize()} option: {named[0]}")
+        if value not in known[named[0]]:
+            raise RequestError("INVALID_REQUEST", f"invalid {named[0]}: {value}")
+        chosen[named[0]] = value
+    return {known[o][v] for o, v in chosen.items()} - {None}
+
+
+def taken(found, required, floors, level, options=(), driver=None):
+    """The paths that a request takes, from the (target, path) pairs of all facts.
+
+    A path is taken if its level is within the request's, no option rules it out and it
+    gives a required target with at least that target's least confidence.
+    """
+    out, at = ruled_out(driver, options), LEVELS.index(LEVEL_NAMES[level])
+    return {p for t, p in found if t in required and p not in out and LEVELS.index(PATHS[p][0]) <= at and SCORES[PATHS[p][1]] >= SCORES[floors.get(t, "high")]}
+
+
 def value_schema(kind):
     """The JSON schema of a target's type, as a dict."""
     plain, null = kind.removesuffix("|null"), kind.endswith("|null")

@@ -6,14 +6,14 @@ gets an error instead, as does one whose parts are damaged. Ties between facts o
 target are settled by `report.best`.
 """
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import functions as F
 
-from factloom.catalog import APPLICATIONS, FAMILIES
+from factloom.catalog import APPLICATIONS, DRIVERS, FAMILIES
 from factloom.functions.evidence import RAW, evidence, gcd, or_null, orientation, pinned, plain, resolved, settled, text_json, unresolved, unsigned
 from factloom.operators.routing import exit_code, mapped, prefix
-from factloom.sources.packages import APP, CORE, DOCUMENT, MAIN, NAMES, PROPERTIES, TYPES
+from factloom.sources.packages import APP, CORE, DOCUMENT, MAIN, NAMES, NEEDS, PROPERTIES, TYPES
 
 SIGNATURE = "application/vnd.openxmlformats-package.digital-signature-xmlsignature+xml"
 
@@ -102,22 +102,27 @@ def ooxml_security():
     }
 
 
-def pins(decoded):
-    """Decoded rows with what several facts look at."""
-    iwork_, refs = F.col("family") == "iwork", lambda o: F.transform(F.filter(o["fields"], lambda f: (f["n"] == 1) & f["ref"].isNotNull()), lambda f: f["ref"])
-    rows = pinned(
-        decoded, _names=F.transform("entries", lambda e: F.lower(e["name"])), _types=part(TYPES), _core=part(CORE), _app=part(APP), _main=part(mapped(F.col("driver"), MAIN)),
-        _rels=F.flatten(F.transform(F.filter("parts", lambda p: F.lower(p["part"]).endswith(".rels")), lambda p: items(p, "relationship"))),
-        _refs=F.when(iwork_, F.concat(F.transform(objects(6000), lambda o: first_bytes(o, 2)["ref"]), F.transform(objects(6007), lambda o: first_bytes(o, 1)["sub"]))),
-        _kinds=F.transform("objects", lambda o: o["type"].cast("string")), _root=F.filter("objects", lambda o: o["document"]),
-        _nodes=F.filter(objects(4), lambda o: F.exists(o["fields"], lambda f: (f["n"] == 2) & f["ref"].isNotNull())),
-    )
-    typed = lambda name: F.when(F.col("_types").isNotNull(), F.filter(items(F.col("_types"), name), lambda i: i["attrs"]["contenttype"].isNotNull()))
-    rows = pinned(
-        rows, _overrides=typed("override"), _defaults=typed("default"), _tables=F.when(iwork_, tables()), _sheets=F.filter("_root", lambda o: (o["type"] == 2) & label(o, 1).isNotNull()),
-        _ordered=F.get(F.filter(F.transform(F.filter("_root", lambda o: o["type"] == 1), refs), lambda r: F.size(r) > 0), F.lit(0)),
-    )
-    return pinned(rows, _titles=F.transform("_ordered", lambda r: label(F.get(F.reverse(F.filter("_sheets", lambda o: o["id"] == r)), F.lit(0)), 1)))
+def pins(decoded, families=("ooxml", "pdf", "iwork", "legacy")):
+    """Decoded rows with what several facts of these families look at."""
+    rows = pinned(decoded, _names=F.transform("entries", lambda e: F.lower(e["name"])), _head=F.coalesce(F.col("marks.head"), F.col("pdf_head")))
+    if "ooxml" in families:
+        rels = F.flatten(F.transform(F.filter("parts", lambda p: F.lower(p["part"]).endswith(".rels")), lambda p: items(p, "relationship")))
+        rows = pinned(rows, _types=part(TYPES), _core=part(CORE), _app=part(APP), _main=part(mapped(F.col("driver"), MAIN)), _rels=rels)
+        typed = lambda name: F.when(F.col("_types").isNotNull(), F.filter(items(F.col("_types"), name), lambda i: i["attrs"]["contenttype"].isNotNull()))
+        rows = pinned(rows, _overrides=typed("override"), _defaults=typed("default"))
+    if "iwork" in families:
+        iwork_, refs = F.col("family") == "iwork", lambda o: F.transform(F.filter(o["fields"], lambda f: (f["n"] == 1) & f["ref"].isNotNull()), lambda f: f["ref"])
+        rows = pinned(
+            rows, _refs=F.when(iwork_, F.concat(F.transform(objects(6000), lambda o: first_bytes(o, 2)["ref"]), F.transform(objects(6007), lambda o: first_bytes(o, 1)["sub"]))),
+            _kinds=F.transform("objects", lambda o: o["type"].cast("string")), _root=F.filter("objects", lambda o: o["document"]),
+            _nodes=F.filter(objects(4), lambda o: F.exists(o["fields"], lambda f: (f["n"] == 2) & f["ref"].isNotNull())),
+        )
+        rows = pinned(
+            rows, _tables=F.when(iwork_, tables()), _sheets=F.filter("_root", lambda o: (o["type"] == 2) & label(o, 1).isNotNull()),
+            _ordered=F.get(F.filter(F.transform(F.filter("_root", lambda o: o["type"] == 1), refs), lambda r: F.size(r) > 0), F.lit(0)),
+        )
+        rows = pinned(rows, _titles=F.transform("_ordered", lambda r: label(F.get(F.reverse(F.filter("_sheets", lambda o: o["id"] == r)), F.lit(0)), 1)))
+    return rows
 
 
 def risk(macros, embedded, external):
@@ -242,9 +247,9 @@ def pdf():
     path = "pdf.header"
     return [
         *identity(path),
-        resolved("pdf.version", text_json(F.regexp_extract("pdf_head", r"%PDF-([0-9.]{0,8})", 1)), "exact", path, "%PDF header"),
-        resolved("pdf.linearized", plain(F.instr("pdf_head", "/Linearized") > 0), "high", path, "first 8 KiB"),
-        resolved("pdf.xref_type", text_json(F.col("pdf_xref")), "exact", "pdf.document_structure", "cross-reference markers"),
+        resolved("pdf.version", text_json(F.regexp_extract("_head", r"%PDF-([0-9.]{0,8})", 1)), "exact", path, "%PDF header"),
+        resolved("pdf.linearized", plain(F.instr("_head", "/Linearized") > 0), "high", path, "first 8 KiB"),
+        resolved("pdf.xref_type", text_json(F.coalesce(F.col("marks.xref"), F.col("pdf_xref"))), "exact", "pdf.document_structure", "cross-reference markers"),
         resolved("security.has_macros", F.lit("false"), "exact", "pdf.document_structure", "format capability"),
     ]
 
@@ -255,7 +260,9 @@ def heads(routed):
     has = lambda *marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(whole, m))
     table, stream = has(b"\nxref", b"\rxref"), has(b"/Type/XRef", b"/Type /XRef")
     xref = F.when(whole.isNotNull(), F.when(table & stream, "hybrid").when(table, "table").when(stream, "stream").otherwise("unknown"))
-    return routed.withColumns({"pdf_head": F.decode(F.substring(whole, 1, 8192), "ISO-8859-1"), "pdf_xref": xref})
+    by_path = F.col("path").isNotNull() if "path" in routed.columns else F.lit(False)
+    at_hand = lambda c: F.when(~by_path, c)
+    return routed.withColumns({"pdf_head": at_hand(F.decode(F.substring(whole, 1, 8192), "ISO-8859-1")), "pdf_xref": at_hand(xref)})
 
 
 # ---- iWork
@@ -370,7 +377,7 @@ def iwork():
         resolved("iwork.package_entry_count", plain(F.size("entries")), "exact", inventory, zip_),
         resolved("iwork.iwa_entry_count", plain(F.size(F.filter(lower_names(), lambda n: n.endswith(".iwa")))), "exact", inventory, zip_),
         resolved("iwork.data_asset_count", plain(F.size(data)), "exact", inventory, zip_),
-        resolved("iwork.data_asset_bytes", plain(F.aggregate(data, long(), lambda n, e: n + e["size"])), "exact", inventory, zip_),
+        resolved("iwork.data_asset_bytes", plain(F.aggregate(data, F.lit(0).cast("decimal(38,0)"), lambda n, e: (n + e["size"]).cast("decimal(38,0)"))), "exact", inventory, zip_),
         resolved("iwork.asset_type_counts", asset_counts, "exact", inventory, "Data/ filename extensions"),
         resolved("iwork.has_preview", plain(F.size(previews) > 0), "exact", inventory, zip_),
         resolved("iwork.preview_count", plain(F.size(previews)), "exact", inventory, zip_),
@@ -513,26 +520,57 @@ def legacy():
 # ---- all
 
 
-def facts(decoded, drivers=None, targets=None):
+#: Facts by driver, and those that drivers of a family share.
+OWN = {"word": word, "excel": excel, "powerpoint": powerpoint, "keynote": keynote, "numbers": numbers, "pages": pages}
+SHARED = {"ooxml": ooxml, "pdf": pdf, "iwork": iwork, "legacy": legacy}
+
+
+@cache
+def found_by(driver):
+    """(target, path) of all facts of a driver."""
+    return tuple((f.target, f.path) for f in (*SHARED[FAMILIES[driver]](), *(OWN[driver]() if driver in OWN else ())))
+
+
+def needed(drivers=None, targets=None, paths=None):
+    """{driver: what its decoder has to read} for facts of these targets by these paths (by driver)."""
+    out = {}
+    for driver in drivers or DRIVERS:
+        used = {p for t, p in found_by(driver) if (targets is None or t in targets) and (paths is None or p in paths.get(driver, ()))}
+        out[driver] = frozenset().union(*(NEEDS.get(p, ()) for p in used))
+    return out
+
+
+def facts(decoded, drivers=None, targets=None, paths=None):
     """Add `evidence` to decoded rows; rows with an error have none. Errors of decoding and of the profile join those of routing.
 
-    drivers, targets: only these are derived (a shorter plan); documents of others get no facts.
+    drivers, targets, paths (by driver): only these are derived (a shorter plan); documents of
+    other drivers get no facts, and are not held against their profile.
     """
     family, driver = F.col("family"), F.col("driver")
     boxed = family.isin("legacy", "encrypted-ooxml")
-    ik, im = iwork_error()
-    unfit = ooxml_error()
+    chosen = [d for d in DRIVERS if d in (drivers or DRIVERS)]
+    kin = {f: [d for d in chosen if FAMILIES[d] == f] for f in SHARED}
     other = F.coalesce(cfb_kind() != F.col("profile"), F.lit(True))
-    code = F.coalesce("error_code", "decode_code", F.when(family == "ooxml", F.when(unfit.isNotNull(), "MALFORMED_INPUT")).when(family == "iwork", ik).when(boxed & other, "MALFORMED_INPUT"))
-    said = F.coalesce("decode_message", F.when(family == "ooxml", unfit).when(family == "iwork", im).when(boxed & other, "CFB streams do not match the detected profile"))
-    rows = pinned(pins(decoded), _code=code, _said=F.coalesce(F.col("error_message"), F.concat(prefix(code), said)))
+    code, said = F.when(boxed & other, "MALFORMED_INPUT"), F.when(boxed & other, "CFB streams do not match the detected profile")
+    if kin["ooxml"]:
+        unfit = ooxml_error()
+        code, said = code.when((family == "ooxml") & unfit.isNotNull(), "MALFORMED_INPUT"), said.when(family == "ooxml", unfit)
+    if kin["iwork"]:
+        ik, im = iwork_error()
+        code, said = code.when(family == "iwork", ik), said.when(family == "iwork", im)
+    code, said = F.coalesce("error_code", "decode_code", code), F.coalesce("decode_message", said)
+    rows = pinned(pins(decoded, [f for f, ds in kin.items() if ds]), _code=code, _said=F.coalesce(F.col("error_message"), F.concat(prefix(code), said)))
     empty = F.array().cast(f"array<{RAW}>")
-    asked = lambda found: [f for f in found if targets is None or f.target in targets]
-    by = lambda c, made: reduce(lambda out, kv: out.when(c == kv[0], evidence(asked(kv[1]))), made.items(), F.when(F.lit(False), empty)).otherwise(empty)
-    chosen = set(drivers or FAMILIES)
-    own = by(driver, {d: make() for d, make in (("word", word), ("excel", excel), ("powerpoint", powerpoint), ("keynote", keynote), ("numbers", numbers), ("pages", pages)) if d in chosen})
-    shared = by(F.when(boxed, "legacy").otherwise(family), {f: make() for f, make in (("ooxml", ooxml), ("pdf", pdf), ("iwork", iwork), ("legacy", legacy)) if any(FAMILIES[d] == f for d in chosen)})
-    rows = pinned(rows, _raw=F.when(F.col("_code").isNull(), F.concat(shared, own)).otherwise(empty))
+    by = lambda c, made: reduce(lambda out, kv: out.when(c == kv[0], evidence(kv[1])), made.items(), F.when(F.lit(False), empty)).otherwise(empty)
+    allowed = lambda f, among: (targets is None or f.target in targets) and (paths is None or any(f.path in paths.get(d, ()) for d in among))
+    own = by(driver, {d: [f for f in OWN[d]() if allowed(f, [d])] for d in chosen if d in OWN and (targets is None or any(t in targets for t, _ in found_by(d)))})
+    shared = by(F.when(boxed, "legacy").otherwise(family), {f: [x for x in make() if allowed(x, kin[f])] for f, make in SHARED.items() if kin[f]})
+    made = F.concat(shared, own)
+    if paths is not None and any(paths.get(a, set()) ^ paths.get(b, set()) for ds in kin.values() for a in ds for b in ds):
+        # drivers of a family that take different paths: each row keeps those of its own
+        mine = F.create_map(*(x for d in chosen for x in (F.lit(d), F.array(*map(F.lit, sorted(paths.get(d, ())))).cast("array<string>"))))[driver]
+        made = F.filter(made, lambda e: F.array_contains(mine, e["path"]))
+    rows = pinned(rows, _raw=F.when(F.col("_code").isNull(), made).otherwise(empty))
     rows = pinned(rows, evidence=settled(F.col("_raw")))
     rows = rows.withColumns({"error_code": F.col("_code"), "error_message": F.col("_said"), "exit_code": exit_code(F.col("_code"))})
-    return rows.drop(*(c for c in rows.columns if c.startswith("_")), *NAMES, "pdf_head", "pdf_xref")
+    return rows.drop(*(c for c in rows.columns if c.startswith("_")), *(n for n in NAMES if n not in ("bytes_read", "reads")), "pdf_head", "pdf_xref")

@@ -4,14 +4,18 @@ No test table holds an office document, so most queries build a small one from e
 and probe its bytes; the SQL says the same facts from the row alone.
 """
 
+from hashlib import shake_128
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom import catalog, synth
-from factloom.operators.probe import with_facts
+from factloom.operators.probe import probe, with_facts
 from factloom.operators.report import best, exit_status, requested
 from factloom.operators.routing import route
-from factloom.sources.inputs import records, within
+from factloom.sources import manifest
+from factloom.sources.inputs import jsonl_lines, records, within
+from factloom.sources.shared import fresh
 
 TYPES = '<Types><Default Extension="png" ContentType="image/png"/><Default Extension="mp4" ContentType="video/mp4"/><Override PartName="/main" ContentType="{}.main+xml"/></Types>'
 #: White space of the Unicode standard, as a class that Java and RE2 both read.
@@ -59,7 +63,7 @@ def times(text, n):
 DOCX = ["document.title", "document.author", "document.subject", "word.paragraph_count", "word.word_count", "word.page_count", "word.table_count", "word.is_template", "word.unique_image_asset_count", "office.package_entry_count", "office.conformance"]
 
 
-def docx_facts(spark, sf_dir):
+def word_documents(spark, sf_dir):
     """A Word document for each text: a paragraph a line that is not blank, with saved counts that are out of date."""
     full = lambda parts: F.size(F.filter(parts, lambda x: F.regexp_replace(x, SPACE, "") != ""))
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", full(F.split("text", "\n")).alias("n"), full(F.split("text", SPACE + "+")).alias("w"))
@@ -69,8 +73,36 @@ def docx_facts(spark, sf_dir):
     image = F.when(F.col("doc_id") % 2 == 0, "x")
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".dotx").otherwise(".docx"))
     types = F.when(F.col("doc_id") % 5 == 0, TYPES.format(catalog.MIME["dotx"])).otherwise(TYPES.format(catalog.MIME["docx"]))
-    made = packed(docs, "doc_id", name, [("[Content_Types].xml", types), ("docProps/app.xml", saved), ("docProps/core.xml", core), ("word/document.xml", body), ("word/media/a.png", image), ("word/media/A.PNG", image), ("word/media/b.bin", image)])
-    return probed(made, "doc_id", DOCX, ["word"])
+    return packed(docs, "doc_id", name, [("[Content_Types].xml", types), ("docProps/app.xml", saved), ("docProps/core.xml", core), ("word/document.xml", body), ("word/media/a.png", image), ("word/media/A.PNG", image), ("word/media/b.bin", image)])
+
+
+def docx_facts(spark, sf_dir):
+    """Facts of a Word document for each text."""
+    return probed(word_documents(spark, sf_dir), "doc_id", DOCX, ["word"])
+
+
+#: Requests by name: level, format options, least confidences of single targets.
+REQUESTS = {
+    "header": ("header", {}, None),
+    "metadata": ("metadata", {}, None),
+    "metadata, exact": ("metadata", {}, {"paragraph_count": "exact"}),
+    "deep": ("deep", {}, None),
+    "deep, saved": ("deep", {"statistics_path": "app-properties"}, None),
+    "wrong option": ("deep", {"statistics_path": "fast"}, None),
+}
+
+
+def level_facts(spark, sf_dir):
+    """The same documents asked at each level, with options and floors: which path answers, and with what."""
+    made = word_documents(spark, sf_dir).withColumn("file_size", F.octet_length("content").cast("bigint"))
+    out = None
+    for name, (level, options, floors) in REQUESTS.items():
+        found = probe(made, ["document.format_profile", "title", "paragraph_count"], level=level, options=options, overrides=floors)
+        shown = F.when(F.col("status") == "error", F.array(F.struct(F.lit("").alias("target"), F.lit("error").alias("status"), F.col("error_message").alias("value"), F.lit("none").alias("confidence"), F.lit("").alias("path"))))
+        kept = F.transform("results", lambda r: F.struct(*(r[c].alias(c) for c in ("target", "status", "value", "confidence", "path"))))
+        rows = found.select("doc_id", F.lit(name).alias("request"), F.explode(F.coalesce(shown, kept)).alias("r")).select("doc_id", "request", "r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 XLSX = ["excel.sheet_count", "excel.sheet_names", "excel.hidden_sheet_count", "excel.defined_name_count", "excel.shared_string_count", "excel.table_count", "excel.binary_workbook", "excel.chart_part_count"]
@@ -243,6 +275,72 @@ def best_evidence(spark, sf_dir):
     return rows.select("user_id", F.explode(best(F.col("evidence"))).alias("b")).select("user_id", "b.target", "b.value", "b.confidence")
 
 
+def damaged_documents(spark, sf_dir):
+    """A document for each event, sound or damaged in one of many ways: no kind fails the job, each gives its row."""
+    m, ref = synth.message, synth.reference
+    types = ("[Content_Types].xml", TYPES.format(catalog.MIME["docx"]))
+    word = lambda *parts: synth.zip_bytes([types, ("word/document.xml", "<d/>"), *parts])
+    root = (1, 10000, m((4, ref(5))))
+    pages = lambda *objects, **more: synth.iwork_bytes([root, *objects], {}, None, **more)
+    plist = ("Metadata/Properties.plist", b"<plist><dict/></plist>", 22)
+    sized = lambda *sizes: synth.directory_zip([("Index/Document.iwa", (d := synth.iwa([root])), len(d)), plist, *((f"Data/{k}", b"", n) for k, n in enumerate(sizes))])
+    box = synth.cfb_bytes({"WordDocument": b"w", "\x05SummaryInformation": synth.property_set({2: "T"})})
+    kinds = [
+        ("a.docx", word()), ("a.docx", word()[:-30]), ("a.docx", synth.zip_bytes([types])), ("a.docx", synth.zip_bytes([("[Content_Types].xml", TYPES.format(catalog.MIME["xlsx"])), ("word/document.xml", "<d/>")])),
+        ("a.docx", word(("_rels/.rels", "<broken"))), ("a.pages", pages((7, (1 << 64) - 1, b"x"))), ("a.pages", sized((1 << 63) + 5)), ("a.pages", sized(1 << 63, 1 << 63)),
+        ("a.pages", synth.zip_bytes([("index.apxl", "x")])), ("a.pages", synth.zip_bytes([("Index/Document.iwa", synth.iwa([root])[:-1]), ("Metadata/Properties.plist", "x")])),
+        ("a.pages", synth.zip_bytes([("Index/Document.iwa", synth.iwa([root])), ("Metadata/Properties.plist", "no plist")])), ("a.doc", box), ("a.doc", box[:700]), ("a.doc", box[:-512] + b"\x05" * 512), ("a.pdf", b"none"), ("a", b""),
+    ]
+    kind = F.pmod(F.col("event_id"), F.lit(len(kinds))).cast("int")
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in kinds)), kind + 1)
+    content = F.element_at(F.array(*(F.lit(bytearray(c)) for _, c in kinds)), kind + 1)
+    rows = read(spark, sf_dir, "events").select("event_id", name.alias("display_name"), content.alias("content")).withColumn("file_size", F.octet_length("content").cast("bigint"))
+    asked = ["document.format", "iwork.data_asset_bytes", "iwork.message_type_counts", "document.title", "security.has_external_relationships"]
+    found = requested(with_facts(rows, targets=[*asked, "iwork.is_multi_page"]), asked)
+    value = lambda t: F.get(F.filter("results", lambda e: e["target"] == t), F.lit(0))["value"]
+    return found.select("event_id", "error_code", "exit_code", value("document.format").alias("format"), value("iwork.data_asset_bytes").alias("bytes"), value("iwork.message_type_counts").alias("types"), value("document.title").alias("title"))
+
+
+def manifest_facts(spark, sf_dir):
+    """A file for each supplier, found by JSONL paths in a listing and read by ranges.
+
+    Slides hold 100 KB of pictures that no fact needs; PDF files are larger than what may be
+    read of them; some paths lead nowhere.
+    """
+    key = F.col("s_suppkey")
+    types, app = TYPES.format(catalog.MIME["pptx"]), "<Properties><Slides>{}</Slides></Properties>"
+
+    def make(key, name):
+        if key % 5 == 3:
+            return b"%PDF-1.7\n" + b"x" * 30_000
+        core = f"<cp:p xmlns:cp='c' xmlns:dc='d'><dc:title>{name}</dc:title></cp:p>"
+        return synth.zip_bytes([("ppt/media/a.png", shake_128(str(key).encode()).digest(100_000)), ("[Content_Types].xml", types), ("ppt/presentation.xml", "<p/>"), ("docProps/app.xml", app.format(key)), ("docProps/core.xml", core)])
+
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    named = F.concat(key.cast("string"), F.when(key % 5 == 3, ".pdf").otherwise(".pptx"))
+    made = built(rows, "", make, "s_name").withColumn("display_name", named).where(key % 5 != 4)
+    folder = fresh(spark, "files")
+    synth.written(made, folder, "s_suppkey").write.format("noop").mode("overwrite").save()
+    lines = rows.select(key.alias("line_no"), F.to_json(F.struct(F.concat(F.lit(folder + "/"), named).alias("path"))).alias("value"))
+    inputs = manifest.packed(manifest.with_paths(records(lines), manifest.listed(spark, folder)))
+    asked = ["powerpoint.slide_count", "document.title"]
+    paths = {"powerpoint": {"powerpoint.app_statistics", "ooxml.core_properties"}, "pdf": {"pdf.document_structure"}}
+    found = requested(with_facts(inputs, drivers=list(paths), targets=[*asked, "pdf.xref_type"], paths=paths, max_read=20_000), asked)
+    value = lambda t: F.get(F.filter("results", lambda e: e["target"] == t), F.lit(0))["value"]
+    return found.select(F.col("line_no").alias("s_suppkey"), "error_code", "exit_code", value(asked[0]).alias("slides"), value(asked[1]).alias("title"), (F.col("bytes_read") < 18_000).alias("frugal"), (F.col("file_size") > 100_000).alias("large"))
+
+
+def jsonl_files(spark, sf_dir):
+    """JSONL files, one a kind of event, with blank lines: every report under its file and its line's true number."""
+    events = read(spark, sf_dir, "events")
+    folder = fresh(spark, "jsonl")
+    lines = events.select("event_id", "event_type").join(lines_of(events).withColumnRenamed("line_no", "event_id"), "event_id").select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).otherwise(" ").alias("value"))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(folder)
+    rows = within(records(jsonl_lines(spark, folder)), 16 << 20).drop("path")
+    found = requested(with_facts(rows, drivers=["pdf"], targets=(asked := ["pdf.version"])), asked)
+    return found.select(F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type"), F.col("line_no").cast("bigint").alias("line_no"), "status", "error_message", "exit_code")
+
+
 def selector_sizes(spark, sf_dir):
     """How many targets each selector gives, by profile and level."""
     names = ("@header", "@default", "@summary", "@security", "@structure", "@assets", "@quality", "@format", "@all")
@@ -270,7 +368,7 @@ SIZES = {
     "ppt": "11/11/11 11/19/19 11/15/15 1/4/4 1/5/5 0/0/0 1/1/1 3/7/7 11/25/25", "encrypted-ooxml": "11/11/11 11/16/16 11/15/15 1/4/4 1/2/2 0/0/0 1/1/1 3/4/4 11/22/22",
 }
 
-QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, selector_sizes, format_list, target_list)}
+QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
 
 
 def _long(source, key, facts):
@@ -383,6 +481,31 @@ select event_id as line_no, case when error_code is null then 'ok' else 'error'
 with e as (select *, event_id % 5 as c from events),
 r as (select *, row_number() over (partition by user_id, event_type order by c desc, event_id) as k from e)
 select user_id, event_type as target, event_id::varchar as value, ['none', 'low', 'medium', 'high', 'exact'][c + 1] as confidence from r where k = 1""",
+    "level_facts": f"""
+with d as (select doc_id, source, {_LINES} as n from documents),
+r as (select unnest(['header', 'metadata', 'metadata, exact', 'deep', 'deep, saved']) as request),
+f as (select doc_id, request, unnest([
+  {{'target': 'document.format_profile', 'value': case when doc_id % 5 = 0 then '"dotx"' else '"docx"' end, 'confidence': 'exact', 'path': 'ooxml.identity'}},
+  {{'target': 'document.title', 'value': case when request <> 'header' and trim(source) <> '' then '"' || source || '"' end, 'confidence': 'high', 'path': 'ooxml.core_properties'}},
+  {{'target': 'word.paragraph_count', 'value': case when request in ('metadata', 'deep, saved') then '1' when request like 'deep%' then n::varchar end,
+    'confidence': case when request = 'deep' then 'exact' else 'high' end, 'path': case when request = 'deep' then 'word.document_structure' else 'word.app_statistics' end}}]) as x from d, r)
+select doc_id, request, x.target as target, case when x.value is not null then 'resolved' when request = 'header' or request = 'metadata, exact' and x.target = 'word.paragraph_count' then 'unsupported' else 'unknown' end as status,
+  x.value as value, case when x.value is null then 'none' else x.confidence end as confidence, case when x.value is not null or x.target = 'document.title' and request <> 'header' then x.path else 'planner' end as path from f
+union all select doc_id, 'wrong option', '', 'error', 'invalid request: invalid word.statistics_path: fast', 'none', '' from d""",
+    "damaged_documents": """
+with k as (select event_id, event_id % 16 as k from events), e as (select *, case when k in (1, 2, 3, 4, 7, 9, 10, 12, 13, 14) then 'MALFORMED_INPUT' when k in (8, 15) then 'UNSUPPORTED_FORMAT' end as error_code from k)
+select event_id, error_code, case error_code when 'MALFORMED_INPUT' then 4 when 'UNSUPPORTED_FORMAT' then 3 else 0 end as exit_code,
+  case k when 0 then '"office-open-xml"' when 5 then '"apple-iwork"' when 6 then '"apple-iwork"' when 11 then '"office-legacy"' end as format,
+  case k when 5 then '0' when 6 then '9223372036854775813' end as bytes, case k when 5 then '{"10000":1,"18446744073709551615":1}' when 6 then '{"10000":1}' end as types, case k when 11 then '"T"' end as title from e""",
+    "manifest_facts": """
+with k as (select s_suppkey, s_name, s_suppkey % 5 as k from supplier)
+select s_suppkey, case k when 3 then 'BUDGET_EXCEEDED' when 4 then 'SOURCE_IO' end as error_code, case k when 3 then 4 when 4 then 2 else 0 end as exit_code,
+  case when k < 3 then s_suppkey::varchar end as slides, case when k < 3 then '"' || s_name || '"' end as title, case when k <> 4 then true end as frugal, case when k <> 4 then k <> 3 end as large from k""",
+    "jsonl_files": """
+with l as (select *, row_number() over (partition by event_type order by event_id) as line_no from events), k as (select *, event_id % 8 as k from l where event_id % 7 <> 0)
+select event_type, line_no, case when k < 4 then 'ok' else 'error' end as status,
+  case k when 4 then 'invalid JSONL base64 payload' when 5 then 'JSONL object must contain either path, or name plus data_base64' when 6 then 'JSONL line ' || line_no || ' is invalid' when 7 then 'unsupported format: .txt' end as error_message,
+  case when k < 4 then 0 when k = 7 then 3 else 1 end as exit_code from k""",
     "selector_sizes": "select profile, ['@header', '@default', '@summary', '@security', '@structure', '@assets', '@quality', '@format', '@all'][s] as selector, ['header', 'metadata', 'deep'][l] as level, string_split(string_split(sizes, ' ')[s], '/')[l]::bigint as n from (values "
     + ", ".join(f"('{p}', '{v}')" for p, v in SIZES.items()) + ") as t(profile, sizes), range(1, 10) as a(s), range(1, 4) as b(l)",
     "format_list": "select driver, unnest(string_split(ps, ' ')) as profile, support from (values ('pdf', 'pdf', '2.0'), ('word', 'docx docm dotx dotm', '2.0'), ('excel', 'xlsx xlsm xltx xltm xlsb', '2.0; xlsb identity only'), ('powerpoint', 'pptx pptm ppsx ppsm potx potm', '2.0'), ('keynote', 'key', '2.0; modern IWA only'), ('numbers', 'numbers', '2.0; modern IWA only'), ('pages', 'pages', '2.0; modern IWA only'), ('office-legacy', 'doc xls ppt encrypted-ooxml', 'metadata and format statistics')) as t(driver, ps, support)",

@@ -4,6 +4,7 @@ Files, bytes at hand and JSONL records become the same rows; a record that canno
 read is a row with its error, never an exception. Content is null where there is an error.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["input_id", "display_name", "source_kind", "file_size", "content", "error_code", "error_message"]
@@ -29,22 +30,33 @@ def _rows(df):
 
 
 def jsonl_lines(spark, path):
-    """(line_no, value) of the lines of text files that are not blank; numbers rise with the lines."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value").where(F.trim("value") != "")
+    """(file, line_no, value) of the lines of text files that are not blank; line n of each file is n.
+
+    A split's lines have consecutive ids, so a line's place in it needs no sort; splits'
+    counts, a row each, are summed up file by file. No line crosses a shuffle unless the
+    table of splits is too large to be broadcast, which the optimizer decides by its size.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = read.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    placed = read.join(splits.select("file", "_block", "_first", earlier.alias("_before")), ["file", "_block"])
+    return placed.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value").where(F.trim("value") != "")
 
 
 def records(lines):
     """Lines of (line_no, value) as inputs, and `path` for those to be read from a file.
 
     A line is a path as a JSON string, an object with a path and maybe a name, or one
-    with a name and data_base64 (or base64). Blank lines are left out.
+    with a name and data_base64 (or base64). Blank lines are left out; further columns
+    of the lines stay.
     """
     v = F.try_parse_json("value")
     at = lambda key: F.try_variant_get(v, f"$.{key}", "variant")
     kind = lambda x: F.schema_of_variant(x)
     text = lambda key: F.when(kind(at(key)) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
     wrong = lambda key: F.coalesce(~kind(at(key)).isin("STRING", "VOID"), F.lit(False))
-    made = lines.where(F.trim("value") != "").select("line_no", "value", v.alias("_v"), kind(v).alias("_kind"), text("path").alias("_path"), text("name").alias("_name"), F.coalesce(text("data_base64"), text("base64")).alias("_data"), (wrong("path") | wrong("name") | wrong("data_base64") | wrong("base64")).alias("_wrong"))
+    more = [c for c in lines.columns if c not in ("line_no", "value", *COLUMNS, "path")]
+    made = lines.where(F.trim("value") != "").select(*more, "line_no", "value", v.alias("_v"), kind(v).alias("_kind"), text("path").alias("_path"), text("name").alias("_name"), F.coalesce(text("data_base64"), text("base64")).alias("_data"), (wrong("path") | wrong("name") | wrong("data_base64") | wrong("base64")).alias("_wrong"))
     is_text, is_object = F.col("_kind") == "STRING", F.col("_kind").startswith("OBJECT") & ~F.col("_wrong")
     by_path = is_object & F.col("_path").isNotNull() & F.col("_data").isNull()
     by_data = is_object & F.col("_path").isNull() & F.col("_name").isNotNull() & F.col("_data").isNotNull()
@@ -59,7 +71,7 @@ def records(lines):
         .otherwise(F.concat_ws(" ", F.lit("JSONL line"), F.col("line_no").cast("string"), F.lit("is invalid")))
     )
     return made.select(
-        "line_no", F.col("line_no").cast("string").alias("input_id"), F.coalesce(F.when(by_path | by_data, F.col("_name")), F.regexp_extract(path, r"([^/]*)/*$", 1)).alias("display_name"),
+        *more, "line_no", F.col("line_no").cast("string").alias("input_id"), F.coalesce(F.when(by_path | by_data, F.col("_name")), F.regexp_extract(path, r"([^/]*)/*$", 1)).alias("display_name"),
         F.when(path.isNotNull(), "local_file").when(by_data, "jsonl_bytes").alias("source_kind"), F.octet_length(content).cast("bigint").alias("file_size"), content.alias("content"),
         F.when(message.isNotNull(), "INVALID_REQUEST").alias("error_code"), message.alias("error_message"), path.alias("path"),
     )

@@ -1,12 +1,13 @@
 """Containers decoded in Spark tasks: ZIP packages with their XML parts, IWA objects and plists, CFB directories.
 
 Only the bytes are read here, with the standard library and pyarrow; what follows from
-them is said in column expressions (`operators`). A damaged container gives decode_code
-and decode_message. XML parts that are read leniently end at their first error; a broken
-part that has to be whole (content types, relationships) is an error of the document.
+them is said in column expressions (`operators`). Bytes come from a content column or by
+ranges from a file, and only parts that are needed are read. A damaged container gives
+decode_code and decode_message, as does whatever a decoder did not expect: no document
+fails a job. XML parts that are read leniently end at their first error; a broken part
+that has to be whole (content types, relationships) is an error of the document.
 """
 
-import io
 import plistlib
 import struct
 import zipfile
@@ -19,14 +20,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from factloom.sources.ranges import HEAD, SIGNATURE, Damaged, held, opened
+
 PARTS = "array<struct<part: string, counts: map<string,bigint>, items: array<struct<name: string, attrs: map<string,string>>>, texts: map<string,string>, raw: string>>"
 FIELDS = "array<struct<n: bigint, v: decimal(20,0), s: string, ref: decimal(20,0), sub: decimal(20,0), f: double, d: double, w: double, h: double, bytes: boolean>>"
-DECODED = f"entries array<struct<name: string, size: bigint>>, parts {PARTS}, objects array<struct<id: decimal(20,0), type: bigint, document: boolean, fields: {FIELDS}>>, plist map<string,string>, builds array<string>, previews array<struct<name: string, width: bigint, height: bigint>>, streams array<string>, properties map<int,string>, decode_code string, decode_message string"
-NAMES = ["entries", "parts", "objects", "plist", "builds", "previews", "streams", "properties", "decode_code", "decode_message"]
+DECODED = f"entries array<struct<name: string, size: decimal(20,0)>>, parts {PARTS}, objects array<struct<id: decimal(20,0), type: decimal(20,0), document: boolean, fields: {FIELDS}>>, plist map<string,string>, builds array<string>, previews array<struct<name: string, width: bigint, height: bigint>>, streams array<string>, properties map<int,string>, marks struct<head: string, xref: string>, decode_code string, decode_message string, bytes_read bigint, reads bigint"
+NAMES = ["entries", "parts", "objects", "plist", "builds", "previews", "streams", "properties", "marks", "decode_code", "decode_message", "bytes_read", "reads"]
 
 TYPES, CORE, APP = "[Content_Types].xml", "docProps/core.xml", "docProps/app.xml"
 MAIN = {"word": "word/document.xml", "excel": "xl/workbook.xml", "powerpoint": "ppt/presentation.xml"}
-READ = {TYPES, CORE, APP, "xl/sharedStrings.xml", *MAIN.values()}
+#: XML parts by what they are needed for.
+PARTS_OF = {"core": [CORE], "app": [APP], "strings": ["xl/sharedStrings.xml"], "main": list(MAIN.values())}
+#: What facts of a path need besides the directory, content types and an iWork document's root.
+NEEDS = {
+    "ooxml.core_properties": {"core"}, "ooxml.app_properties": {"app"}, "ooxml.package_security": {"rels"}, "ooxml.deep_security": {"rels"},
+    "word.app_statistics": {"app"}, "powerpoint.app_statistics": {"app"}, "word.document_structure": {"main"}, "excel.workbook_xml": {"main"}, "excel.shared_strings": {"strings"}, "powerpoint.presentation_xml": {"main"},
+    "iwork.package_metadata": {"about"}, "iwork.preview_metadata": {"previews"}, "iwork.iwa_integrity": {"objects"}, "iwork.iwa_objects": {"objects"},
+    "office_legacy.summary_information": {"summary"}, "pdf.document_structure": {"whole"},
+}
+ALL = frozenset().union(*NEEDS.values())
 #: Elements whose attributes are kept.
 WANTED = {"default", "override", "relationship", "sheet", "sst", "sldid", "sldsz"}
 DOCUMENT, PROPERTIES, BUILDS = "Index/Document.iwa", "Metadata/Properties.plist", "Metadata/BuildVersionHistory.plist"
@@ -37,10 +49,6 @@ MAX_OBJECTS = 1_000_000
 STEP_BYTES = 16 << 20
 
 
-class Damaged(Exception):
-    """A container that cannot be read: code and message."""
-
-
 def local(name):
     return name.rpartition(":")[2].lower()
 
@@ -85,11 +93,11 @@ def xml_part(name, data, strict):
 
 
 class Package:
-    """A ZIP file held in memory, whose entries are read up to a bound."""
+    """A ZIP file, of which the directory and the entries that are asked for are read, up to a bound."""
 
-    def __init__(self, content, max_entries, max_bytes, kind):
+    def __init__(self, source, max_entries, max_bytes, kind):
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(content))
+            self.zip = zipfile.ZipFile(source)
         except (zipfile.BadZipFile, OSError, ValueError, struct.error, NotImplementedError) as e:
             raise Damaged("MALFORMED_INPUT", f"invalid {kind} container: {e}") from None
         self.sizes, self.left = {i.filename: i.file_size for i in self.zip.infolist()}, max_bytes
@@ -114,10 +122,11 @@ class Package:
         return data
 
 
-def opc(content, max_entries, max_bytes):
-    """Entries and XML parts of an OPC package."""
-    package = Package(content, max_entries, max_bytes, "ZIP/OPC")
-    names = [n for n in package.sizes if n in READ or n.lower().endswith(".rels")]
+def opc(source, max_entries, max_bytes, needs):
+    """Entries and the XML parts of an OPC package that are needed; content types always are."""
+    package = Package(source, max_entries, max_bytes, "ZIP/OPC")
+    wanted = {TYPES, *(n for need, parts in PARTS_OF.items() if need in needs for n in parts)}
+    names = [n for n in package.sizes if n in wanted or "rels" in needs and n.lower().endswith(".rels")]
     return {"entries": package.entries(), "parts": [xml_part(n, package.read(n), n == TYPES or n.lower().endswith(".rels")) for n in names]}
 
 
@@ -272,23 +281,25 @@ def plist(package, name):
         raise Damaged("MALFORMED_INPUT", f"invalid {name}: {e}") from None
 
 
-def iwork(content, max_entries, max_bytes):
-    """Entries, objects, plists and previews of a modern iWork package."""
-    package = Package(content, max_entries, max_bytes, "ZIP/IWA")
+def iwork(source, max_entries, max_bytes, needs):
+    """Entries, objects, plists and previews of a modern iWork package; the root's objects always, what else is needed."""
+    package = Package(source, max_entries, max_bytes, "ZIP/IWA")
     out = {"entries": package.entries(), "objects": []}
-    names = sorted((n for n in package.sizes if n.lower().endswith(".iwa")), key=lambda n: n != DOCUMENT)
+    if sum(s for n, s in package.sizes.items() if n.startswith("Data/") and not n.endswith("/")) >= 1 << 64:
+        raise Damaged("MALFORMED_INPUT", "Data/ asset byte count overflow")
+    names = sorted((n for n in package.sizes if n == DOCUMENT or "objects" in needs and n.lower().endswith(".iwa")), key=lambda n: n != DOCUMENT)
     if DOCUMENT not in package.sizes:
         return out
     for n in names:
         out["objects"] += archive(unpacked(package.read(n), max_bytes), n == DOCUMENT)
         if len(out["objects"]) > MAX_OBJECTS:
             raise Damaged("BUDGET_EXCEEDED", f"IWA object count exceeds {MAX_OBJECTS}")
-    about = plist(package, PROPERTIES)
+    about = plist(package, PROPERTIES) if "about" in needs else None
     if isinstance(about, dict):
         out["plist"] = [(k, str(v).lower() if isinstance(v, bool) else v) for k, v in about.items() if isinstance(v, str | bool)]
-    builds = plist(package, BUILDS)
+    builds = plist(package, BUILDS) if "about" in needs else None
     out["builds"] = [b for b in builds if isinstance(b, str)] if isinstance(builds, list) else None
-    previews = [n for n in package.sizes if n.lower() in ("preview.jpg", "preview.jpeg", "preview.png") or n.lower().startswith("preview-")]
+    previews = [n for n in package.sizes if "previews" in needs and n.lower() in ("preview.jpg", "preview.jpeg", "preview.png") or "previews" in needs and n.lower().startswith("preview-")]
     out["previews"] = [dict(zip(("name", "width", "height"), (n, *dimensions(package.read(n))), strict=True)) for n in previews]
     return out
 
@@ -296,14 +307,19 @@ def iwork(content, max_entries, max_bytes):
 class Compound:
     """A compound file: its directory, and streams by name."""
 
-    def __init__(self, data):
+    def __init__(self, source):
+        self.source = source
         try:
-            self.read_header(data)
-        except (struct.error, IndexError, ValueError) as e:
+            self.read_header()
+        except (struct.error, IndexError, ValueError, OverflowError) as e:
             raise Damaged("MALFORMED_INPUT", f"cannot parse CFB directory: {e}") from None
 
-    def read_header(self, data):
-        self.data, self.size, self.mini_size = data, 1 << struct.unpack_from("<H", data, 30)[0], 1 << struct.unpack_from("<H", data, 32)[0]
+    def sector(self, n):
+        return self.source.at(self.size, (n + 1) * self.size)
+
+    def read_header(self):
+        data = self.source.at(512, 0)
+        self.size, self.mini_size = (1 << min(16, n) for n in struct.unpack_from("<HH", data, 30))
         if self.size not in (512, 4096) or self.mini_size != 64:
             raise ValueError("sector size")
         count, start, _, self.cutoff, mini, _, more, _ = struct.unpack_from("<I I I I I I I I", data, 44)
@@ -311,9 +327,9 @@ class Compound:
         each, seen = self.size // 4, set()
         while more < 0xFFFFFFFC and more not in seen:
             seen.add(more)
-            part = struct.unpack_from(f"<{each}I", data, (more + 1) * self.size)
+            part = struct.unpack(f"<{each}I", self.sector(more))
             table, more = table + list(part[:-1]), part[-1]
-        self.next = [n for s in table[:count] if s < 0xFFFFFFFC for n in struct.unpack_from(f"<{each}I", data, (s + 1) * self.size)]
+        self.next = [n for s in table[:count] if s < 0xFFFFFFFC for n in struct.unpack(f"<{each}I", self.sector(s))]
         found, self.entries = self.chain(start), []
         for at in range(0, len(found) - 127, 128):
             size, kind = struct.unpack_from("<HB", found, at + 64)
@@ -322,9 +338,8 @@ class Compound:
         root = next((e for e in self.entries if e[1] == 5), None)
         if root is None:
             raise ValueError("no root entry")
-        self.mini_data = self.chain(root[2]) if root[2] < 0xFFFFFFFC else b""
-        held = self.chain(mini) if mini < 0xFFFFFFFC else b""
-        self.mini_next = struct.unpack(f"<{len(held) // 4}I", held)
+        # the small streams are read when one of them is
+        self.mini, self.root = mini, root
 
     def chain(self, sector):
         out, seen = [], set()
@@ -332,7 +347,7 @@ class Compound:
             if sector in seen or sector >= len(self.next):
                 raise ValueError("broken sector chain")
             seen.add(sector)
-            out.append(self.data[(sector + 1) * self.size : (sector + 2) * self.size])
+            out.append(self.sector(sector))
             sector = self.next[sector]
         return b"".join(out)
 
@@ -344,11 +359,14 @@ class Compound:
         _, _, sector, size = entry
         if size >= self.cutoff:
             return self.chain(sector)[:size]
+        small = self.chain(self.root[2]) if self.root[2] < 0xFFFFFFFC else b""
+        table = self.chain(self.mini) if self.mini < 0xFFFFFFFC else b""
+        after = struct.unpack(f"<{len(table) // 4}I", table[: len(table) // 4 * 4])
         out, seen = [], set()
-        while sector < 0xFFFFFFFC and sector not in seen and sector < len(self.mini_next):
+        while sector < 0xFFFFFFFC and sector not in seen and sector < len(after):
             seen.add(sector)
-            out.append(self.mini_data[sector * 64 : sector * 64 + 64])
-            sector = self.mini_next[sector]
+            out.append(small[sector * 64 : sector * 64 + 64])
+            sector = after[sector]
         return b"".join(out)[:size]
 
 
@@ -378,38 +396,107 @@ def summary(data):
     return out
 
 
-def compound(content, *_):
-    """Names of a compound file's entries and the properties of its summary."""
-    file = Compound(content)
+def compound(source, max_entries, max_bytes, needs):
+    """Names of a compound file's entries and, if needed, the properties of its summary."""
+    file = Compound(source)
     # a storage has no stream of its own, so its name is marked
     names = [n if kind == 2 else n + "/" for n, kind, _, _ in file.entries]
     try:
-        data = file.stream("\x05SummaryInformation") or b""
-    except ValueError as e:
+        data = (file.stream("\x05SummaryInformation") or b"") if "summary" in needs else b""
+    except (ValueError, struct.error) as e:
         raise Damaged("MALFORMED_INPUT", f"cannot read SummaryInformation: {e}") from None
     return {"streams": names, "properties": list(summary(data).items())}
 
 
+def marks(source, max_entries, max_bytes, needs):
+    """The head of a PDF and, if needed, the kinds of cross-references that it holds."""
+    head, kind = source.at(HEAD, 0), None
+    if "whole" in needs:
+        data = source.whole()
+        table, stream = b"\nxref" in data or b"\rxref" in data, b"/Type/XRef" in data or b"/Type /XRef" in data
+        kind = "hybrid" if table and stream else "table" if table else "stream" if stream else "unknown"
+    return {"marks": {"head": head.decode("latin-1"), "xref": kind}}
+
+
 DECODERS = {"ooxml": opc, "iwork": iwork, "legacy": compound, "encrypted-ooxml": compound}
 
 
-def decoded(routed, max_entries=50_000, max_bytes=256 << 20):
-    """Routed inputs with the columns of DECODED in place of their content, in one pass; null for rows without a decoder."""
+def with_signatures(rows):
+    """Inputs with `path` and no content get `content` of their first bytes, which routing looks at; a file that can't be opened is an error."""
+    kept = [c for c in rows.columns if c not in ("content", "error_code", "error_message")]
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL("content binary, error_code string, error_message string").fields])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            found = []
+            for path, content, code, said in zip(*(batch[c].to_pylist() for c in ("path", "content", "error_code", "error_message")), strict=True):
+                if path is not None and content is None and code is None:
+                    try:
+                        content = opened(path).at(SIGNATURE, 0)
+                    except Damaged as e:
+                        code, said = e.args[0], e.args[1]
+                found.append((content, code, said))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.string(), pa.string()), strict=True))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def decode(source, family, bounds, needs):
+    """The columns of DECODED for a source; whatever a decoder did not expect is a PARSER_FAILURE."""
+    try:
+        out = (marks if family == "pdf" else DECODERS[family])(source, *bounds, needs)
+    except Damaged as e:
+        out = dict(zip(("decode_code", "decode_message"), e.args, strict=True))
+    except Exception as e:  # a document's fault, not the job's
+        out = failure(e)
+    return out | {"bytes_read": source.bytes_read, "reads": source.reads}
+
+
+def failure(e):
+    return {"decode_code": "PARSER_FAILURE", "decode_message": f"{type(e).__name__}: {e}"[:300]}
+
+
+def columns(found, arrow):
+    """Arrow columns of decoded documents; one that has no such form is a PARSER_FAILURE, the others stay."""
+    try:
+        return [pa.array([f.get(n) for f in found], arrow.field(n).type) for n in NAMES]
+    except (pa.ArrowException, OverflowError, ValueError, TypeError) as e:
+        if len(found) == 1:
+            return columns([failure(e) | {n: found[0].get(n) for n in ("bytes_read", "reads")}], arrow)
+        each = [columns([f], arrow) for f in found]
+        return [pa.concat_arrays([c[k] for c in each]) for k in range(len(NAMES))]
+
+
+def decoded(routed, max_entries=50_000, max_bytes=256 << 20, max_read=None, needs=None):
+    """Routed inputs with the columns of DECODED in place of their content, in one pass; null for rows without a decoder.
+
+    needs: what has to be read, by driver (names as in NEEDS); all of it if there is none.
+    A row with a path is read from its file by ranges, other rows from their content.
+    """
+    by_path = "path" in routed.columns
     kept = [c for c in routed.columns if c != "content"]
     schema = StructType([*(routed.schema[c] for c in kept), *StructType.fromDDL(DECODED).fields])
+    bounds = max_entries, max_bytes
+
+    def one(content, path, family, driver, failed):
+        if failed is not None or family not in DECODERS and not (family == "pdf" and path is not None):
+            return {}
+        try:
+            source = opened(path, max_read) if path is not None else held(content.as_buffer(), max_read)
+        except Damaged as e:
+            return dict(zip(("decode_code", "decode_message"), e.args, strict=True))
+        return decode(source, family, bounds, ALL if needs is None else needs.get(driver, frozenset()))
 
     def run(batches):
         arrow = to_arrow_schema(schema)
         for batch in batches:
             rows = max(1, batch.num_rows * STEP_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
-                some, found = batch.slice(at, rows), []
-                for content, family, failed in zip(some["content"], some["family"].to_pylist(), some["error_code"].to_pylist(), strict=True):
-                    try:
-                        found.append(DECODERS[family](content.as_py(), max_entries, max_bytes) if family in DECODERS and failed is None else {})
-                    except Damaged as e:
-                        found.append(dict(zip(("decode_code", "decode_message"), e.args, strict=True)))
-                made = [pa.array([f.get(n) for f in found], arrow.field(n).type) for n in NAMES]
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in kept), *made], schema=arrow)
+                some = batch.slice(at, rows)
+                paths = some["path"].to_pylist() if by_path else [None] * some.num_rows
+                found = [one(*row) for row in zip(some["content"], paths, *(some[c].to_pylist() for c in ("family", "driver", "error_code")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in kept), *columns(found, arrow)], schema=arrow)
 
-    return routed.select(*kept, F.when(F.col("family").isin(*DECODERS), F.col("content")).alias("content")).mapInArrow(run, schema)
+    content = F.when(F.col("family").isin(*DECODERS), F.col("content"))
+    return routed.select(*kept, content.alias("content")).mapInArrow(run, schema)

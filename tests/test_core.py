@@ -74,7 +74,7 @@ def test_word_packages(spark):
 
 def test_bounds_are_errors(spark):
     files = [("a.docx", word(body="<p>" + "x" * 100_000 + "</p>"))]
-    assert asked(spark, files, ["@header"], max_bytes=1000)[0][1] == "BUDGET_EXCEEDED" and asked(spark, files, ["@header"], max_entries=1)[0][1] == "BUDGET_EXCEEDED"
+    assert asked(spark, files, ["paragraph_count"], level="deep", max_bytes=1000)[0][1] == "BUDGET_EXCEEDED" and asked(spark, files, ["@header"], max_entries=1)[0][1] == "BUDGET_EXCEEDED"
 
 
 def test_requests():
