@@ -19,6 +19,13 @@ def best(evidence):
     return F.aggregate(ordered, none, lambda kept, p: F.when(F.get(F.reverse(kept), F.lit(0))["target"] == p["t"], kept).otherwise(F.concat(kept, F.array(p["e"]))))
 
 
+def best_rows(facts, *keys, score="confidence_score", order="arrival"):
+    """The same over rows of single facts: one row for each of the keys, whose partial results are combined before they are shuffled."""
+    rest = [c for c in facts.columns if c not in keys]
+    first = F.max_by(F.struct(*rest), F.struct(F.col(score), (-F.col(order)).alias("earlier")))
+    return facts.groupBy(*keys).agg(first.alias("_best")).select(*keys, "_best.*")
+
+
 def requested(rows, required, optional=(), unsupported=(), floors=None, plan_only=False):
     """Add `results`, `unresolved_targets`, `diagnostics` and `status` for the required and optional targets.
 

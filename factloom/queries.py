@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from factloom import catalog, synth
 from factloom.operators.probe import probe, with_facts
-from factloom.operators.report import best, exit_status, requested
+from factloom.operators.report import best_rows, exit_status, requested
 from factloom.operators.routing import route
 from factloom.sources import manifest
+from factloom.sources.objects import logical_tables, object_rows, ordered_sheets, type_counts
 from factloom.sources.inputs import jsonl_lines, records, within
 from factloom.sources.shared import fresh
 
@@ -43,17 +44,17 @@ def text_stats(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_characters"), full(F.split("text", SPACE + "+")).alias("n_words"), full(F.split("text", "\n")).alias("n_lines"))
 
 
-def probed(rows, key, targets, drivers):
-    """(key, target, status, value, confidence) of the targets for inputs of (key, display_name, content)."""
+def probed(rows, key, targets, drivers, *more):
+    """(key, more columns, target, status, value, confidence) of the targets for inputs of (key, more columns, display_name, content)."""
     inputs = rows.withColumn("file_size", F.octet_length("content").cast("bigint"))
     found = requested(with_facts(inputs, drivers=drivers, targets=targets), targets)
-    return found.select(key, F.explode("results").alias("r")).select(key, "r.target", "r.status", "r.value", "r.confidence")
+    return found.select(key, *more, F.explode("results").alias("r")).select(key, *more, "r.target", "r.status", "r.value", "r.confidence")
 
 
-def packed(rows, key, name, parts):
+def packed(rows, key, name, parts, *more):
     """Rows as packages: `parts` is a list of (name, text column), absent where the text is null."""
     each = F.filter(F.array(*(F.struct((F.lit(n) if isinstance(n, str) else n).alias("name"), t.alias("text")) for n, t in parts)), lambda p: p["text"].isNotNull())
-    return synth.zipped(rows.select(key, name.alias("display_name"), each.alias("parts")), key, "display_name")
+    return synth.zipped(rows.select(key, *more, name.alias("display_name"), each.alias("parts")), key, *more, "display_name")
 
 
 def times(text, n):
@@ -156,8 +157,8 @@ def risk_rollup(spark, sf_dir):
     rel = F.when(kind == "click", '<Relationship Type="x" TargetMode="External"/>').when(kind == "signup", '<Relationship Type="http://a/oleObject"/>').when(kind == "view", '<Relationship Type="http://a/package" TargetMode="external"/>').otherwise("")
     types = TYPES.format(catalog.MIME["docm"]).replace("</Types>", '<Override PartName="/s/X.xml" ContentType="application/vnd.openxmlformats-package.digital-signature-xmlsignature+xml"/></Types>')
     parts = [("[Content_Types].xml", F.lit(types)), ("word/document.xml", F.lit("<d/>")), ("_rels/.RELS", F.concat(F.lit("<R>"), rel, F.lit("</R>"))), ("word/vbaProject.bin", F.when(kind == "purchase", "m")), ("s/x.XML", F.when(kind == "error", "s")), ("_xmlsignatures/sig1.xml", F.when(kind == "error", "s"))]
-    made = packed(read(spark, sf_dir, "events"), "event_id", F.lit("a.docm"), parts)
-    long = probed(made, "event_id", RISK, ["word"]).join(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    made = packed(read(spark, sf_dir, "events"), "event_id", F.lit("a.docm"), parts, "event_type")
+    long = probed(made, "event_id", RISK, ["word"], "event_type")
     return long.groupBy("event_type", "target", "status", "value").agg(F.count("*").alias("n"))
 
 
@@ -191,7 +192,7 @@ def pages_facts(spark, sf_dir):
 NUMBERS = ["numbers.sheet_count", "numbers.sheet_names", "numbers.table_count", "numbers.hidden_row_count", "numbers.filtered_row_count", "numbers.formula_definition_count", "numbers.table_component_count", "iwork.iwa_entry_count"]
 
 
-def numbers_facts(spark, sf_dir):
+def numbers_documents(spark, sf_dir):
     """A Numbers document for each supplier: sheets, tables and formulas follow from its nation."""
     m, ref = synth.message, synth.reference
 
@@ -204,7 +205,30 @@ def numbers_facts(spark, sf_dir):
         lists = [(400, 6005, m((1, 3), *((3, b"f") for _ in range(key % 3)))), (401, 6201, m((1, 4), (3, b"f")))]
         return synth.iwork_bytes([root, *sheets], {}, None, [("Index/Tables/Tile-1.iwa", synth.iwa(tables + models, key % 2 == 0)), ("Index/Tables/Tile.iwa", synth.iwa(lists))])
 
-    return probed(built(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("nation")), "a.numbers", make, "nation"), "s_suppkey", NUMBERS, ["numbers"])
+    return built(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("nation")), "a.numbers", make, "nation")
+
+
+def numbers_facts(spark, sf_dir):
+    """Facts of a Numbers document for each supplier."""
+    return probed(numbers_documents(spark, sf_dir), "s_suppkey", NUMBERS, ["numbers"])
+
+
+def numbers_tables(spark, sf_dir):
+    """The tables of these documents by a join of object rows: infos with the models they refer to."""
+    rows = object_rows(route(numbers_documents(spark, sf_dir)), "s_suppkey", types={6000, 6001, 6007})
+    return logical_tables(rows, "s_suppkey").select("s_suppkey", "name", F.col("identifier").cast("bigint").alias("identifier"), "rows", "columns", "hidden_rows", "filtered_rows")
+
+
+def numbers_sheets(spark, sf_dir):
+    """Their sheets in the order of the root's references, by a join of object rows."""
+    rows = object_rows(route(numbers_documents(spark, sf_dir)), "s_suppkey", types={1, 2})
+    return ordered_sheets(rows, "s_suppkey").select("s_suppkey", F.col("position").cast("bigint").alias("position"), F.col("identifier").cast("bigint").alias("identifier"), "name")
+
+
+def object_types(spark, sf_dir):
+    """How often each message type stands in all these documents."""
+    rows = object_rows(route(numbers_documents(spark, sf_dir)), "s_suppkey")
+    return type_counts(rows).select(F.col("type").cast("bigint").alias("type"), "n")
 
 
 KEYNOTE = ["keynote.slide_count", "keynote.master_slide_count", "keynote.hidden_slide_count", "keynote.slides_with_notes_count", "keynote.orientation", "iwork.data_asset_count", "iwork.data_asset_bytes", "iwork.asset_type_counts", "iwork.preview_dimensions", "iwork.preview_count", "iwork.object_type_counts"]
@@ -246,7 +270,7 @@ def lines_of(events):
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     good = F.concat(F.lit('{"name":"a.pdf","data_base64":'), q(data), F.lit("}"))
     line = F.when(k < 3, good).when(k == 3, F.replace(good, F.lit("data_base64"), F.lit("base64"))).when(k == 4, '{"name":"a.pdf","data_base64":"%%"}').when(k == 5, '{"name":"a.pdf"}').when(k == 6, "{broken").otherwise(F.replace(good, F.lit("a.pdf"), F.lit("a.txt")))
-    return events.select(F.col("event_id").alias("line_no"), line.alias("value"))
+    return events.select("event_type", F.col("event_id").alias("line_no"), line.alias("value"))
 
 
 def jsonl_reports(spark, sf_dir):
@@ -259,20 +283,16 @@ def jsonl_reports(spark, sf_dir):
 
 def jsonl_exit(spark, sf_dir):
     """The greatest exit code of all lines, by kind of event."""
-    events = read(spark, sf_dir, "events")
-    rows = requested(with_facts(records(lines_of(events)).drop("path"), drivers=["pdf"], targets=[]), ["document.title"])
-    kinds = events.select(F.col("event_id").alias("line_no"), "event_type")
-    return exit_status(rows.select("line_no", "status", "exit_code").join(kinds, "line_no"), "event_type", strict=True).select("event_type", F.col("exit_code").cast("bigint").alias("exit_code"))
+    rows = requested(with_facts(records(lines_of(read(spark, sf_dir, "events"))).drop("path"), drivers=["pdf"], targets=[]), ["document.title"])
+    return exit_status(rows, "event_type", strict=True).select("event_type", F.col("exit_code").cast("bigint").alias("exit_code"))
 
 
 def best_evidence(spark, sf_dir):
     """Events as facts of users: for each kind the most certain one, the first of equals."""
     level = (F.col("event_id") % 5).cast("int")
-    names = F.array(*map(F.lit, catalog.SCORES))
-    scores = F.array(*map(F.lit, catalog.SCORES.values()))
-    fact = F.struct(F.col("event_type").alias("target"), F.lit("resolved").alias("status"), F.col("event_id").cast("string").alias("value"), F.get(names, level).alias("confidence"), F.get(scores, level).alias("confidence_score"), F.lit("p").alias("path"), F.lit("s").alias("source"))
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", fact.alias("fact")))), lambda x: x["fact"]).alias("evidence"))
-    return rows.select("user_id", F.explode(best(F.col("evidence"))).alias("b")).select("user_id", "b.target", "b.value", "b.confidence")
+    names, scores = (F.array(*map(F.lit, x)) for x in (catalog.SCORES, catalog.SCORES.values()))
+    facts = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("target"), F.col("event_id").cast("string").alias("value"), F.get(names, level).alias("confidence"), F.get(scores, level).alias("confidence_score"), F.col("event_id").alias("arrival"))
+    return best_rows(facts, "user_id", "target").select("user_id", "target", "value", "confidence")
 
 
 def damaged_documents(spark, sf_dir):
@@ -334,8 +354,8 @@ def jsonl_files(spark, sf_dir):
     """JSONL files, one a kind of event, with blank lines: every report under its file and its line's true number."""
     events = read(spark, sf_dir, "events")
     folder = fresh(spark, "jsonl")
-    lines = events.select("event_id", "event_type").join(lines_of(events).withColumnRenamed("line_no", "event_id"), "event_id").select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).otherwise(" ").alias("value"))
-    lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(folder)
+    lines = lines_of(events).withColumn("value", F.when(F.col("line_no") % 7 != 0, F.col("value")).otherwise(" "))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "line_no").select("event_type", "value").write.partitionBy("event_type").text(folder)
     rows = within(records(jsonl_lines(spark, folder)), 16 << 20).drop("path")
     found = requested(with_facts(rows, drivers=["pdf"], targets=(asked := ["pdf.version"])), asked)
     return found.select(F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type"), F.col("line_no").cast("bigint").alias("line_no"), "status", "error_message", "exit_code")
@@ -368,7 +388,7 @@ SIZES = {
     "ppt": "11/11/11 11/19/19 11/15/15 1/4/4 1/5/5 0/0/0 1/1/1 3/7/7 11/25/25", "encrypted-ooxml": "11/11/11 11/16/16 11/15/15 1/4/4 1/2/2 0/0/0 1/1/1 3/4/4 11/22/22",
 }
 
-QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
+QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
 
 
 def _long(source, key, facts):
@@ -451,6 +471,14 @@ select event_type, x.t as target, 'resolved' as status, x.v as value, count(*) a
             "numbers.table_component_count": ("2", "exact"), "iwork.iwa_entry_count": ("3", "exact"),
         },
     ),
+    "numbers_tables": "with t as (select s_suppkey, unnest(range(s_nationkey % 5 + 1)) as k from supplier) select s_suppkey, 't' || k as name, 200 + k as identifier, 9 as rows, 4 as columns, k as hidden_rows, s_suppkey as filtered_rows from t",
+    "numbers_sheets": """
+with n as (select s_suppkey, s_nationkey as nation, s_nationkey % 5 + 1 as n from supplier), t as (select *, unnest(range(n)) as p from n)
+select s_suppkey, p as position, n - p + 1 as identifier, 'n' || nation || 's' || n - 1 - p as name from t union all select s_suppkey, n, 77, null from n where s_suppkey % 4 = 0""",
+    "object_types": """
+with s as (select s_nationkey % 5 + 1 as n from supplier)
+select 1 as type, count(*) as n from s union all select 2, sum(n)::bigint from s union all select 6000, sum(n // 2)::bigint from s having sum(n // 2) > 0 union all select 6007, sum((n + 1) // 2)::bigint from s
+union all select 6001, sum(n + 1)::bigint from s union all select 6005, count(*) from s union all select 6201, count(*) from s""",
     "keynote_facts": _long(
         "select p_partkey, p_size, p_size % 6 as n, p_size % 9 as d from part", "p_partkey",
         {

@@ -227,8 +227,8 @@ def unpacked(data, bound):
 
 
 def archive(data, document):
-    """Objects of an unpacked IWA stream: identifier, message type and, for the kept types, fields."""
-    out, at = [], 0
+    """Objects of an unpacked IWA stream, one by one: identifier, message type and, for the kept types, fields."""
+    at = 0
     while at < len(data):
         size, at = varint(data, at)
         info, at = data[at : at + size], at + size
@@ -246,8 +246,7 @@ def archive(data, document):
             payload, at = data[at : at + length], at + length
             if len(payload) < length:
                 raise Damaged("MALFORMED_INPUT", "IWA object payload exceeds stream")
-            out.append({"id": identifier, "type": kind, "document": document, "fields": [field_row(*f) for f in sub_fields(payload)] if kind in KEPT else []})
-    return out
+            yield {"id": identifier, "type": kind, "document": document, "fields": [field_row(*f) for f in sub_fields(payload)] if kind in KEPT else []}
 
 
 def dimensions(data):
@@ -304,6 +303,14 @@ def iwork(source, max_entries, max_bytes, needs):
     return out
 
 
+def each_object(source, max_entries, max_bytes):
+    """(entry, ordinal, object) of an iWork package's objects, entry by entry, the root's first."""
+    package = Package(source, max_entries, max_bytes, "ZIP/IWA")
+    for name in sorted((n for n in package.sizes if n.lower().endswith(".iwa")), key=lambda n: (n != DOCUMENT, n)):
+        for k, found in enumerate(archive(unpacked(package.read(name), max_bytes), name == DOCUMENT)):
+            yield name, k, found
+
+
 class Compound:
     """A compound file: its directory, and streams by name."""
 

@@ -1,15 +1,19 @@
 import base64
 import json
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom import catalog, queries, synth
-from factloom.operators import report
-from factloom.operators.probe import probe
+from factloom.operators import report, sink
+from factloom.operators.probe import probe, with_facts
 from factloom.operators.routing import route
-from factloom.sources import inputs, packages
+from factloom.sources import inputs, manifest, packages, ranges
+from factloom.sources.objects import logical_tables, object_rows, ordered_sheets, type_counts
 from factloom.streaming import jsonl
 
 DIR = "/root/testdata/sf0.001"
@@ -125,7 +129,7 @@ def test_decoders_alone():
     for bad in (b"\x09\x01\x00\x00x", b"\x01\x05\x00\x00x", b"\x01"):
         with pytest.raises(packages.Damaged):
             packages.unpacked(bad, 10)
-    assert packages.archive(synth.iwa([(42, 2, synth.message((1, "Sheet 1")))], True)[4:], True)[0]["fields"][0]["s"] == "Sheet 1"
+    assert next(packages.archive(synth.iwa([(42, 2, synth.message((1, "Sheet 1")))], True)[4:], True))["fields"][0]["s"] == "Sheet 1"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04xx\xff\xc0\x00\x0b\x08\x01\xe0\x02\x80\x03xxx"
     assert packages.dimensions(jpeg) == (640, 480) and packages.dimensions(b"\xff\xd8\xff") == (None, None)
     with pytest.raises(packages.Damaged):
@@ -149,6 +153,110 @@ def test_files_and_records(spark, tmp_path):
     assert made[1]["results"]["pdf.version"]["value"] == "1.4" and made[2]["error"]["code"] == "MALFORMED_INPUT" and made[3]["error"]["exit_code"] == 2
 
 
+def deck(spark, tmp_path, pictures=290_000):
+    """A deck as the rows of a manifest and as bytes."""
+    (tmp_path / "in").mkdir(exist_ok=True)
+    core, app = "<c xmlns:d='d'><d:title>T</d:title></c>", "<Properties><Slides>7</Slides></Properties>"
+    data = synth.zip_bytes([("ppt/media/a.png", random.Random(1).randbytes(pictures)), ("[Content_Types].xml", TYPES.format(catalog.MIME["pptx"])), ("ppt/presentation.xml", "<p><sldId/><sldId/></p>"), ("docProps/app.xml", app), ("docProps/core.xml", core), ("_rels/.rels", "<r/>")])
+    (tmp_path / "in" / "deck.pptx").write_bytes(data)
+    (tmp_path / "in" / "box.doc").write_bytes(synth.cfb_bytes({"WordDocument": b"w" * 70_000, "\x05SummaryInformation": synth.property_set({2: "Boxed", 15: 42})}))
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.6\n/Linearized\nxref")
+    (tmp_path / "in" / "a.pages").write_bytes(synth.iwork_bytes([(1, 10000, b"")], {"language": "en"}, None, [("Data/a.png", b"x" * 50_000)]))
+    with (tmp_path / "in" / "huge.pdf").open("wb") as f:
+        f.write(b"%PDF-1.5")
+        f.truncate(3 << 30)
+    return manifest.inputs(manifest.listed(spark, str(tmp_path / "in"))).where("display_name <> 'huge.pdf'")
+
+
+def test_ranges_give_what_whole_files_give(spark, tmp_path):
+    by_path = deck(spark, tmp_path)
+    whole = inputs.files(spark, str(tmp_path / "in"), "[!h]*")
+    for level in ("header", "metadata", "deep"):
+        found = [{r["display_name"]: (r["error_code"], [tuple(e) for e in r["results"]]) for r in probe(x, ["@all"], level=level).collect()} for x in (by_path, whole)]
+        assert found[0] == found[1] and len(found[0]) == 4
+    read = {r["display_name"]: r for r in probe(by_path, ["title", "slide_count"], level="metadata", forced=None).collect()}
+    assert read["deck.pptx"]["bytes_read"] < 18_000 and read["deck.pptx"]["file_size"] > 290_000 and read["deck.pptx"]["reads"] > 3
+    assert {e["target"]: e["value"] for e in read["deck.pptx"]["results"]} == {"document.title": '"T"', "powerpoint.slide_count": "2"}
+    assert read["box.doc"]["error_code"] == "UNSUPPORTED_TARGET"
+
+
+def test_large_and_missing_files_are_rows(spark, tmp_path):
+    deck(spark, tmp_path)
+    every = manifest.inputs(manifest.listed(spark, str(tmp_path / "in")))
+    at = lambda level: {r["display_name"]: (r["error_code"], r["bytes_read"]) for r in probe(every, ["version"], level=level, confidence="low").where("display_name like '%.pdf'").collect()}
+    assert at("header") == {"huge.pdf": (None, 8192), "a.pdf": (None, 25)}
+    big = with_facts(every.where("display_name = 'huge.pdf'"), max_read=1 << 20, drivers=["pdf"]).collect()[0]
+    assert big["error_code"] == "BUDGET_EXCEEDED" and big["exit_code"] == 4 and "file size 3221225472 exceeds" in big["error_message"]
+    gone = every.where("display_name = 'a.pdf'").withColumn("path", F.concat("path", F.lit("x")))
+    lost = probe(gone, ["version"]).collect()[0]
+    assert lost["error_code"] == "SOURCE_IO" and lost["exit_code"] == 2 and lost["status"] == "error"
+
+
+def test_files_are_dealt_out_by_bytes(spark):
+    rows = spark.range(100).select(F.format_string("p%03d", "id").alias("path"), F.when(F.col("id") == 7, 1000).otherwise(F.col("id") % 10).alias("file_size"))
+    dealt = manifest.packed(rows, bytes_per_task=100, files_per_task=50).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("file_size").alias("b"), F.count("*").alias("n"), F.max("file_size").alias("m")).collect()
+    assert sum(r["n"] for r in dealt) == 100 and len(dealt) > 4 and all(r["b"] <= 120 or r["m"] == 1000 for r in dealt)
+
+
+def test_lines_have_their_numbers_and_reports_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = json.dumps({"name": "c.pdf", "base64": base64.b64encode(b"%PDF-1.5").decode()})
+    for name, n in (("a", 900), ("b", 1), ("c", 400)):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(f"{good if k % 3 else '{broken'}\n" if k % 5 else "\n" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        lines = inputs.jsonl_lines(spark, str(tmp_path / "in"))
+        assert lines.rdd.getNumPartitions() > 5
+        got = sorted((r["file"][-7], r["line_no"]) for r in lines.collect())
+        assert got == [(name, k) for name, n in (("a", 900), ("b", 1), ("c", 400)) for k in range(1, n + 1) if k % 5]
+        code = sink.write_lines(probe(inputs.records(lines).drop("path"), ["version"], level="header"), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    out = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    said = [f"JSONL line {k} is invalid" if k % 3 == 0 else None for n in (900, 1, 400) for k in range(1, n + 1) if k % 5]
+    assert [x.get("error", {}).get("message") for x in out] == said and code == 1
+
+
+def test_unforeseen_failures_are_rows(spark, monkeypatch):
+    arrow = to_arrow_schema(StructType.fromDDL(packages.DECODED))
+    sound = packages.decode(ranges.held(word()), "ooxml", (100, 1 << 20), packages.ALL)
+    made = packages.columns([sound, {"entries": [{"name": "x", "size": 1 << 70}]}, sound], arrow)
+    codes = made[packages.NAMES.index("decode_code")].to_pylist()
+    assert codes == [None, "PARSER_FAILURE", None]
+    broken = packages.decode(ranges.Ranges(lambda n, at: 1 / 0, 100), "ooxml", (100, 1 << 20), packages.ALL)
+    assert broken["decode_code"] == "PARSER_FAILURE" and "ZeroDivisionError" in broken["decode_message"]
+
+
+def test_objects_as_rows(spark):
+    m, ref, n = synth.message, synth.reference, 60_000
+    many = [(1, 1, m((1, ref(2)))), (2, 2, m((1, "s"))), *((100 + k, 6000, m((2, ref(1_000_000 + k % 3)))) for k in range(n)), *((1_000_000 + k, 6001, m((8, f"t{k}"), (6, 1), (7, 1))) for k in range(4))]
+    docs = [(1, "a.numbers", synth.iwork_bytes(many)), (2, "b.numbers", synth.iwork_bytes([(1, 1, b""), (9, (1 << 64) - 1, b"")])), (3, "c.numbers", synth.zip_bytes([("Index/Document.iwa", synth.iwa(many[:9])[:-2])])), (4, "d.pdf", b"%PDF-1.5"), (5, "e.numbers", None)]
+    rows = object_rows(route(spark.createDataFrame([(k, name, c and bytearray(c)) for k, name, c in docs], "k int, display_name string, content binary")), "k")
+    assert {(r["k"], int(r["type"])): r["n"] for r in type_counts(rows, "k").collect()} == {(1, 1): 1, (1, 2): 1, (1, 6000): n, (1, 6001): 4, (2, 1): 1, (2, (1 << 64) - 1): 1}
+    assert sorted(r["name"] for r in logical_tables(rows, "k").collect()) == ["t0", "t1", "t2"]
+    assert [(r["k"], r["name"]) for r in ordered_sheets(rows, "k").collect()] == [(1, "s")]
+    assert [(r["k"], r["error_code"]) for r in rows.where("error_code is not null").collect()] == [(3, "MALFORMED_INPUT")]
+
+
+def test_format_options():
+    assert catalog.ruled_out("word", {"statistics_path": "document-xml"}) == {"word.app_statistics"} and catalog.ruled_out("pages", {}) == set()
+    assert catalog.ruled_out("excel", [("workbook_path", "xml"), ("excel.workbook_path", "inventory")]) == {"excel.workbook_xml"}
+    for driver, options in (("word", {"": "x"}), ("word", {"nothing": "x"}), ("word", {"statistics_path": "x"}), ("keynote", {"statistics_path": "auto"}), ("word", {"excel.workbook_path": "xml"})):
+        with pytest.raises(catalog.RequestError) as e:
+            catalog.ruled_out(driver, options)
+        assert e.value.code == "INVALID_REQUEST"
+
+
+def test_workbook_options(spark):
+    book = synth.zip_bytes([("[Content_Types].xml", TYPES.format(catalog.MIME["xlsx"])), ("xl/workbook.xml", "<w><sheet name='a'/></w>"), ("xl/worksheets/sheet1.xml", "<s/>"), ("xl/worksheets/sheet2.xml", "<s/>")])
+    rows = spark.createDataFrame([(1, "a.xlsx", len(book), bytearray(book))], "input_id int, display_name string, file_size bigint, content binary")
+    count = lambda **how: [(e["value"], e["confidence"], e["status"]) for e in probe(rows, ["extension", "sheet_count"], **how).collect()[0]["results"] if e["target"] == "excel.sheet_count"]
+    assert count() == [("1", "exact", "resolved")] and count(options={"workbook_path": "inventory"}) == [(None, "none", "unsupported")]
+    assert count(options={"workbook_path": "inventory"}, confidence="medium") == [("2", "medium", "estimated")]
+
+
 def test_jsonl_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = json.dumps({"name": "c.pdf", "base64": base64.b64encode(b"%PDF-1.5").decode()})
