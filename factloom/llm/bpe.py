@@ -1,20 +1,22 @@
 """BPE encoding by a transducer with bounded lookahead, and incremental decoding.
 
 Nulls encode as the empty text; the empty text has no tokens. Repeated rows give
-repeated results. Columns other than the id and the text are not read. Very long
-texts are whole; an empty table gives no rows.
+repeated results. Columns other than the id and the text are not read. Very long texts are
+whole: what is held beside a text is one piece of it, its longest word and its digests
+so far. An empty table gives no rows.
 """
 
 import codecs
+import hashlib
 import heapq
 import json
 import unicodedata
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import regex
 
-from .common import map_columns, sha, table
+from .common import map_columns, table
 
 #: White space of the Unicode standard; it separates words and is dropped. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -93,16 +95,15 @@ class Merges:
         return token
 
     def stream(self, symbols):
-        """Tokens of an iterable of symbols, each as soon as it is stable; memory is bounded by the lookahead."""
-        block = 4 * self.lookahead + 64
-        if isinstance(symbols, list) and len(symbols) < block:
-            yield from self.merge(symbols)
-            return
-        held, source = [], iter(symbols)
+        """Tokens of an iterable of symbols, each as soon as it is stable.
+
+        Held are the symbols from the last stable token on: no more than the block, which
+        grows only where a single token and its lookahead are longer.
+        """
+        block, held, source = 4 * self.lookahead + 64, [], iter(symbols)
         while True:
-            held += [s for _, s in zip(range(block - len(held)), source, strict=False)]
-            last = len(held) < block
-            done = 0
+            held += islice(source, block - len(held))
+            last, done = len(held) < block, 0
             for t in self.merge(held):
                 if not last and done + self.size(t) + self.lookahead > len(held):
                     break
@@ -110,7 +111,9 @@ class Merges:
                 yield t
             if last:
                 return
-            held = held[done:]
+            if not done:
+                block *= 2
+            del held[:done]
 
 
 class Remembered(dict):
@@ -139,9 +142,12 @@ class WordBpe:
         self.ends = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in (self.ids | self.special).items()}
+        #: Tokens' names by id, as a number or as text.
+        self.name = {k: t for t, i in (self.ids | self.special).items() for k in (i, str(i))}
+        self.decodes = spec.get("decoder") is not None
         self.merges = Merges([m.split(" ") if isinstance(m, str) else m for m in model["merges"]], self.ends)
         self.letters = byte_letters()
+        self.value = {c: b for b, c in self.letters.items()}
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", SPACES))
         self.gaps = regex.compile(f"[{SPACES}]+")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -159,36 +165,79 @@ class WordBpe:
         low = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
         return " ".join(map(self.words.__getitem__, self.split.findall(low)))
 
-    def encode(self, text):
-        """The ids' decimal text joined by spaces, and their number."""
-        parts = self.parts.split(text) if "<|" in text else [text]
-        said = []
-        for part in parts:
+    def pieces(self, text):
+        """Ids as text, joined by spaces, of one part of the text after the other; a part is some WINDOW letters up to a white space."""
+        for part in self.parts.split(text) if "<|" in text else [text]:
             if part in self.special:
-                said.append(str(self.special[part]))
+                yield str(self.special[part])
                 continue
-            odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
-            said += filter(None, map(self.chunks.__getitem__, self.gaps.split(part) if odd else part.split()))
-        coded = " ".join(said)
+            odd, at = any(c in part for c in "\x1c\x1d\x1e\x1f"), 0
+            while at < len(part):
+                gap = self.gaps.search(part, at + self.WINDOW)
+                end = gap.end() if gap else len(part)
+                some = part[at:end] if at or gap else part
+                if coded := " ".join(filter(None, map(self.chunks.__getitem__, self.gaps.split(some) if odd else some.split()))):
+                    yield coded
+                at = end
+
+    #: Letters of a part of a text that is encoded at once.
+    WINDOW = 1 << 16
+
+    def encode(self, text):
+        """The ids' decimal text joined by spaces, and their number."""
+        coded = " ".join(self.pieces(text))
         return coded, coded.count(" ") + 1 if coded else 0
 
+    def decoder(self, plain=None):
+        """A decoder of this vocabulary; plain: whether it gives the bytes' text rather than the tokens' names, by default as the file says."""
+        return Decoder(self, self.decodes if plain is None else plain)
+
     def token_text(self, ids):
-        """What a decoder without rules of its own gives: the tokens joined by spaces."""
-        return " ".join([self.names[int(i)] for i in ids])
+        """What the vocabulary's own decoder gives."""
+        state = self.decoder()
+        return state.feed(ids) + state.end()
 
     def text(self, ids):
         """Pieces of text, as soon as their bytes are whole; broken bytes become U+FFFD."""
-        value = {c: b for b, c in self.letters.items()}
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+        state = self.decoder(plain=True)
         for i in ids:
-            name = self.names[int(i)]
-            if name in self.special:
-                yield state.decode(b"", True) + name
-                state.reset()
+            yield state.feed([i])
+        yield state.end()
+
+
+class Decoder:
+    """The incremental decoding of ids: what it gives for parts of them is the text of the whole.
+
+    Its state is a flag, whether a token came before, and the bytes of a letter that is not
+    whole yet. A vocabulary without a decoder of its own gives its tokens' names, joined by
+    spaces; otherwise bytes become text, and the end of a word a space.
+    """
+
+    def __init__(self, bpe, plain):
+        self.bpe, self.plain, self.begun = bpe, plain, False
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids):
+        """The text that these ids add."""
+        names = [self.bpe.name[i] for i in ids]
+        if not names:
+            return ""
+        if not self.plain:
+            said, self.begun = (" " if self.begun else "") + " ".join(names), True
+            return said
+        out = []
+        for name in names:
+            if name in self.bpe.special:
+                out.append(self.state.decode(b"", True) + name)
+                self.state.reset()
                 continue
-            ended = self.ends and name.endswith(self.ends)
-            yield state.decode(bytes(value[c] for c in (name.removesuffix(self.ends) if ended else name))) + " " * bool(ended)
-        yield state.decode(b"", True)
+            ended = self.bpe.ends and name.endswith(self.bpe.ends)
+            out.append(self.state.decode(bytes([self.bpe.value[c] for c in (name.removesuffix(self.bpe.ends) if ended else name)])) + " " * bool(ended))
+        return "".join(out)
+
+    def end(self):
+        """What the bytes that are left become."""
+        return self.state.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -197,41 +246,43 @@ def loaded(path):
     return WordBpe(path)
 
 
-class Names(dict):
-    """Token of each id given as text."""
-
-    def __init__(self, bpe):
-        super().__init__((str(i), t) for i, t in bpe.names.items())
-
-
 def encode_decode(docs, path, doc_id="doc_id", text="text"):
-    """Per row: the id, n_tokens, ids (decimal, joined by a space), decoded (token names, joined by a space), and the text of the ids."""
+    """Per row: the id, n_tokens, ids (decimal, joined by a space), decoded (what the vocabulary's decoder gives), and the text of the ids' bytes."""
 
     def make():
         bpe = loaded(path)
-        name = Names(bpe).__getitem__
 
         def step(ids, texts):
             coded = [bpe.encode(t or "") for t in texts]
-            return ids, [n for _, n in coded], [c for c, _ in coded], [" ".join(map(name, c.split())) for c, _ in coded], ["".join(bpe.text(c.split())) for c, _ in coded]
+            return ids, [n for _, n in coded], [c for c, _ in coded], [bpe.token_text(c.split()) for c, _ in coded], ["".join(bpe.text(c.split())) for c, _ in coded]
 
         return step
 
     return map_columns(docs, [doc_id, text], make, f"{doc_id} bigint, n_tokens bigint, ids string, decoded string, decoded_text string")
 
 
+def digest(bpe, text, keep=False):
+    """(n_tokens, digest of the ids, digest of the decoded text, ids if they are kept) of a text, piece by piece."""
+    coded, said, decoder, n, kept = hashlib.sha256(), hashlib.sha256(), bpe.decoder(), 0, []
+    for piece in bpe.pieces(text):
+        ids = piece.split()
+        coded.update((" " + piece if n else piece).encode())
+        said.update(decoder.feed(ids).encode())
+        n += len(ids)
+        if keep:
+            kept.append(piece)
+    said.update(decoder.end().encode())
+    return (n, coded.hexdigest(), said.hexdigest(), *([" ".join(kept)] if keep else []))
+
+
 def digests(docs, path, with_ids=False):
     """The digests of `encode_decode`, made in the same task so that ids are only moved if asked for."""
 
     def make():
         bpe = loaded(path)
-        name = Names(bpe).__getitem__
 
         def step(ids, texts):
-            out = []
-            for t in texts:
-                coded, n = bpe.encode(t or "")
-                out.append((n, sha(coded), sha(" ".join(map(name, coded.split()))), *[coded] * with_ids))
+            out = [digest(bpe, t or "", with_ids) for t in texts]
             return [ids, *map(list, zip(*out, strict=True))] if out else [[] for _ in range(4 + with_ids)]
 
         return step
