@@ -55,6 +55,64 @@ def test_stream_equals_whole_merge():
         assert merges.scan(list(few)) == by_heap
 
 
+def test_stream_of_long_nested_tokens_ends():
+    made = np.random.default_rng(2)
+    for _ in range(40):
+        known, rules = ["a", "b"], []
+        for _ in range(made.integers(1, 60)):
+            # tokens grow from the left, from the right or from two others
+            x, y = known[made.choice([-1, made.integers(len(known))])], known[made.integers(len(known))]
+            x, y = (x, made.choice(["a", "b"])) if made.random() < 0.6 else (x, y) if len(x + y) < 400 else ("a", "b")
+            rules.append((str(x), str(y)))
+            known.append(str(x + y))
+        merges = bpe.Merges(rules)
+        symbols = list(made.choice(["a", "b"], made.integers(0, 1500), p=[0.8, 0.2]))
+        assert list(merges.stream(iter(symbols))) == merges.merge(symbols)
+        merges.lookahead = max(merges.lookahead, 1)
+    nested = bpe.Merges([("a" * k, "a") for k in range(1, 100)])
+    nested.lookahead = 1  # the block is shorter than a token
+    assert "".join(nested.stream(["a"] * 1000)) == "a" * 1000
+
+
+def test_stream_holds_a_block():
+    merges = bpe.Merges([("a", "b"), ("ab", "ab"), ("abab", "a")])
+    taken, given, most = 0, 0, 0
+
+    def symbols():
+        nonlocal taken
+        for k in range(50_000):
+            taken += 1
+            yield "ab"[k % 2]
+
+    for t in merges.stream(symbols()):
+        given += len(t)
+        most = max(most, taken - given)
+    assert given == 50_000 and most <= 4 * merges.lookahead + 64
+
+
+def test_bpe_by_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    theirs, ours = Tokenizer.from_file(path), bpe.WordBpe(path)
+    monkeypatch.setattr(bpe.WordBpe, "WINDOW", 7)
+    for text in [t or "" for t in texts()] + ["  a b  \u3000c ", "x <|endoftext|> y<|endoftext|>", "one\x1ctwo  three", " " * 50]:
+        encoded = theirs.encode(text, add_special_tokens=False).ids
+        wanted = len(encoded), hashlib.sha256(" ".join(map(str, encoded)).encode()).hexdigest(), hashlib.sha256(theirs.decode(encoded, skip_special_tokens=False).encode()).hexdigest()
+        assert bpe.digest(ours, text) == wanted and bpe.digest(ours, text, True)[3] == " ".join(map(str, encoded))
+
+
+def test_decoder_gives_the_same_for_any_parts():
+    ours = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    ids = ours.encode("héllo 漢字 <|endoftext|> straße 🙂 x")[0].split()
+    for plain in (False, True):
+        for n in (1, 2, 5):
+            state = ours.decoder(plain)
+            parts = "".join([state.feed(ids[k : k + n]) for k in range(0, len(ids), n)]) + state.end()
+            state = ours.decoder(plain)
+            assert parts == state.feed(ids) + state.end()
+
+
 def test_tiff_round_trip_and_packings(docs):
     read = tiff.pages(tiff.store_texts(docs), [("doc_id", "bigint"), ("n_bytes", "bigint")]).collect()
     wanted = {i: tiff.payload(t)[1] for i, t in enumerate(texts())}
