@@ -247,6 +247,44 @@ def test_a_template_named_like_boilerplate_keeps_its_article(outer):
         assert html_text.Page(f"<body><{outer}>{BODY}</{name}><footer>(c)</footer></body>").text([]) == WANTED
 
 
+LEAD = "<p>The lead of it, one more sentence.</p>"
+LINKS = "<ul>" + "<li><a href=x>Some other post of ours</a>" * 4 + "</ul>"
+
+
+@pytest.mark.parametrize("wrap", ["<article class=post>{0}</article>", "<main><div class=entry>{0}</div></main>", "<main><article><section class=body>{0}</section></article></main>", "<div class=page-header-wrap><article>{0}</article></div>"])
+def test_an_article_keeps_its_own_header_and_sections(wrap):
+    text = lambda inner: html_text.Page(f"<body>{wrap.format(inner)}{AROUND}</body>").text([])
+    for head in ("<header class=entry-header><h1>My Title</h1></header>", "<div class=post-header><h1><a href=x>My Title</a></h1></div>", "<div class='article-header'><h1>My Title</h1></div>", "<div class=header><h2>My Title</h2></div>"):
+        assert text(f"{head}{BODY}") == f"My Title\n\n{WANTED}"
+    assert text(f"<div class=article-header><h1>My Title</h1>{LEAD}</div>{BODY}") == f"My Title\n\nThe lead of it, one more sentence.\n\n{WANTED}"
+    assert text(f"{BODY}<section class=related-work><h3>Related</h3>{LEAD}</section>") == f"{WANTED}\n\nRelated\n\nThe lead of it, one more sentence."
+    more = "<p>" + "Reader says so. " * 30 + "</p>"
+    for gone in (f"<div class=commentlist>{more}</div>", f"<section id=post-comments>{more}</section>", f"<div class=related-posts><h3>More</h3>{LINKS}</div>", "<div class=cookie-notice><p>We use cookies.</p></div>", f"<div class=entry-footer>{LINKS}</div>", f"<nav>{LINKS}</nav>", f"<div class=share-buttons>{LINKS}</div>", "<aside><p>Aside.</p></aside>", "<form><p>Name?</p></form>"):
+        assert text(f"{BODY}{gone}") == WANTED
+
+
+@pytest.mark.parametrize("depth", [3, 600, 5000])
+def test_depth_changes_nothing(depth):
+    inner = f"<nav>{LINKS}</nav><div class=comments><p>Me too.</p></div>{BODY}"
+    assert html_text.Page(f"<body><article>{'<div>' * depth}{inner}{'</div>' * depth}</article>{AROUND}").text([]) == WANTED
+
+
+def test_a_rare_template_of_a_host_votes(spark):
+    page = "<body><div class={0}><p>" + "One sentence of it. " * 8 + "</p></div><div class=x{0}><p>" + "other words, " * 30 + "</p></div></body>"
+    rows = [(10 * k + i, "https://a.example/x", page.format(f"t{c}").replace("x" + f"t{c}", "zz")) for k, c in enumerate("abcdef") for i in range(3)]
+    found = html_text.host_paths(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()[0]["paths"]
+    assert 2 <= len(found) <= 50 and found == sorted(found, key=found.index) and len({tuple(p) for p in found}) == len(found)
+
+
+def test_odd_quotes_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a b=\"x>t <i c='y>u " * 60_000, "<p class=menu>" * 60_000 + "x", "<b>" * 60_000 + "</i>" * 60_000, "<div class='nav share'><p>x" * 30_000, "<i>" + "<b>x</i>" * 60_000):
+        html_text.Page(page).text([])
+    assert time.time() - began < 30
+
+
 def test_boilerplate_is_still_left_out():
     assert html_text.Page(f"<body><article>{BODY}</article>{AROUND}</body>").text([]) == WANTED
     assert html_text.Page(f"<body><main><article>{BODY}</article>{AROUND}</main></body>").text([]) == WANTED
