@@ -11,9 +11,10 @@ Only ids and texts are read, so other columns cannot clash.
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_columns, table, windows
+from .common import WordHashes, cut, map_columns, steps, table, windows
 
 #: Bytes that belong to words stay, capitals become small, all others become spaces.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -114,11 +115,19 @@ def decontaminate(docs, benchmark, n=10, doc_id="doc_id", text="text", item_id="
     return out.select(doc_id, "n_words", "hit_words", "items")
 
 
-def clean_documents(docs, benchmark, **how):
-    """The documents without a hit word, with all their columns; a null id is kept."""
-    found = decontaminate(docs, benchmark, **how)
-    hit = found.where(F.size("hit_words") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+def clean_documents(docs, benchmark, n=10, text="text", item_id="item_id", item_text="text", max_windows=2_000_000):
+    """The rows without a hit word, with all their columns: each row is judged by its own text, whatever its id, and moves nowhere."""
+    for block in item_blocks(benchmark, n, item_id, item_text, max_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(block, n))
+
+        def run(batches, shared=shared):
+            found = shared.value
+            for part in steps(batches):
+                clean = [not len(found.hits(words_of(t))[0]) for t in part[text].to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def remove_spans(text, hit):
