@@ -505,3 +505,14 @@ def test_perspectives(spark):
         (1, 1, "bob"): ("<|user|>ann\nlate\n", "0", 0),
         (None, 0, "unknown"): ("<|assistant|>\n\n", "1", 1),
     }
+
+
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_clean_rows_stay_whatever_their_ids(spark, most):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, passage), (2, "one two three"), (3, None), (4, " ".join(f"v{i}" for i in range(11)))], "item_id bigint, text string")
+    rows = [(None, f"x {passage}"), (None, "clean"), (5, passage.upper()), (5, "clean too"), (6, None), (7, ""), (8, "so one two three it is"), (8, "so one two three it is"), (9, "clean"), (9, "clean")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, item_id string")
+    got = sorted((tuple(r) for r in decontaminate.clean_documents(docs, items, max_windows=most).collect()), key=str)
+    assert got == sorted([(i, t, "x") for i, t in rows if t is None or t == "" or t.startswith("clean")], key=str)
+    assert decontaminate.clean_documents(docs.limit(0), items).count() == 0 and decontaminate.clean_documents(docs, items.limit(0)).count() == len(rows)
