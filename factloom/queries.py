@@ -471,13 +471,13 @@ select event_type, x.t as target, 'resolved' as status, x.v as value, count(*) a
             "numbers.table_component_count": ("2", "exact"), "iwork.iwa_entry_count": ("3", "exact"),
         },
     ),
-    "numbers_tables": "with t as (select s_suppkey, unnest(range(s_nationkey % 5 + 1)) as k from supplier) select s_suppkey, 't' || k as name, 200 + k as identifier, 9 as rows, 4 as columns, k as hidden_rows, s_suppkey as filtered_rows from t",
+    "numbers_tables": "with t as (select s_suppkey, unnest(range(s_nationkey % 5 + 1)) as k from supplier) select s_suppkey, 't' || k as name, 200 + k as identifier, 9::bigint as rows, 4::bigint as columns, k as hidden_rows, s_suppkey as filtered_rows from t",
     "numbers_sheets": """
 with n as (select s_suppkey, s_nationkey as nation, s_nationkey % 5 + 1 as n from supplier), t as (select *, unnest(range(n)) as p from n)
 select s_suppkey, p as position, n - p + 1 as identifier, 'n' || nation || 's' || n - 1 - p as name from t union all select s_suppkey, n, 77, null from n where s_suppkey % 4 = 0""",
     "object_types": """
 with s as (select s_nationkey % 5 + 1 as n from supplier)
-select 1 as type, count(*) as n from s union all select 2, sum(n)::bigint from s union all select 6000, sum(n // 2)::bigint from s having sum(n // 2) > 0 union all select 6007, sum((n + 1) // 2)::bigint from s
+select 1::bigint as type, count(*) as n from s union all select 2, sum(n)::bigint from s union all select 6000, sum(n // 2)::bigint from s having sum(n // 2) > 0 union all select 6007, sum((n + 1) // 2)::bigint from s
 union all select 6001, sum(n + 1)::bigint from s union all select 6005, count(*) from s union all select 6201, count(*) from s""",
     "keynote_facts": _long(
         "select p_partkey, p_size, p_size % 6 as n, p_size % 9 as d from part", "p_partkey",
