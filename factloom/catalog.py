@@ -32,67 +32,337 @@ DRIVER_OF = {p: d for d, ps in DRIVERS.items() for p in ps}
 DISCOVERY = {"word": "docx", "excel": "xlsx", "powerpoint": "pptx", "keynote": "key", "legacy": "ppt"}
 APPLICATIONS = {"key": "Apple Keynote", "numbers": "Apple Numbers", "pages": "Apple Pages"}
 
-# Targets: name, type, least level and, where no path gives it at that level, the first that does. Fixed values.
-_COMMON = """
-document.format string header|document.format_profile string header|document.mime_type string header|document.file_size u64 header
-document.extension string header|document.extension_matches bool header|document.title string? metadata|document.subject string? metadata
-document.author string? metadata|document.keywords string? metadata|document.description string? metadata|document.created_at string? metadata
-document.modified_at string? metadata|document.application string? metadata|document.application_version string? metadata
-document.language string? metadata|document.locale string? metadata|security.encrypted bool header|security.has_macros bool metadata
-security.password_protected bool? metadata|security.has_digital_signature bool metadata|security.signature_count u64? deep
-security.has_javascript bool deep|security.has_external_relationships bool metadata|security.has_embedded_files bool metadata
-security.active_content_risk string? deep|quality.corrupted bool? deep|quality.missing_assets bool? deep
-"""
-_OFFICE = "office.document_kind string header|office.package_entry_count u64 metadata|office.conformance string metadata"
-_IWORK = """
-iwork.document_kind string header|iwork.file_format_version string? metadata|iwork.producer_build string? metadata|iwork.package_entry_count u64 metadata
-iwork.iwa_entry_count u64 metadata|iwork.data_asset_count u64 metadata|iwork.data_asset_bytes u64 metadata|iwork.asset_type_counts object metadata
-iwork.has_preview bool metadata|iwork.preview_count u64 metadata|iwork.preview_dimensions object metadata|iwork.is_multi_page bool? metadata
-iwork.has_external_or_missing_data bool? metadata|iwork.all_iwa_valid bool deep|iwork.archive_object_count u64 deep
-iwork.message_type_counts object deep|iwork.object_type_counts object deep
-"""
-_OWN = {
-    "word": "word.page_count u64? metadata|word.word_count u64? metadata|word.character_count u64? metadata|word.paragraph_count u64? metadata|word.table_count u64? deep|word.is_template bool metadata|word.unique_image_asset_count u64 metadata|word.comment_part_count u64 metadata",
-    "excel": "excel.sheet_count u64? metadata|excel.sheet_names string[]? metadata|excel.hidden_sheet_count u64? metadata|excel.defined_name_count u64? metadata|excel.shared_string_count u64? deep|excel.table_count u64? metadata|excel.is_template bool metadata|excel.binary_workbook bool metadata|excel.chart_part_count u64 metadata|excel.pivot_table_part_count u64 metadata|excel.unique_image_asset_count u64 metadata",
-    "powerpoint": "powerpoint.slide_count u64? metadata|powerpoint.hidden_slide_count u64? metadata|powerpoint.master_count u64? metadata|powerpoint.layout_count u64? metadata|powerpoint.notes_slide_count u64? metadata|powerpoint.slide_size object? metadata|powerpoint.aspect_ratio object? metadata|powerpoint.orientation string? metadata|powerpoint.presentation_kind string metadata|powerpoint.chart_part_count u64 metadata|powerpoint.unique_image_asset_count u64 metadata|powerpoint.unique_media_asset_count u64 metadata|powerpoint.comment_part_count u64 metadata",
-    "pdf": "pdf.version string header|pdf.linearized bool header|pdf.page_count u64? metadata|pdf.object_count u64? metadata|pdf.xref_type string metadata|pdf.repaired bool metadata|pdf.annotation_count u64? metadata|pdf.form_field_count u64? metadata|pdf.attachment_count u64? metadata|pdf.has_xmp bool metadata",
-    "keynote": "keynote.slide_count u64 metadata|keynote.master_slide_count u64 metadata|keynote.table_component_count u64 metadata|keynote.slide_size object? deep|keynote.aspect_ratio object? deep|keynote.orientation string? deep|keynote.hidden_slide_count u64 deep|keynote.slides_with_notes_count u64 deep|keynote.slides_with_builds_count u64 deep|keynote.slides_with_transitions_count u64 deep|keynote.table_count u64 deep",
-    "numbers": "numbers.sheet_count u64? metadata|numbers.sheet_names array<string>? metadata|numbers.table_component_count u64 metadata|numbers.table_count u64 deep|numbers.table_dimensions array<object> deep|numbers.hidden_row_count u64 deep|numbers.hidden_column_count u64 deep|numbers.filtered_row_count u64 deep|numbers.formula_definition_count u64 deep",
-    "pages": "pages.table_component_count u64 metadata|pages.section_count u64 deep|pages.section_names array<string> deep|pages.page_size object? deep|pages.aspect_ratio object? deep|pages.orientation string? deep|pages.change_tracking_enabled bool deep|pages.body_text_length u64? deep|pages.body_paragraph_break_count u64? deep|pages.cached_page_count u64? deep|pages.table_count u64 deep",
+# Targets: name, type, least level. Fixed values.
+COMMON = [
+    ("document.format", "string", "header"),
+    ("document.format_profile", "string", "header"),
+    ("document.mime_type", "string", "header"),
+    ("document.file_size", "u64", "header"),
+    ("document.extension", "string", "header"),
+    ("document.extension_matches", "bool", "header"),
+    ("document.title", "string|null", "metadata"),
+    ("document.subject", "string|null", "metadata"),
+    ("document.author", "string|null", "metadata"),
+    ("document.keywords", "string|null", "metadata"),
+    ("document.description", "string|null", "metadata"),
+    ("document.created_at", "string|null", "metadata"),
+    ("document.modified_at", "string|null", "metadata"),
+    ("document.application", "string|null", "metadata"),
+    ("document.application_version", "string|null", "metadata"),
+    ("document.language", "string|null", "metadata"),
+    ("document.locale", "string|null", "metadata"),
+    ("security.encrypted", "bool", "header"),
+    ("security.has_macros", "bool", "metadata"),
+    ("security.password_protected", "bool|null", "metadata"),
+    ("security.has_digital_signature", "bool", "metadata"),
+    ("security.signature_count", "u64|null", "deep"),
+    ("security.has_javascript", "bool", "deep"),
+    ("security.has_external_relationships", "bool", "metadata"),
+    ("security.has_embedded_files", "bool", "metadata"),
+    ("security.active_content_risk", "string|null", "deep"),
+    ("quality.corrupted", "bool|null", "deep"),
+    ("quality.missing_assets", "bool|null", "deep"),
+]
+OFFICE = [
+    ("office.document_kind", "string", "header"),
+    ("office.package_entry_count", "u64", "metadata"),
+    ("office.conformance", "string", "metadata"),
+]
+IWORK_SHARED = [
+    ("iwork.document_kind", "string", "header"),
+    ("iwork.file_format_version", "string|null", "metadata"),
+    ("iwork.producer_build", "string|null", "metadata"),
+    ("iwork.package_entry_count", "u64", "metadata"),
+    ("iwork.iwa_entry_count", "u64", "metadata"),
+    ("iwork.data_asset_count", "u64", "metadata"),
+    ("iwork.data_asset_bytes", "u64", "metadata"),
+    ("iwork.asset_type_counts", "object", "metadata"),
+    ("iwork.has_preview", "bool", "metadata"),
+    ("iwork.preview_count", "u64", "metadata"),
+    ("iwork.preview_dimensions", "object", "metadata"),
+    ("iwork.is_multi_page", "bool|null", "metadata"),
+    ("iwork.has_external_or_missing_data", "bool|null", "metadata"),
+    ("iwork.all_iwa_valid", "bool", "deep"),
+    ("iwork.archive_object_count", "u64", "deep"),
+    ("iwork.message_type_counts", "object", "deep"),
+    ("iwork.object_type_counts", "object", "deep"),
+]
+# The same by driver. Fixed values.
+OWN = {
+    "word": [
+        ("word.page_count", "u64|null", "metadata"),
+        ("word.word_count", "u64|null", "metadata"),
+        ("word.character_count", "u64|null", "metadata"),
+        ("word.paragraph_count", "u64|null", "metadata"),
+        ("word.table_count", "u64|null", "deep"),
+        ("word.is_template", "bool", "metadata"),
+        ("word.unique_image_asset_count", "u64", "metadata"),
+        ("word.comment_part_count", "u64", "metadata"),
+    ],
+    "excel": [
+        ("excel.sheet_count", "u64|null", "metadata"),
+        ("excel.sheet_names", "string[]|null", "metadata"),
+        ("excel.hidden_sheet_count", "u64|null", "metadata"),
+        ("excel.defined_name_count", "u64|null", "metadata"),
+        ("excel.shared_string_count", "u64|null", "deep"),
+        ("excel.table_count", "u64|null", "metadata"),
+        ("excel.is_template", "bool", "metadata"),
+        ("excel.binary_workbook", "bool", "metadata"),
+        ("excel.chart_part_count", "u64", "metadata"),
+        ("excel.pivot_table_part_count", "u64", "metadata"),
+        ("excel.unique_image_asset_count", "u64", "metadata"),
+    ],
+    "powerpoint": [
+        ("powerpoint.slide_count", "u64|null", "metadata"),
+        ("powerpoint.hidden_slide_count", "u64|null", "metadata"),
+        ("powerpoint.master_count", "u64|null", "metadata"),
+        ("powerpoint.layout_count", "u64|null", "metadata"),
+        ("powerpoint.notes_slide_count", "u64|null", "metadata"),
+        ("powerpoint.slide_size", "object|null", "metadata"),
+        ("powerpoint.aspect_ratio", "object|null", "metadata"),
+        ("powerpoint.orientation", "string|null", "metadata"),
+        ("powerpoint.presentation_kind", "string", "metadata"),
+        ("powerpoint.chart_part_count", "u64", "metadata"),
+        ("powerpoint.unique_image_asset_count", "u64", "metadata"),
+        ("powerpoint.unique_media_asset_count", "u64", "metadata"),
+        ("powerpoint.comment_part_count", "u64", "metadata"),
+    ],
+    "pdf": [
+        ("pdf.version", "string", "header"),
+        ("pdf.linearized", "bool", "header"),
+        ("pdf.page_count", "u64|null", "metadata"),
+        ("pdf.object_count", "u64|null", "metadata"),
+        ("pdf.xref_type", "string", "metadata"),
+        ("pdf.repaired", "bool", "metadata"),
+        ("pdf.annotation_count", "u64|null", "metadata"),
+        ("pdf.form_field_count", "u64|null", "metadata"),
+        ("pdf.attachment_count", "u64|null", "metadata"),
+        ("pdf.has_xmp", "bool", "metadata"),
+    ],
+    "keynote": [
+        ("keynote.slide_count", "u64", "metadata"),
+        ("keynote.master_slide_count", "u64", "metadata"),
+        ("keynote.table_component_count", "u64", "metadata"),
+        ("keynote.slide_size", "object|null", "deep"),
+        ("keynote.aspect_ratio", "object|null", "deep"),
+        ("keynote.orientation", "string|null", "deep"),
+        ("keynote.hidden_slide_count", "u64", "deep"),
+        ("keynote.slides_with_notes_count", "u64", "deep"),
+        ("keynote.slides_with_builds_count", "u64", "deep"),
+        ("keynote.slides_with_transitions_count", "u64", "deep"),
+        ("keynote.table_count", "u64", "deep"),
+    ],
+    "numbers": [
+        ("numbers.sheet_count", "u64|null", "metadata"),
+        ("numbers.sheet_names", "array<string>|null", "metadata"),
+        ("numbers.table_component_count", "u64", "metadata"),
+        ("numbers.table_count", "u64", "deep"),
+        ("numbers.table_dimensions", "array<object>", "deep"),
+        ("numbers.hidden_row_count", "u64", "deep"),
+        ("numbers.hidden_column_count", "u64", "deep"),
+        ("numbers.filtered_row_count", "u64", "deep"),
+        ("numbers.formula_definition_count", "u64", "deep"),
+    ],
+    "pages": [
+        ("pages.table_component_count", "u64", "metadata"),
+        ("pages.section_count", "u64", "deep"),
+        ("pages.section_names", "array<string>", "deep"),
+        ("pages.page_size", "object|null", "deep"),
+        ("pages.aspect_ratio", "object|null", "deep"),
+        ("pages.orientation", "string|null", "deep"),
+        ("pages.change_tracking_enabled", "bool", "deep"),
+        ("pages.body_text_length", "u64|null", "deep"),
+        ("pages.body_paragraph_break_count", "u64|null", "deep"),
+        ("pages.cached_page_count", "u64|null", "deep"),
+        ("pages.table_count", "u64", "deep"),
+    ],
 }
-_LEGACY = "office.document_kind string header|office.legacy_kind string header|office.cfb_container bool header|office.cfb_entry_count u64 metadata|office.content_probe_supported bool header"
-_LEGACY_OWN = {
-    "doc": "word.page_count u64? metadata|word.word_count u64? metadata|word.character_count u64? metadata|word.paragraph_count u64? metadata|word.is_template bool metadata",
-    "xls": "excel.sheet_count u64? metadata|excel.sheet_names string[]? metadata|excel.is_template bool metadata|excel.binary_workbook bool metadata",
-    "ppt": "powerpoint.slide_count u64? metadata|powerpoint.notes_slide_count u64? metadata|powerpoint.presentation_kind string metadata",
+# The same of legacy documents, and by their profile. Fixed values.
+LEGACY = [
+    ("office.document_kind", "string", "header"),
+    ("office.legacy_kind", "string", "header"),
+    ("office.cfb_container", "bool", "header"),
+    ("office.cfb_entry_count", "u64", "metadata"),
+    ("office.content_probe_supported", "bool", "header"),
+]
+LEGACY_OWN = {
+    "doc": [
+        ("word.page_count", "u64|null", "metadata"),
+        ("word.word_count", "u64|null", "metadata"),
+        ("word.character_count", "u64|null", "metadata"),
+        ("word.paragraph_count", "u64|null", "metadata"),
+        ("word.is_template", "bool", "metadata"),
+    ],
+    "xls": [
+        ("excel.sheet_count", "u64|null", "metadata"),
+        ("excel.sheet_names", "string[]|null", "metadata"),
+        ("excel.is_template", "bool", "metadata"),
+        ("excel.binary_workbook", "bool", "metadata"),
+    ],
+    "ppt": [
+        ("powerpoint.slide_count", "u64|null", "metadata"),
+        ("powerpoint.notes_slide_count", "u64|null", "metadata"),
+        ("powerpoint.presentation_kind", "string", "metadata"),
+    ],
 }
-#: Common targets that no path of a family gives.
-_NEVER = {
-    "ooxml": "document.language document.locale quality.corrupted quality.missing_assets",
-    "pdf": "document.language document.locale quality.corrupted quality.missing_assets",
-    "iwork": "document.title document.subject document.author document.keywords document.description document.created_at document.modified_at security.has_digital_signature security.signature_count security.has_javascript security.has_external_relationships security.has_embedded_files security.active_content_risk quality.missing_assets",
-    "legacy": "document.description document.application_version document.language document.locale security.has_digital_signature security.signature_count security.has_javascript security.has_external_relationships security.active_content_risk quality.corrupted quality.missing_assets",
+#: Common targets that no path of a family gives. Fixed values.
+NEVER = {
+    "ooxml": [
+        "document.language",
+        "document.locale",
+        "quality.corrupted",
+        "quality.missing_assets",
+    ],
+    "pdf": [
+        "document.language",
+        "document.locale",
+        "quality.corrupted",
+        "quality.missing_assets",
+    ],
+    "iwork": [
+        "document.title",
+        "document.subject",
+        "document.author",
+        "document.keywords",
+        "document.description",
+        "document.created_at",
+        "document.modified_at",
+        "security.has_digital_signature",
+        "security.signature_count",
+        "security.has_javascript",
+        "security.has_external_relationships",
+        "security.has_embedded_files",
+        "security.active_content_risk",
+        "quality.missing_assets",
+    ],
+    "legacy": [
+        "document.description",
+        "document.application_version",
+        "document.language",
+        "document.locale",
+        "security.has_digital_signature",
+        "security.signature_count",
+        "security.has_javascript",
+        "security.has_external_relationships",
+        "security.active_content_risk",
+        "quality.corrupted",
+        "quality.missing_assets",
+    ],
 }
+# Marks of names, and names, that selectors go by. Fixed values.
 STRUCTURE = ("_count", "_names", ".slide_size", ".page_size", ".table_dimensions", ".body_text_length", ".aspect_ratio", ".orientation", ".presentation_kind", ".is_template", ".binary_workbook", ".document_kind")
 ASSETS = ("asset", "preview", "image", "media", "font", "attachment", "embedded")
 QUALITY = ("document.extension_matches", "office.conformance", "pdf.repaired")
+# Targets of selectors by driver. Fixed values.
 SUMMARY = {
-    "word": "word.page_count word.word_count word.is_template", "excel": "excel.sheet_count excel.sheet_names excel.is_template excel.binary_workbook",
-    "powerpoint": "powerpoint.slide_count powerpoint.slide_size powerpoint.aspect_ratio powerpoint.orientation powerpoint.presentation_kind",
-    "keynote": "keynote.slide_count keynote.slide_size keynote.aspect_ratio keynote.orientation keynote.hidden_slide_count iwork.has_preview",
-    "numbers": "numbers.sheet_count numbers.sheet_names numbers.table_count iwork.has_preview",
-    "pages": "pages.section_count pages.page_size pages.aspect_ratio pages.orientation pages.cached_page_count iwork.is_multi_page iwork.has_preview",
-    "office-legacy": "office.cfb_entry_count",
-}
+    "word": [
+        "word.page_count",
+        "word.word_count",
+        "word.is_template",
+    ],
+    "excel": [
+        "excel.sheet_count",
+        "excel.sheet_names",
+        "excel.is_template",
+        "excel.binary_workbook",
+    ],
+    "powerpoint": [
+        "powerpoint.slide_count",
+        "powerpoint.slide_size",
+        "powerpoint.aspect_ratio",
+        "powerpoint.orientation",
+        "powerpoint.presentation_kind",
+    ],
+    "keynote": [
+        "keynote.slide_count",
+        "keynote.slide_size",
+        "keynote.aspect_ratio",
+        "keynote.orientation",
+        "keynote.hidden_slide_count",
+        "iwork.has_preview",
+    ],
+    "numbers": [
+        "numbers.sheet_count",
+        "numbers.sheet_names",
+        "numbers.table_count",
+        "iwork.has_preview",
+    ],
+    "pages": [
+        "pages.section_count",
+        "pages.page_size",
+        "pages.aspect_ratio",
+        "pages.orientation",
+        "pages.cached_page_count",
+        "iwork.is_multi_page",
+        "iwork.has_preview",
+    ],
+    "office-legacy": [
+        "office.cfb_entry_count",
+    ],
+}
 DEFAULTS = {
-    "word": "security.has_macros office.package_entry_count word.page_count word.word_count word.is_template",
-    "excel": "security.has_macros office.package_entry_count excel.is_template excel.binary_workbook excel.table_count excel.sheet_count excel.sheet_names excel.hidden_sheet_count",
-    "powerpoint": "security.has_macros office.package_entry_count powerpoint.slide_count powerpoint.hidden_slide_count powerpoint.master_count powerpoint.layout_count powerpoint.slide_size powerpoint.aspect_ratio powerpoint.orientation powerpoint.presentation_kind",
-    "pdf": "security.encrypted pdf.page_count pdf.object_count pdf.xref_type pdf.repaired",
-    "office-legacy": "security.has_macros office.cfb_entry_count",
+    "word": [
+        "security.has_macros",
+        "office.package_entry_count",
+        "word.page_count",
+        "word.word_count",
+        "word.is_template",
+    ],
+    "excel": [
+        "security.has_macros",
+        "office.package_entry_count",
+        "excel.is_template",
+        "excel.binary_workbook",
+        "excel.table_count",
+        "excel.sheet_count",
+        "excel.sheet_names",
+        "excel.hidden_sheet_count",
+    ],
+    "powerpoint": [
+        "security.has_macros",
+        "office.package_entry_count",
+        "powerpoint.slide_count",
+        "powerpoint.hidden_slide_count",
+        "powerpoint.master_count",
+        "powerpoint.layout_count",
+        "powerpoint.slide_size",
+        "powerpoint.aspect_ratio",
+        "powerpoint.orientation",
+        "powerpoint.presentation_kind",
+    ],
+    "pdf": [
+        "security.encrypted",
+        "pdf.page_count",
+        "pdf.object_count",
+        "pdf.xref_type",
+        "pdf.repaired",
+    ],
+    "office-legacy": [
+        "security.has_macros",
+        "office.cfb_entry_count",
+    ],
+}
+DEEP_DEFAULTS = {
+    "word": [
+        "word.paragraph_count",
+        "word.table_count",
+    ],
+    "excel": [
+        "excel.shared_string_count",
+    ],
 }
-DEEP_DEFAULTS = {"word": "word.paragraph_count word.table_count", "excel": "excel.shared_string_count"}
-IWORK_OPT_IN = "security.password_protected iwork.preview_count iwork.preview_dimensions document.language document.locale iwork.producer_build iwork.has_external_or_missing_data iwork.data_asset_bytes iwork.asset_type_counts"
+IWORK_OPT_IN = [
+    "security.password_protected",
+    "iwork.preview_count",
+    "iwork.preview_dimensions",
+    "document.language",
+    "document.locale",
+    "iwork.producer_build",
+    "iwork.has_external_or_missing_data",
+    "iwork.data_asset_bytes",
+    "iwork.asset_type_counts",
+]
+# Aliases besides the last parts of names. Fixed values.
 FIXED_ALIASES = {"mime": "document.mime_type", "profile": "document.format_profile", "macros": "security.has_macros", "notes_count": "powerpoint.notes_slide_count"}
 
 
@@ -156,19 +426,16 @@ def targets(profile):
     driver = DRIVER_OF[profile]
     family = FAMILIES[driver]
     if driver == "office-legacy":
-        kind, _, more = _LEGACY.partition("|")
-        groups = [("common", _COMMON), ("office", kind), ("format", more + "|" + _LEGACY_OWN.get(profile, ""))]
+        groups = [("common", COMMON), ("office", LEGACY[:1]), ("format", LEGACY[1:] + LEGACY_OWN.get(profile, []))]
     else:
-        groups = [("common", _COMMON), ("office", _OFFICE if family == "ooxml" else ""), ("format", (_IWORK + "|" if family == "iwork" else "") + _OWN[driver])]
-    never = set(_NEVER[family].split())
+        groups = [("common", COMMON), ("office", OFFICE if family == "ooxml" else []), ("format", (IWORK_SHARED if family == "iwork" else []) + OWN[driver])]
+    never = set(NEVER[family])
     if profile == "xlsb":
         never |= {f"excel.{x}" for x in ("sheet_count", "sheet_names", "hidden_sheet_count", "defined_name_count", "shared_string_count")}
     found = {}
-    for scope, text in groups:
-        for line in text.replace("\n", "|").split("|"):
-            if line.strip():
-                name, kind, level = line.split()
-                found[name] = kind.replace("?", "|null"), level, scope, name not in never
+    for scope, known in groups:
+        for name, kind, level in known:
+            found[name] = kind, level, scope, name not in never
     return found
 
 
@@ -184,7 +451,7 @@ def selector(profile, name, level):
     if name in ("@header", "@default"):
         return defaults(profile, "header" if name == "@header" else level)
     if name == "@summary":
-        asked = ["document.title", "document.author", "document.application", "document.application_version", *SUMMARY.get(DRIVER_OF[profile], "").split()]
+        asked = ["document.title", "document.author", "document.application", "document.application_version", *SUMMARY.get(DRIVER_OF[profile], [])]
         return defaults(profile, "header") | (can & set(asked) if level != "header" else set())
     chosen = {
         "@security": lambda t: t.startswith("security."),
@@ -203,12 +470,12 @@ def defaults(profile, level):
     if level == "header":
         return asked
     if FAMILIES[driver] == "iwork":
-        return applicable(profile, "metadata") - set(IWORK_OPT_IN.split())
-    more = {"document.title", "document.author", "document.application", *DEFAULTS[driver].split()}
+        return applicable(profile, "metadata") - set(IWORK_OPT_IN)
+    more = {"document.title", "document.author", "document.application", *DEFAULTS[driver]}
     if driver == "office-legacy":
         more |= {t for t in targets(profile) if t.split(".")[0] in ("word", "excel", "powerpoint")}
     if level == "deep":
-        more |= set(DEEP_DEFAULTS.get(driver, "").split())
+        more |= set(DEEP_DEFAULTS.get(driver, []))
     return asked | (more & applicable(profile, level))
 
 

@@ -378,15 +378,21 @@ def target_list(spark, sf_dir):
     return catalog.discovered(spark, "powerpoint").groupBy("scope", "cost_class").agg(F.count("*").alias("n"), F.sum(F.size("aliases")).alias("n_aliases"), F.count_if(F.size("supported_levels") > 0).alias("n_applicable"))
 
 
-#: Sizes of selectors at header, metadata and deep level: @header, @default, @summary, @security, @structure, @assets, @quality, @format, @all. Fixed values.
+#: Sizes of selectors by profile, at header, metadata and deep level. Fixed values.
 SIZES = {
-    "pdf": "8/8/8 8/16/16 8/12/12 0/6/9 0/5/6 0/1/1 1/2/2 2/10/10 8/31/34", "docx": "8/8/8 8/16/18 8/15/15 1/6/9 1/9/11 0/1/1 1/2/2 0/7/8 8/31/35",
-    "xlsx": "8/8/8 8/19/20 8/16/16 1/6/9 1/12/14 0/1/1 1/2/2 0/10/11 8/34/38", "xlsb": "8/8/8 8/16/16 8/14/14 1/6/9 1/8/9 0/1/1 1/2/2 0/6/6 8/30/33",
-    "pptx": "8/8/8 8/21/21 8/17/17 1/6/9 1/15/16 0/2/2 1/2/2 0/13/13 8/37/40", "key": "8/8/8 8/20/20 8/12/16 1/3/3 1/9/20 0/6/6 1/1/2 1/16/28 8/29/42",
-    "numbers": "8/8/8 8/20/20 8/13/14 1/3/3 1/9/18 0/6/6 1/1/2 1/16/26 8/29/40", "pages": "8/8/8 8/18/18 8/12/17 1/3/3 1/7/19 0/6/6 1/1/2 1/14/28 8/27/42",
-    "doc": "11/11/11 11/21/21 11/15/15 1/4/4 1/7/7 0/0/0 1/1/1 3/9/9 11/27/27", "xls": "11/11/11 11/20/20 11/15/15 1/4/4 1/6/6 0/0/0 1/1/1 3/8/8 11/26/26",
-    "ppt": "11/11/11 11/19/19 11/15/15 1/4/4 1/5/5 0/0/0 1/1/1 3/7/7 11/25/25", "encrypted-ooxml": "11/11/11 11/16/16 11/15/15 1/4/4 1/2/2 0/0/0 1/1/1 3/4/4 11/22/22",
-}
+    "pdf": {"@header": (8, 8, 8), "@default": (8, 16, 16), "@summary": (8, 12, 12), "@security": (0, 6, 9), "@structure": (0, 5, 6), "@assets": (0, 1, 1), "@quality": (1, 2, 2), "@format": (2, 10, 10), "@all": (8, 31, 34)},
+    "docx": {"@header": (8, 8, 8), "@default": (8, 16, 18), "@summary": (8, 15, 15), "@security": (1, 6, 9), "@structure": (1, 9, 11), "@assets": (0, 1, 1), "@quality": (1, 2, 2), "@format": (0, 7, 8), "@all": (8, 31, 35)},
+    "xlsx": {"@header": (8, 8, 8), "@default": (8, 19, 20), "@summary": (8, 16, 16), "@security": (1, 6, 9), "@structure": (1, 12, 14), "@assets": (0, 1, 1), "@quality": (1, 2, 2), "@format": (0, 10, 11), "@all": (8, 34, 38)},
+    "xlsb": {"@header": (8, 8, 8), "@default": (8, 16, 16), "@summary": (8, 14, 14), "@security": (1, 6, 9), "@structure": (1, 8, 9), "@assets": (0, 1, 1), "@quality": (1, 2, 2), "@format": (0, 6, 6), "@all": (8, 30, 33)},
+    "pptx": {"@header": (8, 8, 8), "@default": (8, 21, 21), "@summary": (8, 17, 17), "@security": (1, 6, 9), "@structure": (1, 15, 16), "@assets": (0, 2, 2), "@quality": (1, 2, 2), "@format": (0, 13, 13), "@all": (8, 37, 40)},
+    "key": {"@header": (8, 8, 8), "@default": (8, 20, 20), "@summary": (8, 12, 16), "@security": (1, 3, 3), "@structure": (1, 9, 20), "@assets": (0, 6, 6), "@quality": (1, 1, 2), "@format": (1, 16, 28), "@all": (8, 29, 42)},
+    "numbers": {"@header": (8, 8, 8), "@default": (8, 20, 20), "@summary": (8, 13, 14), "@security": (1, 3, 3), "@structure": (1, 9, 18), "@assets": (0, 6, 6), "@quality": (1, 1, 2), "@format": (1, 16, 26), "@all": (8, 29, 40)},
+    "pages": {"@header": (8, 8, 8), "@default": (8, 18, 18), "@summary": (8, 12, 17), "@security": (1, 3, 3), "@structure": (1, 7, 19), "@assets": (0, 6, 6), "@quality": (1, 1, 2), "@format": (1, 14, 28), "@all": (8, 27, 42)},
+    "doc": {"@header": (11, 11, 11), "@default": (11, 21, 21), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 7, 7), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 9, 9), "@all": (11, 27, 27)},
+    "xls": {"@header": (11, 11, 11), "@default": (11, 20, 20), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 6, 6), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 8, 8), "@all": (11, 26, 26)},
+    "ppt": {"@header": (11, 11, 11), "@default": (11, 19, 19), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 5, 5), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 7, 7), "@all": (11, 25, 25)},
+    "encrypted-ooxml": {"@header": (11, 11, 11), "@default": (11, 16, 16), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 2, 2), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 4, 4), "@all": (11, 22, 22)},
+}
 
 QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
 
@@ -534,8 +540,8 @@ with l as (select *, row_number() over (partition by event_type order by event_i
 select event_type, line_no, case when k < 4 then 'ok' else 'error' end as status,
   case k when 4 then 'invalid JSONL base64 payload' when 5 then 'JSONL object must contain either path, or name plus data_base64' when 6 then 'JSONL line ' || line_no || ' is invalid' when 7 then 'unsupported format: .txt' end as error_message,
   case when k < 4 then 0 when k = 7 then 3 else 1 end as exit_code from k""",
-    "selector_sizes": "select profile, ['@header', '@default', '@summary', '@security', '@structure', '@assets', '@quality', '@format', '@all'][s] as selector, ['header', 'metadata', 'deep'][l] as level, string_split(string_split(sizes, ' ')[s], '/')[l]::bigint as n from (values "
-    + ", ".join(f"('{p}', '{v}')" for p, v in SIZES.items()) + ") as t(profile, sizes), range(1, 10) as a(s), range(1, 4) as b(l)",
+    "selector_sizes": "select profile, selector, level, n::bigint as n from (values "
+    + ", ".join(f"('{p}', '{s}', '{level}', {n})" for p, of in SIZES.items() for s, ns in of.items() for level, n in zip(catalog.LEVELS, ns, strict=True)) + ") as t(profile, selector, level, n)",
     "format_list": "select driver, unnest(string_split(ps, ' ')) as profile, support from (values ('pdf', 'pdf', '2.0'), ('word', 'docx docm dotx dotm', '2.0'), ('excel', 'xlsx xlsm xltx xltm xlsb', '2.0; xlsb identity only'), ('powerpoint', 'pptx pptm ppsx ppsm potx potm', '2.0'), ('keynote', 'key', '2.0; modern IWA only'), ('numbers', 'numbers', '2.0; modern IWA only'), ('pages', 'pages', '2.0; modern IWA only'), ('office-legacy', 'doc xls ppt encrypted-ooxml', 'metadata and format statistics')) as t(driver, ps, support)",
     "target_list": "select * from (values ('common', 'low', 7, 9, 7), ('common', 'moderate', 16, 17, 14), ('common', 'high', 5, 5, 3), ('office', 'low', 1, 1, 1), ('office', 'moderate', 2, 2, 2), ('format', 'moderate', 13, 14, 13)) as t(scope, cost_class, n, n_aliases, n_applicable)",
 }
