@@ -4,6 +4,7 @@ No test table holds an office document, so most queries build a small one from e
 and probe its bytes; the SQL says the same facts from the row alone.
 """
 
+from functools import reduce
 from hashlib import shake_128
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from factloom.operators.probe import probe, with_facts
 from factloom.operators.report import best_rows, exit_status, requested
 from factloom.operators.routing import route
 from factloom.sources import manifest
+from factloom.sources.pdf_objects import graph_facts
 from factloom.sources.objects import logical_tables, object_rows, ordered_sheets, type_counts
 from factloom.sources.inputs import jsonl_lines, records, within
 from factloom.sources.shared import fresh
@@ -148,6 +150,51 @@ def pdf_header_facts(spark, sf_dir):
     return probed(rows, "c_custkey", PDF, ["pdf"])
 
 
+def pdf_documents(spark, sf_dir):
+    """A PDF of objects for each customer: pages, annotations, fields and actions follow from its key.
+
+    Some have short cross-reference lines or none, an object that is defined again, a cycle
+    of fields, references to nothing, or objects that are compressed.
+    """
+    c, name = F.col("c_custkey"), F.col("c_name")
+    n, line = c % 4, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\n"))
+    obj = lambda k, *parts: line(f"{k} 0 obj\n", *parts, "\nendobj")
+    some = lambda when, then: F.when(when, then).otherwise("")
+    forms = {1: "<< /Fields [10 0 R] >>", 2: "<< /Fields [10 0 R << /Kids [ << /T (a\\)(b)) >> << /Subtype /Widget >> ] >>] >>", 3: "<< /Fields [11 0 R] >>", 4: "<< /DA (x) >>"}
+    form = reduce(lambda out, f: out.when(c % 5 == f[0], f" /AcroForm {f[1]}"), forms.items(), F.when(F.lit(False), "")).otherwise("")
+    metadata = F.when(c % 4 == 1, " /Metadata 6 0 R").when(c % 4 == 2, " /Metadata 7 0 R").otherwise("")
+    acts = {0: "<< /S /JavaScript /JS (go\\(1\\)) >>", 1: "<< /S /Launch >>", 2: "<</S/URI/URI(http://a)>>", 3: "<< /Next << /S /Rendition >> >>", 4: "<< /Type /Filespec /F (a) /EF << /F 6 0 R >> >>", 5: "<< /S /SubmitForm >>", 6: "<< /Type /Filespec /UF (a) >>"}
+    act = reduce(lambda out, a: out.when(c % 8 == a[0], a[1]), acts.items(), F.when(F.lit(False), "")).otherwise("<< /S /GoTo >>")
+    page = lambda k: some(n > k, obj(30 + k, "<< /Type /Page /Parent 20 0 R", *([" /Annots [40 0 R", some(c % 7 == 3, " 99 0 R"), " << /Subtype /Link >>]"] if k % 2 == 0 else []), " >>"))
+    title = F.when(c % 2 == 0, F.concat(F.lit("("), name, F.lit(" \\(\\061\\))"))).otherwise(F.concat(F.lit("<FEFF"), F.hex(F.encode(name, "UTF-16BE")), F.lit("D83D>")))
+    body = F.concat(
+        F.lit("%PDF-1.7\n"), obj(1, "<< /Type /Catalog /Pages 2 0 R", form, metadata, " >>"), obj(2, "<< /Type /Pages /Kids [20 0 R] >> % a [ in a remark"),
+        obj(20, "<< /Type /Pages /Kids [", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: some(n > k, F.concat((k + 30).cast("string"), F.lit(" 0 R ")))), ""), "] >>"), page(0), page(1), page(2),
+        obj(6, "<< /Type /Metadata /Subtype /XML /Length 9 >>\nstream\n<<[( >> x\nendstream"), obj(10, "<< /FT /Tx /T (one) >>"), obj(11, "<< /T (c) /Kids [12 0 R] >>"), obj(12, "<< /T (d) /Kids [11 0 R] >>"),
+        obj(40, F.when(c % 2 == 0, "[1]").otherwise("<< /Type /Annot >>")), obj(50, act), some(c % 3 == 0, obj(51, "<< /Type /Sig /ByteRange [0 1] /Contents <00> >>")), some(c % 11 == 10, obj(52, "<< /Type /ObjStm >>")),
+        obj(60, "<< /Title ", title, " >>"), obj(40, "<< /Type /Annot /Subtype /Text >>"),
+    )
+    end = F.concat(F.lit("xref\n0 1\n0000000000 65535 f"), F.when(c % 3 == 1, "\n").otherwise(" \n"), F.lit("trailer\n<< /Root 1 0 R /Info 60 0 R >>\n"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", body.alias("body"), end.alias("end"))
+    text = F.concat("body", "end", F.when(c % 3 == 2, "").otherwise(F.concat(F.lit("startxref\n"), F.length("body").cast("string"), F.lit("\n%%EOF\n"))))
+    return rows.select("c_custkey", F.lit("a.pdf").alias("display_name"), F.encode(text, "ISO-8859-1").alias("content"))
+
+
+def pdf_graph(spark, sf_dir):
+    """What the object graphs of these documents say, by joins of object rows."""
+    return graph_facts(pdf_documents(spark, sf_dir), "c_custkey").select("c_custkey", "xref", "object_count", "page_count", "annotation_count", "form_field_count", "signature_count", "attachment_count", "has_xmp", "external", "embedded", "risk", "title")
+
+
+def pdf_reports(spark, sf_dir):
+    """Reports of the same documents at two levels: risk is told only at the deep one."""
+    made, out = pdf_documents(spark, sf_dir).withColumn("file_size", F.octet_length("content").cast("bigint")), None
+    for level in ("metadata", "deep"):
+        found = probe(made, ["pdf.page_count", "pdf.annotation_count", "pdf.repaired", "security.active_content_risk"], level=level, graph_by=["c_custkey"])
+        rows = found.select("c_custkey", F.lit(level).alias("level"), F.explode("results").alias("r")).select("c_custkey", "level", "r.target", "r.status", "r.value", "r.confidence", "r.path")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 RISK = ["security.has_macros", "security.has_embedded_files", "security.has_external_relationships", "security.has_digital_signature", "security.signature_count", "security.active_content_risk"]
 
 
@@ -394,7 +441,7 @@ SIZES = {
     "encrypted-ooxml": {"@header": (11, 11, 11), "@default": (11, 16, 16), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 2, 2), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 4, 4), "@all": (11, 22, 22)},
 }
 
-QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
+QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, pdf_graph, pdf_reports, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
 
 
 def _long(source, key, facts):
@@ -408,6 +455,12 @@ _full = lambda parts: f"len(list_filter({parts}, lambda x: regexp_replace(x, '{S
 _WORDS, _LINES = _full(f"string_split_regex(text, '{SPACE}+')"), _full("string_split(text, chr(10))")
 _YES = lambda c: f"case when {c} then 'true' else 'false' end"
 
+_PDF_GRAPH = """
+with k as (select c_custkey, c_name, c_custkey % 11 <> 10 as o, c_custkey % 4 as n, c_custkey % 8 as a, c_custkey % 5 as f, c_custkey % 7 = 3 as lost from customer),
+g as (select c_custkey, ['sound', 'short', 'lost'][c_custkey % 3 + 1] as xref, case when o then 10 + n + (c_custkey % 3 = 0)::bigint end as object_count, case when o then n end as page_count,
+  case when o and not (lost and n > 0) then [0, 2, 2, 4][n + 1]::bigint end as annotation_count, case when o then case f when 0 then 0 when 1 then 1 when 2 then 2 end::bigint end as form_field_count,
+  case when o then (c_custkey % 3 = 0)::bigint end as signature_count, case when o then (a = 4)::bigint end as attachment_count, case when o and n <> 2 then n = 1 end as has_xmp, case when o then a in (1, 2, 5, 6) end as external, case when o then a = 4 end as embedded,
+  case when o then case when a < 2 then 'high' when a in (3, 5) then 'medium' when a in (2, 4, 6) then 'low' else 'none' end end as risk, case when o then case when c_custkey % 2 = 0 then c_name || ' (1)' else c_name || chr(65533) end end as title from k)"""
 ORACLE_SQL = {
     "routing": """
 with i as (select ['pdf', 'docx', 'doc', 'key', 'txt', ''][event_id % 6 + 1] as extension, ['pdf', 'zip', 'cfb', 'other'][event_id % 4 + 1] as container from events),
@@ -454,6 +507,15 @@ from e group by all""",
             "document.file_size": ("9 + case when c_custkey % 3 = 0 then 14 else 0 end + case when t then 6 else 0 end + case when s then 11 else 0 end", "exact"), "document.extension_matches": ("'true'", "exact"), "security.has_macros": ("'false'", "exact"),
         },
     ),
+    "pdf_graph": _PDF_GRAPH + """
+select c_custkey, xref, object_count, page_count, annotation_count, form_field_count, signature_count, attachment_count, has_xmp, external, embedded, risk, title from g""",
+    "pdf_reports": _PDF_GRAPH + """,
+l as (select c_custkey, unnest([
+  {'level': 'metadata', 'target': 'pdf.page_count', 'value': page_count::varchar, 'confidence': 'exact', 'path': 'pdf.document_structure'}, {'level': 'deep', 'target': 'pdf.page_count', 'value': page_count::varchar, 'confidence': 'exact', 'path': 'pdf.document_structure'},
+  {'level': 'metadata', 'target': 'pdf.repaired', 'value': (xref <> 'sound')::varchar, 'confidence': 'exact', 'path': 'pdf.document_structure'}, {'level': 'deep', 'target': 'pdf.repaired', 'value': (xref <> 'sound')::varchar, 'confidence': 'exact', 'path': 'pdf.document_structure'},
+  {'level': 'metadata', 'target': 'pdf.annotation_count', 'value': annotation_count::varchar, 'confidence': 'exact', 'path': 'pdf.document_features'}, {'level': 'deep', 'target': 'pdf.annotation_count', 'value': annotation_count::varchar, 'confidence': 'exact', 'path': 'pdf.deep_document_features'},
+  {'level': 'metadata', 'target': 'security.active_content_risk', 'value': null, 'confidence': 'unsupported', 'path': 'planner'}, {'level': 'deep', 'target': 'security.active_content_risk', 'value': '"' || risk || '"', 'confidence': 'high', 'path': 'pdf.active_content_assessment'}]) as x from g)
+select c_custkey, x.level, x.target, case when x.confidence = 'unsupported' then 'unsupported' when x.value is null then 'unknown' else 'resolved' end as status, x.value, case when x.value is null then 'none' else x.confidence end as confidence, x.path from l""",
     "risk_rollup": """
 with e as (select event_type, event_type = 'purchase' as macros, event_type = 'signup' as embedded, event_type in ('click', 'view') as external, event_type = 'error' as signed from events),
 l as (select event_type, unnest([{'t': 'security.has_macros', 'v': macros::varchar}, {'t': 'security.has_embedded_files', 'v': embedded::varchar}, {'t': 'security.has_external_relationships', 'v': external::varchar},
