@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom import catalog, synth
+from factloom.extension import OwnDriver, OwnFact, Registry
 from factloom.operators.probe import probe, with_facts
 from factloom.operators.report import best_rows, exit_status, requested
 from factloom.operators.routing import route
@@ -342,6 +343,23 @@ def best_evidence(spark, sf_dir):
     return best_rows(facts, "user_id", "target").select("user_id", "target", "value", "confidence")
 
 
+def registered_facts(spark, sf_dir):
+    """Facts of texts by a driver of one's own, selected in SQL through its table function; a text of another suffix has none."""
+    registry = Registry()
+    text = "decode(content, 'UTF-8')"
+    registry.register(
+        OwnDriver("note", ("note", "memo"), "text/x-note", (
+            OwnFact("note.line_count", f"length({text}) - length(replace({text}, '\\n', '')) + 1"),
+            OwnFact("note.first_word", f"nullif(regexp_extract({text}, '^([A-Za-z]+)', 1), '')", "header", "medium"),
+            OwnFact("note.byte_sum", "length(content)", "deep"),
+        ))
+    )
+    call = registry.published(spark)
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".note").when(F.col("doc_id") % 3 == 1, ".MEMO").otherwise(".txt"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", name.alias("display_name"), F.encode("text", "UTF-8").alias("content"))
+    return spark.sql(f"select d.doc_id, f.target, f.status, f.value, f.confidence, f.path from {{docs}} d, lateral {call}(d.display_name, d.content) f", docs=docs)
+
+
 def damaged_documents(spark, sf_dir):
     """A document for each event, sound or damaged in one of many ways: no kind fails the job, each gives its row."""
     m, ref = synth.message, synth.reference
@@ -441,7 +459,7 @@ SIZES = {
     "encrypted-ooxml": {"@header": (11, 11, 11), "@default": (11, 16, 16), "@summary": (11, 15, 15), "@security": (1, 4, 4), "@structure": (1, 2, 2), "@assets": (0, 0, 0), "@quality": (1, 1, 1), "@format": (3, 4, 4), "@all": (11, 22, 22)},
 }
 
-QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, pdf_graph, pdf_reports, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
+QUERIES = {f.__name__: f for f in (routing, text_stats, docx_facts, xlsx_facts, pptx_facts, pdf_header_facts, pdf_graph, pdf_reports, risk_rollup, pages_facts, numbers_facts, numbers_tables, numbers_sheets, object_types, keynote_facts, legacy_facts, jsonl_reports, jsonl_exit, best_evidence, registered_facts, level_facts, damaged_documents, manifest_facts, jsonl_files, selector_sizes, format_list, target_list)}
 
 
 def _long(source, key, facts):
@@ -516,6 +534,10 @@ l as (select c_custkey, unnest([
   {'level': 'metadata', 'target': 'pdf.annotation_count', 'value': annotation_count::varchar, 'confidence': 'exact', 'path': 'pdf.document_features'}, {'level': 'deep', 'target': 'pdf.annotation_count', 'value': annotation_count::varchar, 'confidence': 'exact', 'path': 'pdf.deep_document_features'},
   {'level': 'metadata', 'target': 'security.active_content_risk', 'value': null, 'confidence': 'unsupported', 'path': 'planner'}, {'level': 'deep', 'target': 'security.active_content_risk', 'value': '"' || risk || '"', 'confidence': 'high', 'path': 'pdf.active_content_assessment'}]) as x from g)
 select c_custkey, x.level, x.target, case when x.confidence = 'unsupported' then 'unsupported' when x.value is null then 'unknown' else 'resolved' end as status, x.value, case when x.value is null then 'none' else x.confidence end as confidence, x.path from l""",
+    "registered_facts": """
+with d as (select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as n, regexp_extract(text, '^([A-Za-z]+)', 1) as w from documents where doc_id % 3 < 2)
+select doc_id, 'note.line_count' as target, 'resolved' as status, n::varchar as value, 'exact' as confidence, 'note.metadata' as path from d
+union all select doc_id, 'note.first_word', case when w = '' then 'unknown' else 'estimated' end, case when w <> '' then '"' || w || '"' end, case when w = '' then 'none' else 'medium' end, 'note.header' from d""",
     "risk_rollup": """
 with e as (select event_type, event_type = 'purchase' as macros, event_type = 'signup' as embedded, event_type in ('click', 'view') as external, event_type = 'error' as signed from events),
 l as (select event_type, unnest([{'t': 'security.has_macros', 'v': macros::varchar}, {'t': 'security.has_embedded_files', 'v': embedded::varchar}, {'t': 'security.has_external_relationships', 'v': external::varchar},

@@ -5,10 +5,14 @@ cost of its paths. `packed` deals its files to tasks by their bytes; `sources.pa
 then opens each file in its task and reads the ranges that a request takes.
 """
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom.sources.inputs import COLUMNS
+from factloom.sources.ranges import Damaged, opened
 
 
 def listed(spark, path, glob=None, recursive=False):
@@ -62,3 +66,25 @@ def with_paths(recs, manifest):
         F.when(lost, F.concat(F.lit("cannot open "), "path")).otherwise(F.col("error_message")).alias("error_message"), F.col("_path").alias("path"),
     )
     return found.unionByName(own.select(*found.columns))
+
+
+def with_sizes(recs):
+    """JSONL records whose paths are opened in tasks for their size, where a stream has no listing to join; SOURCE_IO where a file cannot be opened."""
+    kept = [c for c in recs.columns if c not in ("file_size", "error_code", "error_message")]
+    schema = StructType([*(recs.schema[c] for c in kept), *StructType.fromDDL("file_size bigint, error_code string, error_message string").fields])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            found = []
+            for path, size, code, said in zip(*(batch[c].to_pylist() for c in ("path", "file_size", "error_code", "error_message")), strict=True):
+                if path is not None and code is None:
+                    try:
+                        size = opened(path).size
+                    except Damaged as e:
+                        code, said = "SOURCE_IO", e.args[1]
+                found.append((size, code, said))
+            more = zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.string(), pa.string()), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(c, t) for c, t in more)], schema=arrow)
+
+    return recs.mapInArrow(run, schema)
