@@ -1,13 +1,16 @@
-"""TIFF media columns: write samples as strips, walk directories, decode every page.
+"""TIFF media columns: write samples as strips and tiles, walk directories, decode every page.
 
-A page is a row. Null texts are stored as the empty text, which has one page of zero
-bytes. A null file or one that is no TIFF gives one row with `error` and no page; a
+A page is a row. Texts are stored in pages of PAGE_ROWS rows, packed in turn by each of
+FORMS, so that every packing is written and read back. Null texts are stored as the
+empty text, which has one page of zero bytes. A null file or one that is no TIFF gives one row with `error` and no page; a
 damaged page, or one of a kind that is not read here (planar, fill order 2, predictor
 3, other depths than 8 and 16 bits), gives a row with its number and `error`, after
 the pages before it. Repeated rows give repeated results, an empty table no rows.
 Very long texts are whole: a file holds up to 4 GB. Only the columns named are read.
 """
 
+import hashlib
+import re
 import struct
 import zlib
 
@@ -23,24 +26,95 @@ NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
-def write_tiff(samples, strip_rows=1024):
-    """A little-endian file of one grey page (height x width uint8), in deflated strips with differences."""
-    height, width = samples.shape
-    differences = samples.copy()
-    differences[:, 1:] -= samples[:, :-1]
-    strips = [zlib.compress(differences[y : y + strip_rows].tobytes(), 1) for y in range(0, height, strip_rows)]
-    offsets = np.cumsum([8, *map(len, strips)])[:-1].tolist()
-    data = b"".join(strips)
-    data += b"\0" * (len(data) % 2)
-    fields = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [8]), (COMPRESSION, [ADOBE_DEFLATE]), (PHOTOMETRIC, [1]), (STRIP_OFFSETS, offsets), (SAMPLES, [1]), (ROWS_PER_STRIP, [strip_rows]), (STRIP_BYTES, [len(s) for s in strips]), (PREDICTOR, [2])]
-    at = 8 + len(data)
-    extra_at, directory, extra = at + 2 + 12 * len(fields) + 4, struct.pack("<H", len(fields)), b""
-    for tag, values in fields:
-        packed = struct.pack(f"<{len(values)}I", *values)
-        if len(values) > 1:
-            extra, packed = extra + packed, struct.pack("<I", extra_at + len(extra))
-        directory += struct.pack("<HHI", tag, 4, len(values)) + packed
-    return struct.pack("<2sHI", b"II", 42, at) + data + directory + b"\0\0\0\0" + extra
+#: How the pages of a file are packed in turn: compression, whether in tiles, predictor.
+FORMS = [(ADOBE_DEFLATE, False, 2), (PACKBITS, False, 1), (LZW, True, 1), (DEFLATE, True, 2)]
+PAGE_ROWS, STRIP_ROWS, TILE = 256, 64, 32
+#: Words that an LZW table takes after its 258 before it is cleared: the last code of 12 bits is never reached.
+LZW_ROOM = 4094 - 258
+FIRST_WORDS = [bytes([k]) for k in range(256)] + [b"", b""]
+
+
+def pack_bits(data, row):
+    """PackBits of rows of `row` bytes, none of which shares a packet with the next."""
+    out = bytearray()
+
+    def literal(part):
+        for k in range(0, len(part), 128):
+            out.append(len(part[k : k + 128]) - 1)
+            out.extend(part[k : k + 128])
+
+    for at in range(0, len(data), row):
+        line, last = data[at : at + row], 0
+        for run in re.finditer(rb"(.)\1{2,127}", line, re.DOTALL):
+            literal(line[last : run.start()])
+            out += bytes([257 - len(run[0]), line[run.start()]])
+            last = run.end()
+        literal(line[last:])
+    return bytes(out)
+
+
+def pack_lzw(data):
+    """TIFF's LZW: codes of 9 to 12 bits, high bit first, widened one code early; the table starts anew when it is full."""
+    runs, codes, known, word = [], [], {}, None
+    for byte in data:
+        if word is None:
+            word = byte
+        elif (code := known.get(key := word << 8 | byte)) is not None:
+            word = code
+        else:
+            codes.append(word)
+            known[key] = 258 + len(known)
+            word = byte
+            if len(known) == LZW_ROOM:
+                runs.append(codes)
+                codes, known = [], {}
+    runs.append(codes if word is None else [*codes, word])
+    # a run's codes are followed by the next clear code, or by the end; all widths follow from the place in the run
+    values = np.concatenate([[256], *([*run, 256] for run in runs[:-1]), [*runs[-1], 257]]).astype(">u2")
+    places = np.concatenate([[0], *(np.arange(len(run) + 1) for run in runs)])
+    widths = 9 + np.searchsorted([512, 1024, 2048], 258 + places, "right")
+    bits = np.unpackbits(values.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
+
+
+def packed_page(samples, form):
+    """The fields but for the place of each part, and the packed strips or tiles, of a grey page (height x width uint8)."""
+    compression, tiled, predictor = form
+    (height, width), across, down = samples.shape, samples.shape[1], STRIP_ROWS
+    if tiled:
+        across, down = TILE, min(TILE, -(-height // 16) * 16)
+        samples = np.pad(samples, ((0, -height % down), (0, -width % across)))
+    parts = []
+    for y in range(0, height, down):
+        for x in range(0, width, across):
+            part = samples[y : y + down, x : x + across]
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.uint8(0))
+            parts.append(PACK[compression](part.tobytes(), part.shape[1]))
+    fields = {WIDTH: [width], HEIGHT: [height], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
+    return fields | ({TILE_WIDTH: [across], TILE_HEIGHT: [down]} if tiled else {ROWS_PER_STRIP: [down]}), parts
+
+
+def write_tiff(pages):
+    """A little-endian file of grey pages, given as (samples, form) with a form of FORMS; each page's parts stand before its directory."""
+    out, link = bytearray(struct.pack("<2sHI", b"II", 42, 0)), 4
+    for samples, form in pages:
+        fields, parts = packed_page(samples, form)
+        fields[TILE_OFFSETS if form[1] else STRIP_OFFSETS] = np.cumsum([len(out), *map(len, parts)])[:-1].tolist()
+        fields[TILE_BYTES if form[1] else STRIP_BYTES] = [len(part) for part in parts]
+        out += b"".join(parts)
+        out += bytes(len(out) % 2)
+        struct.pack_into("<I", out, link, len(out))
+        extra_at, extra = len(out) + 2 + 12 * len(fields) + 4, b""
+        out += struct.pack("<H", len(fields))
+        for tag, values in sorted(fields.items()):
+            value = struct.pack(f"<{len(values)}I", *values)
+            if len(values) > 1:
+                extra, value = extra + value, struct.pack("<I", extra_at + len(extra))
+            out += struct.pack("<HHI", tag, 4, len(values)) + value
+        link = len(out)
+        out += bytes(4) + extra
+    return bytes(out)
 
 
 def unpack_bits(data):
@@ -69,7 +143,7 @@ def unpack_lzw(data):
         if code == 257:
             break
         if code == 256:
-            words, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            words, width, last = FIRST_WORDS.copy(), 9, b""
             continue
         if not words or code > len(words) or code == len(words) and not last:
             raise ValueError("broken LZW data")
@@ -82,6 +156,7 @@ def unpack_lzw(data):
     return b"".join(out)
 
 
+PACK = {LZW: lambda data, row: pack_lzw(data), ADOBE_DEFLATE: lambda data, row: zlib.compress(data, 1), DEFLATE: lambda data, row: zlib.compress(data, 1), PACKBITS: pack_bits}
 UNPACK = {NONE: bytes, LZW: unpack_lzw, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
 
 
@@ -137,14 +212,17 @@ def page_samples(data, order, fields):
     return page
 
 
-def feature_of(page):
-    """Size, mean in thousandths and a 64-bit code: whether each of 64 column means is above their mean."""
-    if not page.size:
-        return "0x0"
-    sums = page.reshape(page.shape[0], -1).sum(axis=0, dtype=np.int64)
-    means = np.array([s.sum() for s in np.array_split(sums, 64)])
-    code = int.from_bytes(np.packbits(means * 64 > means.sum()).tobytes(), "big")
-    return f"{page.shape[1]}x{page.shape[0]};{int(sums.sum()) * 1000 // page.size};{code:016x}"
+class Features:
+    """Of pages read so far: their number, the mean in thousandths and a 64-bit code, whether each of 64 column means is above the mean of all."""
+
+    def __init__(self):
+        self.pages, self.size, self.sums = 0, 0, np.zeros(64, np.int64)
+
+    def add(self, page):
+        self.pages, self.size = self.pages + 1, self.size + page.size
+        self.sums += [part.sum() for part in np.array_split(page.reshape(page.shape[0], -1).sum(axis=0, dtype=np.int64), 64)]
+        code = int.from_bytes(np.packbits(self.sums * 64 > self.sums.sum()).tobytes(), "big")
+        return f"{self.pages}p;{int(self.sums.sum()) * 1000 // self.size};{code:016x}"
 
 
 def payload(text):
@@ -153,42 +231,57 @@ def payload(text):
     return len(data), data + b"\0" * (-len(data) % 64 if data else 64)
 
 
+def text_pages(data):
+    """A payload as pages 64 samples wide of at most PAGE_ROWS rows; the forms go round from one that the payload's checksum picks."""
+    samples, first = np.frombuffer(data, np.uint8).reshape(-1, 64), zlib.crc32(data)
+    return [(samples[y : y + PAGE_ROWS], FORMS[(first + y // PAGE_ROWS) % len(FORMS)]) for y in range(0, len(samples), PAGE_ROWS)]
+
+
 def store_texts(docs, doc_id="doc_id", text="text"):
-    """Per row: the id, n_bytes and `media`, a TIFF page 64 samples wide that holds the padded text."""
+    """Per row: the id, n_bytes and `media`, a TIFF file whose pages hold the padded text."""
 
     def step(ids, texts):
         padded = list(map(payload, texts))
-        return ids, [n for n, _ in padded], [write_tiff(np.frombuffer(p, np.uint8).reshape(-1, 64)) for _, p in padded]
+        return ids, [n for n, _ in padded], [write_tiff(text_pages(p)) for _, p in padded]
 
     return map_columns(docs, [doc_id, text], lambda: step, f"{doc_id} bigint, n_bytes bigint, media binary")
 
 
 def pages(media, keep=(), column="media"):
-    """One row per page: the columns `keep` = [(name, type)], page_no, width, height, samples (bytes), media_bytes, media_sha256, feature, error."""
+    """One row per page, those of a file in order.
+
+    Columns: `keep` = [(name, type)], page_no, last (whether the file ends here), width, height,
+    samples (bytes); media_bytes and media_sha256 of the file; of all its samples up to and with
+    this page read_bytes, read_sha256 and feature; error. What follows a damaged page is not read.
+    """
 
     def step(*columns):
         out = []
         for *kept, data in zip(*columns, strict=True):
             about = [len(data), sha(data)] if data is not None else [None, None]
-            k = None
+            k, read, so_far, features = None, 0, hashlib.sha256(), Features()
             try:
                 for k, (order, fields) in enumerate(directories(data or b"")):
                     page = page_samples(data, order, fields)
-                    out.append([*kept, k, page.shape[1], page.shape[0], page.tobytes(), *about, feature_of(page), None])
+                    samples = page.tobytes()
+                    read += len(samples)
+                    so_far.update(samples)
+                    out.append([*kept, k, False, page.shape[1], page.shape[0], samples, *about, read, so_far.hexdigest(), features.add(page), None])
             except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
-                out.append([*kept, k, None, None, None, *about, None, str(e) or type(e).__name__])
-        return list(map(list, zip(*out, strict=True))) if out else [[]] * (len(columns) + 7)
+                out.append([*kept, k, False, None, None, None, *about, None, None, None, str(e) or type(e).__name__])
+            out[-1][len(kept) + 1] = True
+        return list(map(list, zip(*out, strict=True))) if out else [[]] * (len(columns) + 10)
 
-    schema = "".join(f"{n} {t}, " for n, t in keep) + "page_no int, width int, height int, samples binary, media_bytes bigint, media_sha256 string, feature string, error string"
+    schema = "".join(f"{n} {t}, " for n, t in keep) + "page_no int, last boolean, width int, height int, samples binary, media_bytes bigint, media_sha256 string, read_bytes bigint, read_sha256 string, feature string, error string"
     return map_columns(media, [*(n for n, _ in keep), column], lambda: step, schema)
 
 
 def op4_tiff(spark, sf_dir):
-    """Digests of every text as stored in, and read back from, a TIFF page."""
+    """Digests of every text as stored in, and read back from, the pages of a TIFF file."""
     from pyspark.sql import functions as F
 
-    read = pages(store_texts(table(spark, sf_dir, "documents")), [("doc_id", "bigint"), ("n_bytes", "bigint")])
+    read = pages(store_texts(table(spark, sf_dir, "documents")), [("doc_id", "bigint"), ("n_bytes", "bigint")]).where("last")
     return read.select(
-        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+        "doc_id", "n_bytes", F.col("read_bytes").alias("payload_bytes"), F.col("read_sha256").alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", (F.col("page_no") + 1).alias("n_pages"),
     )

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -114,15 +115,37 @@ def test_decoder_gives_the_same_for_any_parts():
 
 
 def test_tiff_round_trip_and_packings(docs):
-    read = tiff.pages(tiff.store_texts(docs), [("doc_id", "bigint"), ("n_bytes", "bigint")]).collect()
     wanted = {i: tiff.payload(t)[1] for i, t in enumerate(texts())}
-    assert {r["doc_id"]: bytes(r["samples"]) for r in read} == wanted and not any(r["error"] for r in read)
+    read = tiff.pages(tiff.store_texts(docs), [("doc_id", "bigint"), ("n_bytes", "bigint")]).orderBy("doc_id", "page_no").collect()
+    assert not any(r["error"] for r in read) and sum(r["last"] for r in read) == len(wanted)
+    for i, data in wanted.items():
+        of = [r for r in read if r["doc_id"] == i]
+        assert b"".join(bytes(r["samples"]) for r in of) == data and [r["page_no"] for r in of] == list(range(-(-len(data) // (64 * tiff.PAGE_ROWS))))
+        assert of[-1]["last"] and (of[-1]["read_bytes"], of[-1]["read_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+    # a text of many pages meets every form
+    long = b"".join(b"line %d of many, " % k for k in range(20_000))
+    file = tiff.write_tiff(tiff.text_pages(data := tiff.payload(long.decode())[1]))
+    kinds = {(f[tiff.COMPRESSION][0], tiff.TILE_OFFSETS in f, f[tiff.PREDICTOR][0]) for _, f in tiff.directories(file)}
+    assert kinds == set(tiff.FORMS) and b"".join(tiff.page_samples(file, *d).tobytes() for d in tiff.directories(file)) == data
     assert tiff.unpack_bits(b"\x02abc\xfed\x80") == b"abcddd"
     # codes 256, 'a', 258, 'b', 257 in nine bits each
     bits = "".join(f"{c:09b}" for c in (256, 97, 258, 98, 257))
     assert tiff.unpack_lzw(int(bits.ljust(48, "0"), 2).to_bytes(6, "big")) == b"aaab"
 
 
+@pytest.mark.parametrize("letters", [256, 4, 2, 1])
+def test_packings_give_back_what_was_packed(letters):
+    rng = random.Random(letters)
+    for n in [*range(70), 128, 129, 255, 1000, 3836, 3837, 3838, 12_000, 60_000]:  # around full tables and packets
+        data = bytes(rng.randrange(letters) for _ in range(n))
+        assert tiff.unpack_lzw(tiff.pack_lzw(data)) == data and tiff.unpack_bits(tiff.pack_bits(data, 64)) == data
+    # every file of pages of odd sizes is read back, whatever the form
+    for form in tiff.FORMS:
+        page = np.array([rng.randrange(letters) for _ in range(37 * 100)], np.uint8).reshape(100, 37)
+        file = tiff.write_tiff([(page, form), (page[:5, :3], form)])
+        assert [tiff.page_samples(file, *d)[..., 0].tolist() for d in tiff.directories(file)] == [page.tolist(), page[:5, :3].tolist()]
+
+
 def test_tiff_tiles_and_damage(spark):
     page = np.arange(32 * 16, dtype=np.uint16).reshape(16, 32) % 251
     tiles = [page[:, x : x + 16].astype(np.uint8).tobytes() for x in (0, 16)]
