@@ -28,7 +28,7 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 
 #: How the pages of a file are packed in turn: compression, whether in tiles, predictor.
 FORMS = [(ADOBE_DEFLATE, False, 2), (PACKBITS, False, 1), (LZW, True, 1), (DEFLATE, True, 2)]
-PAGE_ROWS, STRIP_ROWS, TILE = 256, 64, 32
+PAGE_ROWS, STRIP_ROWS, TILE_SIZE = 256, 64, (32, 128)
 #: Words that an LZW table takes after its 258 before it is cleared: the last code of 12 bits is never reached.
 LZW_ROOM = 4094 - 258
 FIRST_WORDS = [bytes([k]) for k in range(256)] + [b"", b""]
@@ -72,7 +72,7 @@ def pack_lzw(data):
     # a run's codes are followed by the next clear code, or by the end; all widths follow from the place in the run
     values = np.concatenate([[256], *([*run, 256] for run in runs[:-1]), [*runs[-1], 257]]).astype(">u2")
     places = np.concatenate([[0], *(np.arange(len(run) + 1) for run in runs)])
-    widths = 9 + np.searchsorted([512, 1024, 2048], 258 + places, "right")
+    widths = lzw_widths(places)
     bits = np.unpackbits(values.view(np.uint8)).reshape(-1, 16)
     return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
@@ -82,7 +82,7 @@ def packed_page(samples, form):
     compression, tiled, predictor = form
     (height, width), across, down = samples.shape, samples.shape[1], STRIP_ROWS
     if tiled:
-        across, down = TILE, min(TILE, -(-height // 16) * 16)
+        across, down = TILE_SIZE[0], min(TILE_SIZE[1], -(-height // 16) * 16)
         samples = np.pad(samples, ((0, -height % down), (0, -width % across)))
     parts = []
     for y in range(0, height, down):
@@ -131,28 +131,50 @@ def unpack_bits(data):
     return bytes(out)
 
 
+def lzw_codes(data):
+    """Lists of codes, each up to and with a clear code or the end, or as far as the data goes."""
+    bits, at = np.unpackbits(np.frombuffer(data + b"\0\0", np.uint8)), 0
+    place, most = 0, 256
+    while at + 9 <= 8 * len(data):
+        # all widths follow from the place since the last clear code, so many codes are cut out at once
+        widths = lzw_widths(np.arange(place, place + min(most, (8 * len(data) - at) // 9)))
+        starts = at + np.cumsum(widths) - widths
+        whole = np.searchsorted(starts + widths, 8 * len(data), "right")
+        codes = (bits[starts[:whole, None] + np.arange(12)] @ (1 << np.arange(11, -1, -1))) >> (12 - widths[:whole])
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        if not whole:
+            return
+        n = int(marks[0]) + 1 if len(marks) else int(whole)
+        yield codes[:n].tolist()
+        if len(marks) and codes[n - 1] == 257:
+            return
+        at = int(starts[n - 1] + widths[n - 1])
+        place, most = (0, 256) if len(marks) else (place + n, 4096)
+
+
+def lzw_widths(places):
+    """Bits of the codes at these places since the last clear code."""
+    return 9 + np.searchsorted([512, 1024, 2048], 258 + places, "right")
+
+
 def unpack_lzw(data):
     """Undo TIFF's LZW: codes of 9 to 12 bits, high bit first, widened one code early."""
-    out, words, width, held, bits, last = [], [], 9, 0, 0, b""
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            words, width, last = FIRST_WORDS.copy(), 9, b""
-            continue
-        if not words or code > len(words) or code == len(words) and not last:
-            raise ValueError("broken LZW data")
-        word = words[code] if code < len(words) else last + last[:1]
-        out.append(word)
-        if last:
-            words.append(last + word[:1])
-        last = word
-        width = min(12, (len(words) + 1).bit_length())
+    out, words, last = [], [], b""
+    for codes in lzw_codes(data):
+        mark = codes.pop() if codes[-1] in (256, 257) else None
+        for code in codes:
+            if code < len(words):
+                word = words[code]
+            elif code == len(words) and last:
+                word = last + last[:1]
+            else:
+                raise ValueError("broken LZW data")
+            out.append(word)
+            if last:
+                words.append(last + word[:1])
+            last = word
+        if mark == 256:
+            words, last = FIRST_WORDS.copy(), b""
     return b"".join(out)
 
 
