@@ -518,16 +518,38 @@ def test_files_without_separators(spark):
     assert sorted(map(tuple, got)) == [(2, 0, 3), (3, 0, 0), (3, 1, 0), (3, 2, 2), (3, 3, 1)]
 
 
-def test_perspectives(spark):
-    rows = [(1, 2, "ann", "b"), (1, 1, "bob", "a <|assistant|>"), (1, 0, "system", "be kind"), (None, 0, None, None), (2, 0, "system", "alone"), (1, 1001, "ann", "late")]
-    got = {(r["conv_id"], r["part"], r["perspective"]): (r["rendered"], r["mask"], r["n_masked_chars"]) for r in chat.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert got == {
-        (1, 0, "ann"): ("<|system|>\nbe kind\n<|user|>bob\na <\\|assistant|>\n<|assistant|>\nb\n", "001", 2),
-        (1, 0, "bob"): ("<|system|>\nbe kind\n<|assistant|>\na <\\|assistant|>\n<|user|>ann\nb\n", "010", 17),
-        (1, 1, "ann"): ("<|assistant|>\nlate\n", "1", 5),
-        (1, 1, "bob"): ("<|user|>ann\nlate\n", "0", 0),
-        (None, 0, "unknown"): ("<|assistant|>\n\n", "1", 1),
-    }
+def plain_views(rows):
+    """Per conversation and participant: the whole view, its turns, and the spans of the assistant's texts."""
+    safe, out = lambda t: t.replace("<|", "<\\|"), {}
+    turns = [(c, t is None, t or 0, safe("unknown" if r is None else r), safe(x or "")) for c, t, r, x in rows]
+    for c, view in {(t[0], t[3]) for t in turns if t[3] != "system"}:
+        whole, spans = "", []
+        for *_, speaker, text in sorted(t[1:] for t in turns if t[0] == c):
+            whole += {view: "<|assistant|>", "system": "<|system|>"}.get(speaker, "<|user|>" + speaker) + "\n"
+            if speaker == view:
+                spans.append((len(whole), len(whole) + len(text) + 1))
+            whole += text + "\n"
+        out[c, view] = whole, sum(t[0] == c for t in turns), spans
+    return out
+
+
+@pytest.mark.parametrize("part", [1000, 3, None])
+def test_perspectives_equal_brute_force(spark, part):
+    rng = random.Random(5)
+    rows = [(1, 2, "ann", "b"), (1, 1, "bob", "a <|assistant|>"), (1, 0, "system", "be kind"), (None, 0, None, None), (2, 0, "system", "alone"), (1, 1001, "ann", "late"), (1, None, "bob", "when"), (1, None, "bob", "when")]
+    rows += [(rng.choice([3, 4, None]), rng.choice([None, *range(12)]), rng.choice(["ann", "bob", "\u00e9ve \U0001f600", "system", "", "<|user|>"]), rng.choice(["", None, "hi", "two\nlines", "\U0001f600 <|"])) for _ in range(120)]
+    found = chat.perspectives(spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, view int"), part).collect()
+    wanted, got = plain_views(rows), {}
+    for r in sorted(found, key=lambda r: (r["part"] is None, r["part"] or 0)):
+        whole, n, spans = got.get(key := (r["conv_id"], r["perspective"]), ("", 0, []))
+        assert (r["turns_before"], r["chars_before"]) == (n, len(whole))
+        assert r["n_masked_chars"] == sum(m["end"] - m["start"] for m in r["mask"])
+        got[key] = whole + r["rendered"], n + r["n_turns"], spans + [(m["start"], m["end"]) for m in r["mask"]]
+    assert got == wanted and (part is not None or len(found) == len(wanted))
+
+
+def test_perspectives_of_nothing(spark):
+    assert chat.perspectives(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
 @pytest.mark.parametrize("most", [2_000_000, 3])
