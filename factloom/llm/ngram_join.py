@@ -16,7 +16,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, map_columns, mix, remove, steps, stored, table, windows
@@ -25,6 +25,8 @@ from .common import WordHashes, cut, map_columns, mix, remove, steps, stored, ta
 BUCKET_BITS, BLOCK, GROUP = 20, 4096, 1024
 #: Rows of ids that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of links (two ids each), some 2 MB, that are one partition: so many need no shuffle, however many partitions shuffles have.
+LINKS = 1 << 17
 #: 64-bit words in a set's sketch, at least; large sets have a bit for two elements.
 SKETCH = 8
 #: Keys of a set by which a pair's first common list is found; pairs without a common one there come from every list.
@@ -240,15 +242,30 @@ class Sets:
         remove(self.held, self.facts)
 
 
+def looked_up(rows, known, few):
+    """`rows` with the value of each one's key in `known` (key, value): few of both as one partition without a shuffle, more by a join, whose large keys Spark divides."""
+    if not few:
+        return rows.join(known, "key", "left")
+    asked = rows.withColumn("asked", F.lit(True)).unionByName(known.withColumn("asked", F.lit(False)), allowMissingColumns=True).coalesce(1)
+    return asked.withColumn("value", F.max("value").over(Window.partitionBy("key"))).where("asked")
+
+
 def components(edges):
-    """(id, comp): the smallest id that links reach, by least labels and pointer jumping."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"))
+    """(id, comp): the smallest id that links reach, by least labels and pointer jumping.
+
+    A turn of few links is a task, not a task for each partition of each of its shuffles.
+    """
+    links = edges.select("a", "b").union(edges.select("b", "a"))
+    few = links.count() <= LINKS
+    folded = lambda df: df.coalesce(1) if few else df
+    both = folded(cut(folded(links).distinct()))
+    labels = folded(cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("low"))
-        hooked = labels.join(near, "id").select("id", "comp", F.least("comp", "low").alias("low"))
-        roots = hooked.select(F.col("id").alias("low"), F.col("low").alias("root"))
-        jumped = cut(hooked.join(roots, "low", "left").select("id", F.col("comp").alias("was"), F.least("low", "root").alias("comp")))
+        near = looked_up(both.select("a", F.col("b").alias("key")), labels.select(F.col("id").alias("key"), F.col("comp").alias("value")), few)
+        near = near.select(F.col("a").alias("id"), F.lit(None).cast("bigint").alias("comp"), F.col("value").alias("low"))
+        hooked = folded(near.union(labels.select("id", "comp", F.col("comp").alias("low")))).groupBy("id").agg(F.max("comp").alias("comp"), F.min("low").alias("low"))
+        jumped = looked_up(hooked.select("id", "comp", F.col("low").alias("key")), hooked.select(F.col("id").alias("key"), F.col("low").alias("value")), few)
+        jumped = folded(cut(jumped.select("id", F.col("comp").alias("was"), F.least("key", "value").alias("comp"))))
         labels = jumped.select("id", "comp")
         if not jumped.where("was != comp").limit(1).count():
             return labels
@@ -267,16 +284,16 @@ def placed(docs, n, percent, doc_id, text):
     edges, tested, opened = [], [], []
 
     def labelled(members, labels):
-        return members.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        return members.join(sized(labels.withColumnRenamed("id", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
-    def linked(pairs):
-        """Labels of all links found so far and by these fitting pairs."""
-        for t in tested:
-            t = t.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    def linked(pairs, labels=None):
+        """Labels by these fitting pairs and by the labels so far, which stand for all links found before."""
+        if tested:
+            t = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             pairs = pairs.join(t, (F.least("a", "b") == t["x"]) & (F.greatest("a", "b") == t["y"]), "left_anti")
         tested.append(stored(pairs, "pairs"))
-        edges.append(cut(sets.verified(tested[-1]).select("a", "b")))
-        return components(reduce(DataFrame.union, edges))
+        edges.append(stored(sets.verified(tested[-1]).select("a", "b"), "links"))
+        return components(edges[-1] if labels is None else edges[-1].union(labels.where("id != comp").select("id", "comp")))
 
     labels = linked(sets.fitting(sets.held.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()))
     members = sets.held.where("c != hub and k > 2").select("key", "c")
@@ -284,17 +301,17 @@ def placed(docs, n, percent, doc_id, text):
         now = labelled(members, labels)
         drawn = now.groupBy("key").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("key", "c")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
         opened.append(stored(now.join(drawn.select("key", F.col("h.c").alias("a"), F.col("h.comp").alias("other")), "key"), "open"))
-        labels = linked(sets.fitting(opened[-1].where("comp != other").select("a", F.col("c").alias("b")).distinct()))
+        labels = linked(sets.fitting(opened[-1].where("comp != other").select("a", F.col("c").alias("b")).distinct()), labels)
         members = opened[-1].where("c != a").select("key", "c")
         if edges[-1].count() * WORTH < opened[-1].count():
             break
     now = labelled(members, labels)
     apart = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
     pairs, whole = sets.crossed(now.join(apart, "key"), F.col("l_comp") != F.col("r_comp"))
-    labels = linked(pairs)
-    remove(whole, *opened, *tested)
+    labels = linked(pairs, labels)
+    remove(whole, *opened, *tested, *edges)
     sets.forget()
-    classes = sets.classes.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    classes = labelled(sets.classes, labels)
     lowest = classes.join(classes.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("p", "q", "n", "component")
     out = sets.rows.select("id", "hashed", "p", "q", "n").join(lowest, ["p", "q", "n"], "left")
     return out.select("id", "hashed", "n", F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component"))

@@ -561,3 +561,32 @@ def test_clean_rows_stay_whatever_their_ids(spark, most):
     got = sorted((tuple(r) for r in decontaminate.clean_documents(docs, items, max_windows=most).collect()), key=str)
     assert got == sorted([(i, t, "x") for i, t in rows if t is None or t == "" or t.startswith("clean")], key=str)
     assert decontaminate.clean_documents(docs.limit(0), items).count() == 0 and decontaminate.clean_documents(docs, items.limit(0)).count() == len(rows)
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """Components equal brute force in one partition and in many; few links take no task for each partition of each shuffle."""
+    made = np.random.default_rng(6)
+    links = [(k, k + 1) for k in range(30)] + [(100 + k, 90) for k in range(20)] + [tuple(map(int, made.choice(np.arange(200, 300), 2, replace=False))) for _ in range(60)]
+    comp = {i: i for link in links for i in link}
+    for a, b in links:
+        low, high = sorted((comp[a], comp[b]))
+        comp = {i: low if c == high else c for i, c in comp.items()}
+    sc, settings = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    edges = spark.createDataFrame(links, "a bigint, b bigint")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        sc.setJobGroup(group := f"links-{uuid4().hex}", "few links")
+        assert dict(ngram_join.components(edges).collect()) == comp
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        status = sc.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+        assert 0 < sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s))) < 200
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        monkeypatch.setattr(ngram_join, "LINKS", 50)
+        assert dict(ngram_join.components(edges).collect()) == comp
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
