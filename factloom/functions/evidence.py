@@ -84,9 +84,10 @@ def unsigned(c):
 
 
 def gcd(a, b):
-    """Greatest common divisor of two whole columns."""
+    """Greatest common divisor of two whole columns; the steps are at most five for each digit of the second, and one."""
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), step)["a"]
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.aggregate(F.sequence(F.lit(1), 5 * F.length(b.cast("string")) + 1), F.struct(a.alias("a"), b.alias("b")), step)["a"]
 
 
 def orientation(width, height):

@@ -208,9 +208,10 @@ def powerpoint():
     size = F.get(items(show, "sldsz"), F.lit(0))["attrs"]
     w, h = unsigned(size["cx"]).cast("bigint"), unsigned(size["cy"]).cast("bigint")
     both = w.isNotNull() & h.isNotNull()
-    by = F.greatest(gcd(w, h), long(1))
+    # in a lambda, so that the divisor is worked out once
+    ratio = lambda by: F.struct(F.try_divide(w.cast("double"), h.cast("double")).alias("decimal"), F.floor(h / by).alias("height"), F.floor(w / by).alias("width"))
     size_json = F.to_json(F.struct(h.alias("height_emu"), (h / 12700.0).alias("height_pt"), w.alias("width_emu"), (w / 12700.0).alias("width_pt")))
-    ratio_json = F.to_json(F.struct(F.try_divide(w.cast("double"), h.cast("double")).alias("decimal"), F.floor(h / by).alias("height"), F.floor(w / by).alias("width")))
+    ratio_json = F.to_json(F.transform(F.array(F.greatest(gcd(w, h), long(1))), ratio)[0])
     kind = F.when(F.col("profile").isin("ppsx", "ppsm"), "show").when(F.col("profile").isin("potx", "potm"), "template").otherwise("presentation")
     return [
         resolved("powerpoint.presentation_kind", text_json(kind), "exact", "powerpoint.profile", "detected OOXML profile"),

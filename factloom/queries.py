@@ -30,6 +30,15 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that makes documents of them.
+EACH = 2048
+
+
+def dealt(rows, key):
+    """Rows spread over tasks by their number: a file of one row group is one task, however many documents come of it."""
+    return rows.repartition(max(1, -(-rows.count() // EACH)), key)
+
+
 def routing(spark, sf_dir):
     """Events read as inputs whose suffix and signature follow from the row, routed."""
     pick = lambda by, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % by + 1).cast("int"))
@@ -130,7 +139,7 @@ PPTX = ["powerpoint.slide_count", "powerpoint.hidden_slide_count", "powerpoint.m
 
 def pptx_facts(spark, sf_dir):
     """Slides for each part: their number and size follow from its size."""
-    rows, n = read(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size")
+    rows, n = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), F.col("p_size")
     size = F.when(n % 5 != 0, F.concat(F.lit('<p:sldSz cx="'), (n * 12700).cast("string"), F.lit('" cy="'), F.lit("317500"), F.lit('"/>'))).otherwise("")
     show = F.concat(F.lit("<p:presentation xmlns:p='p'><p:sldIdLst>"), times('<p:sldId id="1"/>', n), times('<p:sldId show="false"/>', n % 3), F.lit("</p:sldIdLst>"), size, F.lit("</p:presentation>"))
     kind = F.element_at(F.array(*map(F.lit, ("pptx", "ppsx", "potx"))), (F.col("p_partkey") % 3 + 1).cast("int"))

@@ -1,5 +1,6 @@
 import base64
 import json
+import math
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from factloom import catalog, queries, synth
+from factloom.functions.evidence import gcd
 from factloom.operators import report, sink
 from factloom.operators.probe import probe, with_facts
 from factloom.operators.routing import route
@@ -264,3 +266,16 @@ def test_jsonl_as_a_stream(spark, tmp_path):
     jsonl.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "values", wanted=["version"]).awaitTermination(120)
     out = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(x["status"] for x in out) == ["error", "ok"] and {"pdf.version": "1.5"} in [x.get("values") for x in out]
+
+
+@pytest.mark.parametrize(("name", "table", "columns"), [("pptx_facts", "part", "id p_partkey, int(id % 50) p_size")])
+def test_documents_of_one_row_group_are_made_by_several_tasks(spark, tmp_path, name, table, columns):
+    spark.range(2 * queries.EACH + 1).coalesce(1).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert spark.read.parquet(f"{tmp_path}/{table}.parquet").rdd.getNumPartitions() == 1
+    assert queries.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_greatest_common_divisors_of_many_steps(spark):
+    pairs = [(7540113804746346429, 4660046610375530309), (4660046610375530309, 7540113804746346429), (12, 18), (5, 0), (0, 5), (0, 0), (317500, 635000)]
+    got = spark.createDataFrame(pairs, "a bigint, b bigint").select(gcd(F.col("a"), F.col("b")).alias("g")).collect()
+    assert [r["g"] for r in got] == [math.gcd(a, b) for a, b in pairs]
