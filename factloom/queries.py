@@ -303,7 +303,8 @@ def keynote_facts(spark, sf_dir):
         more += [(f"Data/a{k}.{'png mov TTF wav doc'.split()[k % 5]}", b"x" * k) for k in range(size % 9)] + ([("preview.PNG", png), ("preview-web.jpg", b"?")] if key % 2 else [])
         return synth.iwork_bytes([(1, 1, b""), show, *nodes], {}, None, more)
 
-    return probed(built(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size")), "a.key", make, "size"), "p_partkey", KEYNOTE, ["keynote"])
+    rows = dealt(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size")), "p_partkey")
+    return probed(built(rows, "a.key", make, "size"), "p_partkey", KEYNOTE, ["keynote"])
 
 
 LEGACY = ["document.title", "document.author", "word.word_count", "word.page_count", "word.is_template", "security.has_macros", "security.encrypted", "office.cfb_entry_count", "office.document_kind"]

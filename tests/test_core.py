@@ -268,7 +268,7 @@ def test_jsonl_as_a_stream(spark, tmp_path):
     assert sorted(x["status"] for x in out) == ["error", "ok"] and {"pdf.version": "1.5"} in [x.get("values") for x in out]
 
 
-@pytest.mark.parametrize(("name", "table", "columns"), [("pptx_facts", "part", "id p_partkey, int(id % 50) p_size")])
+@pytest.mark.parametrize(("name", "table", "columns"), [("pptx_facts", "part", "id p_partkey, int(id % 50) p_size"), ("keynote_facts", "part", "id p_partkey, int(id % 50) p_size")])
 def test_documents_of_one_row_group_are_made_by_several_tasks(spark, tmp_path, name, table, columns):
     spark.range(2 * queries.EACH + 1).coalesce(1).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{table}.parquet")
     assert spark.read.parquet(f"{tmp_path}/{table}.parquet").rdd.getNumPartitions() == 1
