@@ -275,6 +275,11 @@ def test_documents_of_one_row_group_are_made_by_several_tasks(spark, tmp_path, n
     assert queries.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
 
 
+def test_pdf_documents_of_one_row_group_are_cut_by_several_tasks(spark, tmp_path):
+    spark.range(2 * queries.EACH + 1).coalesce(1).selectExpr("id c_custkey", "'x' c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries.pdf_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
 def test_greatest_common_divisors_of_many_steps(spark):
     pairs = [(7540113804746346429, 4660046610375530309), (4660046610375530309, 7540113804746346429), (12, 18), (5, 0), (0, 5), (0, 0), (317500, 635000)]
     got = spark.createDataFrame(pairs, "a bigint, b bigint").select(gcd(F.col("a"), F.col("b")).alias("g")).collect()
