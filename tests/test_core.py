@@ -14,7 +14,7 @@ from factloom.functions.evidence import gcd
 from factloom.operators import report, sink
 from factloom.operators.probe import probe, with_facts
 from factloom.operators.routing import route
-from factloom.sources import inputs, manifest, packages, ranges
+from factloom.sources import inputs, manifest, packages, pdf_objects, ranges
 from factloom.sources.objects import logical_tables, object_rows, ordered_sheets, type_counts
 from factloom.streaming import jsonl
 
@@ -280,6 +280,13 @@ def test_pdf_documents_of_one_row_group_are_cut_by_several_tasks(spark, tmp_path
     assert queries.pdf_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 3
 
 
+def test_reports_of_several_levels_work_out_the_graph_once(spark, monkeypatch):
+    calls, real = [], pdf_objects.object_entries
+    monkeypatch.setattr(pdf_objects, "object_entries", lambda *a: calls.append(a) or real(*a))
+    queries.pdf_reports(spark, DIR)
+    assert len(calls) == 1
+
+
 def test_greatest_common_divisors_of_many_steps(spark):
     pairs = [(7540113804746346429, 4660046610375530309), (4660046610375530309, 7540113804746346429), (12, 18), (5, 0), (0, 5), (0, 0), (317500, 635000)]
     got = spark.createDataFrame(pairs, "a bigint, b bigint").select(gcd(F.col("a"), F.col("b")).alias("g")).collect()
