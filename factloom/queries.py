@@ -78,8 +78,10 @@ DOCX = ["document.title", "document.author", "document.subject", "word.paragraph
 
 def word_documents(spark, sf_dir):
     """A Word document for each text: a paragraph a line that is not blank, with saved counts that are out of date."""
-    full = lambda parts: F.size(F.filter(parts, lambda x: F.regexp_replace(x, SPACE, "") != ""))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", full(F.split("text", "\n")).alias("n"), full(F.split("text", SPACE + "+")).alias("w"))
+    # texts are counted where they are read, and only the counts are dealt; words hold no white space, of a line one other character tells
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACE.replace("[", "[^", 1))))
+    words = F.size(F.filter(F.split("text", SPACE + "+"), lambda x: x != ""))
+    docs = dealt(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", lines.alias("n"), words.alias("w")), "doc_id")
     saved = F.concat(F.lit("<Properties><Words>"), F.col("w").cast("string"), F.lit("</Words><Paragraphs>1</Paragraphs><Pages>"), F.when(F.col("doc_id") % 3 == 0, "+7").when(F.col("doc_id") % 3 == 1, "7.5").otherwise("12"), F.lit("</Pages></Properties>"))
     core = F.concat(F.lit("<cp:p xmlns:cp='c' xmlns:dc='d'><dc:title> "), "source", F.lit(" </dc:title><dc:creator>"), "lang", F.lit("</dc:creator><dc:subject>  </dc:subject></cp:p>"))
     body = F.concat(F.lit("<w:document xmlns:w='w'><w:body>"), times("<w:p><w:r/></w:p>", F.col("n")), times("<w:tbl/>", F.col("doc_id") % 4), F.lit("</w:body></w:document>"))
@@ -107,7 +109,8 @@ REQUESTS = {
 
 def level_facts(spark, sf_dir):
     """The same documents asked at each level, with options and floors: which path answers, and with what."""
-    made = word_documents(spark, sf_dir).withColumn("file_size", F.octet_length("content").cast("bigint"))
+    # stored, so that texts are read once for all requests
+    made = stored(word_documents(spark, sf_dir).withColumn("file_size", F.octet_length("content").cast("bigint")), "word-documents")
     out = None
     for name, (level, options, floors) in REQUESTS.items():
         found = probe(made, ["document.format_profile", "title", "paragraph_count"], level=level, options=options, overrides=floors)

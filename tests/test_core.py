@@ -287,6 +287,13 @@ def test_reports_of_several_levels_work_out_the_graph_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_texts_are_read_once_for_requests_of_all_levels(spark, tmp_path):
+    spark.range(2 * queries.EACH + 1).coalesce(1).selectExpr("id doc_id", "'a' text", "'en' lang", "'s' source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.level_facts(spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if f"{tmp_path}/" in f]
+    assert queries.word_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
 def test_greatest_common_divisors_of_many_steps(spark):
     pairs = [(7540113804746346429, 4660046610375530309), (4660046610375530309, 7540113804746346429), (12, 18), (5, 0), (0, 5), (0, 0), (317500, 635000)]
     got = spark.createDataFrame(pairs, "a bigint, b bigint").select(gcd(F.col("a"), F.col("b")).alias("g")).collect()
